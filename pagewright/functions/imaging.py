@@ -5,6 +5,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright import rules
 from pagewright.functions.text import java
@@ -74,7 +75,7 @@ def _size(data: bytes | None):
     return None
 
 
-@F.pandas_udf("width int, height int")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def pixel_size(content: pd.Series) -> pd.DataFrame:
     sizes = [_size(c) or (None, None) for c in content]
     return pd.DataFrame(sizes, columns=["width", "height"]).astype("Int32")
