@@ -69,7 +69,7 @@ def assign_blocks(features: DataFrame, index_first: Column | bool = True, segmen
 
     opened = scan(
         features, ["doc_key"], ["page"], segment(),
-        running={"probes": F.col("probe").cast("int")},
+        running={"probes": F.col("probe").cast("int"), "row": F.lit(1)},
         before={"prev_end": F.col("is_end"), "filled_end": F.when(~F.col("blank"), F.col("is_end"))},
         after={"next_colon": F.when(~F.col("blank"), F.struct("colon", "page"))},
     )
@@ -77,10 +77,12 @@ def assign_blocks(features: DataFrame, index_first: Column | bool = True, segmen
     body = opened.where(~has_index | (F.col("probes") > 0))
     first_body = F.col("prev_end").isNull() | (has_index & F.col("probe") & (F.col("probes") == 1))
     begins = first_body | F.col("prev_end") | (F.col("header").isNotNull() & (F.col("filled_end") == F.lit(False)))
-    return scan(
+    placed = scan(
         body, ["doc_key"], ["page"], segment(),
-        latest={"block": F.when(begins, F.col("page")), "head": F.col("header")},
+        latest={"_block": F.when(begins, F.struct("page", "row")), "head": F.col("header")},
     )
+    part = F.floor((F.col("row") - F.col("_block")["row"]) / PART_ROWS)
+    return placed.withColumns({"block": F.col("_block")["page"], "part": part}).drop("_block")
 
 
 def describe_blocks(assigned: DataFrame, segment_width: int = 4096) -> DataFrame:
@@ -94,6 +96,7 @@ def describe_blocks(assigned: DataFrame, segment_width: int = 4096) -> DataFrame
     grouped = assigned.groupBy("doc_key", "block").agg(
         F.coalesce(F.min(F.when(F.col("header").isNotNull(), page)), F.min("page")).alias("start"),
         F.max("page").alias("end"),
+        F.max("part").alias("last_part"),
         F.max_by("head", "page").alias("head"),
         F.min("rule").alias("rule"),
         F.min("rank").alias("rank"),
@@ -110,7 +113,7 @@ def describe_blocks(assigned: DataFrame, segment_width: int = 4096) -> DataFrame
                                                    rules.SUBSYSTEM_KEYWORDS))
     cut = F.when(F.col("procedure_colon") <= F.col("end"), 0).when(F.col("note_colon") <= F.col("end"), 1)
     return numbered.select(
-        "doc_key", "block", "start", "end", (F.col("nth") - 1).alias("nth"), heading.alias("section_heading"),
+        "doc_key", "block", "start", "last_part", (F.col("nth") - 1).alias("nth"), heading.alias("section_heading"),
         number.alias("fcp_number"),
         F.coalesce(rule_name(rule, rules.SUBSYSTEM_KEYWORDS), range_name(number), F.lit("UNKNOWN")).alias("subsystem"),
         content_name(F.least(F.col("rank"), cut)).alias("content_type"),
@@ -135,18 +138,16 @@ def procedure_blocks(pages: DataFrame, index_first: Column | bool = True, segmen
     features = materialize(page_features(pages), "page-features")
     assigned = assign_blocks(features, index_first, segment_width)
     about = describe_blocks(assigned, segment_width)
-    placed = assigned.select("doc_key", "page", "block").join(about, ["doc_key", "block"])
-    part = F.floor((F.col("page") - F.col("block")) / PART_ROWS)
-    constants = ["nth", "start", "end", "section_heading", "fcp_number", "subsystem", "content_type"]
-    rows = pages.select("doc_key", "page", "text", "images").join(placed.withColumn("part", part), ["doc_key", "page"])
+    placed = assigned.select("doc_key", "page", "block", "part").join(about, ["doc_key", "block"])
+    constants = ["nth", "start", "last_part", "section_heading", "fcp_number", "subsystem", "content_type"]
+    rows = pages.select("doc_key", "page", "text", "images").join(placed, ["doc_key", "page"])
     grouped = rows.groupBy("doc_key", "block", "part").agg(
         F.array_sort(F.collect_list(F.struct("page", "text", "images"))).alias("_pages"),
         *[F.first(c).alias(c) for c in constants])
     text = F.array_join(F.transform("_pages", lambda p: p["text"]), "\n")
     base = F.concat_ws("", "doc_key", F.lit("_p"), "start", F.lit("_"), "nth")
-    last_part = F.floor((F.col("end") - F.col("block")) / PART_ROWS)
     return grouped.select(
-        _part_id(base).alias("chunk_id"), _stripped(text, F.col("part"), last_part).alias("text"),
+        _part_id(base).alias("chunk_id"), _stripped(text, F.col("part"), F.col("last_part")).alias("text"),
         F.col("doc_key").alias("source_doc"), "content_type", F.col("start").cast("int").alias("page"),
         "section_heading", "fcp_number", "subsystem",
         F.flatten(F.transform("_pages", lambda p: F.coalesce(p["images"], no_images()))).alias("images"),
@@ -158,10 +159,13 @@ def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536) -> DataFr
     is_heading = F.coalesce(F.col("style"), F.lit("")).startswith("Heading")
     line = strip(or_empty(F.col("text")))
     marked = paragraphs.select("doc_key", "ord", line.alias("line"), is_heading.alias("is_heading"))
-    placed = scan(marked, ["doc_key"], ["ord"], blocks_of(F.col("ord"), segment_rows), latest={
-        "head": F.when(F.col("is_heading"), F.struct(F.col("ord").alias("at"), F.col("line").alias("heading")))})
-    body = placed.where(~F.col("is_heading") & (F.col("line") != "")).select(
-        "doc_key", "ord", "line", F.coalesce(F.col("head")["at"], F.lit(-1)).alias("section"),
+    fills = ~F.col("is_heading") & (F.col("line") != "")
+    counted = scan(marked, ["doc_key"], ["ord"], blocks_of(F.col("ord"), segment_rows), running={"row": fills.cast("int")})
+    placed = scan(counted, ["doc_key"], ["ord"], blocks_of(F.col("ord"), segment_rows), latest={
+        "head": F.when(F.col("is_heading"), F.struct(F.col("ord").alias("at"), F.col("line").alias("heading"), "row"))})
+    part = F.floor((F.col("row") - 1 - F.coalesce(F.col("head")["row"], F.lit(0))) / PART_ROWS)
+    body = placed.where(fills).select(
+        "doc_key", "ord", "line", part.alias("part"), F.coalesce(F.col("head")["at"], F.lit(-1)).alias("section"),
         F.coalesce(F.col("head")["heading"], F.lit("Preamble")).alias("section_heading"))
     about = body.groupBy("doc_key", "section").agg(
         F.first("section_heading").alias("section_heading"),
@@ -176,8 +180,7 @@ def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536) -> DataFr
     about = about.select(
         "doc_key", "section", (F.col("nth") - 1).alias("nth"), number.alias("fcp_number"),
         F.coalesce(rule_name(rule, rules.SUBSYSTEM_KEYWORDS), range_name(number), F.lit("UNKNOWN")).alias("subsystem"))
-    part = F.floor((F.col("ord") - F.col("section")) / PART_ROWS)
-    texts = body.withColumn("part", part).groupBy("doc_key", "section", "part").agg(
+    texts = body.groupBy("doc_key", "section", "part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda p: p["line"]), "\n")
         .alias("text"), F.first("section_heading").alias("section_heading"))
     return texts.join(about, ["doc_key", "section"]).select(
@@ -187,8 +190,8 @@ def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536) -> DataFr
         no_images().alias("images"), F.col("section").alias("block"), F.col("part").cast("int").alias("part"))
 
 
-def numbered_sections(documents: DataFrame) -> DataFrame:
-    """Documents ``(doc_key, pages array<struct<page,text>>)`` to chunks, one or more per numbered heading.
+def numbered_spans(documents: DataFrame) -> DataFrame:
+    """Documents ``(doc_key, pages array<struct<page,text>>)`` to sections ``(nth, section_heading, page, section)``.
 
     A document arrives as one row because it was read from one file; everything happens inside that row, so nothing
     shuffles. Text before the first heading is dropped; a heading with a short title ends the section before it and
@@ -214,11 +217,16 @@ def numbered_sections(documents: DataFrame) -> DataFrame:
     heading = strip(F.col("s")["head"])
     title = F.regexp_replace(heading, java(r"^\d+(?:\.\d+)*\s+"), "")
     page = F.coalesce(F.get("_page_no", last_at_or_before(F.col("_page_at"), F.col("s")["start"]) - 1), F.lit(1))
-    kept = rows.select("doc_key", "nth", heading.alias("section_heading"), page.cast("int").alias("page"),
+    return rows.select("doc_key", "nth", heading.alias("section_heading"), page.cast("int").alias("page"),
                        strip(F.col("s")["section"]).alias("section"), title.alias("title")
-                       ).where((F.length("title") >= 5) & F.col("section_heading").contains(" "))
-    packed = kept.select("doc_key", "nth", "section_heading", "page",
-                         F.posexplode(pack_paragraphs(F.col("section"))).alias("idx", "text"))
+                       ).where((F.length("title") >= 5) & F.col("section_heading").contains(" ")).drop("title")
+
+
+def numbered_sections(documents: DataFrame) -> DataFrame:
+    """Sections under numbered headings, packed into chunks."""
+    packed = numbered_spans(documents).select(
+        "doc_key", "nth", "section_heading", "page",
+        F.posexplode(pack_paragraphs(F.col("section"))).alias("idx", "text"))
     return packed.select(
         F.concat_ws("", "doc_key", F.lit("_s"), "nth", F.lit("_c"), "idx").alias("chunk_id"), "text",
         F.col("doc_key").alias("source_doc"), F.lit("section").alias("content_type"), "page", "section_heading",

@@ -1,7 +1,7 @@
 """Registered queries: each operator run over whole given tables, with the SQL that checks it."""
 
-from pagewright.suite import command_queries, text_queries
+from pagewright.suite import command_queries, segment_queries, text_queries
 
 
 def registered() -> dict:
-    return {**command_queries.QUERIES, **text_queries.QUERIES}
+    return {**command_queries.QUERIES, **text_queries.QUERIES, **segment_queries.QUERIES}

@@ -1,5 +1,7 @@
 """SQL fragments the checks share."""
 
+import re
+
 from pagewright import rules
 
 # every white-space character, as an SQL expression
@@ -15,8 +17,14 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def spelled(pattern: str) -> str:
+    """Word boundaries spelled out: the check's regex engine knows them for ASCII letters only."""
+    pattern = re.sub(r"\\b(?=$|[|)])", r"(?:$|[^\\pL\\pN_])", pattern)
+    return pattern.replace(r"\b", r"(?:^|[^\pL\pN_])")
+
+
 def has(x: str, pattern: str, any_case: bool = False) -> str:
-    return f"regexp_matches({x}, {quoted(('(?i)' if any_case else '') + pattern)})"
+    return f"regexp_matches({x}, {quoted(('(?i)' if any_case else '') + spelled(pattern))})"
 
 
 def keyword_case(x: str, table, default: str = "NULL") -> str:

@@ -98,7 +98,7 @@ def question_dates(spark, folder):
     return derived(spark, folder, "questions").select("qid", intents.question_date(F.col("question")).alias("day"))
 
 
-_DATE_RE = c.quoted(rules.QUESTION_DATE)
+_DATE_RE = c.quoted(c.spelled(rules.QUESTION_DATE))
 _DATE = (f"CASE WHEN {c.has('question', rules.QUESTION_DATE)} THEN regexp_extract(question, {_DATE_RE}, 1) || '-' || "
          f"regexp_extract(question, {_DATE_RE}, 2) || '-' || regexp_extract(question, {_DATE_RE}, 3) END")
 

@@ -41,7 +41,7 @@ def clean_captions(spark, folder):
     return derived(spark, folder, "captions").select("doc_id", clean_caption(F.col("text")).alias("text"))
 
 
-def _cleaned(x):
+def cleaned(x):
     for p in rules.CAPTION_PREFIXES:
         x = f"regexp_replace({x}, {c.quoted('(?i)' + p)}, '')"
     return c.strip(x)
@@ -146,14 +146,14 @@ QUERIES = {
     "classify_subsystem": (classify_subsystem, f"""SELECT p_partkey, {c.subsystem('text', 'number')} AS subsystem
         FROM {sql('notices')}"""),
     "content_type": (content_type, f"""SELECT doc_id, {c.content_type('text')} AS content_type,
-        regexp_extract(text, {c.quoted(rules.PROCEDURE_NUMBER)}, 1) AS number FROM {sql('signalled')}"""),
+        regexp_extract(text, {c.quoted(c.spelled(rules.PROCEDURE_NUMBER))}, 1) AS number FROM {sql('signalled')}"""),
     "toc_parse": (toc_parse, f"""SELECT chunk_id, 'FCP ' || number || ' — ' || subsystem || ' — ' || p_name AS text,
         number::VARCHAR AS fcp_number, subsystem FROM (
         SELECT *, 'V' || volume || '_IDX_' || lpad(serial::VARCHAR, 3, '0') || '_' || number AS chunk_id,
         CASE label WHEN 'NEW' THEN 'UNKNOWN' WHEN 'TTC&XBAND' THEN 'TTC_XBAND' WHEN 'PAYLAOD' THEN 'PAYLOAD' ELSE label END
         AS subsystem FROM {sql('index_rows')})
         QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY p_partkey) = 1"""),
-    "clean_captions": (clean_captions, f"SELECT doc_id, {_cleaned('text')} AS text FROM {sql('captions')}"),
+    "clean_captions": (clean_captions, f"SELECT doc_id, {cleaned('text')} AS text FROM {sql('captions')}"),
     "tokenize": (tokenize, f"SELECT doc_id, array_to_string(l, ' ') AS tokens, len(l)::INT AS dl FROM {_ORDERED}"),
     "embed_texts": (embed_texts, f"""SELECT chunk_id, concat_ws(chr(10),
         CASE WHEN content_type = 'image_caption' THEN 'Image caption' END,

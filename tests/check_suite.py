@@ -43,6 +43,12 @@ def main(names, folder="/root/testdata/sf0.01"):
             cursor = db.execute(checks[name])
             want = rows_of([d[0] for d in cursor.description], cursor.fetchall())
             ok = got == want
+            kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+            same = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+            odd = {d[0]: (kinds.get(d[0]), str(d[1])) for d in cursor.description
+                   if same.get(kinds.get(d[0])) != str(d[1])}
+            if odd:
+                print("   types", odd)
             print(f"{'ok ' if ok else 'BAD'} {name}: {len(got[1])} rows spark {took:.1f}s sql {time.time() - t0 - took:.1f}s",
                   flush=True)
             if not ok:
