@@ -9,18 +9,24 @@ from pagewright import rules
 from pagewright.functions.text import any_match, extract, matches
 
 
+def _any_rule(col: Column, table: list[tuple[str, str]]) -> Column:
+    """Whether any rule matches, in one pass: most texts match none and need no other."""
+    return any_match(col, [word for _, pattern in table for word in pattern.split("|")], True)
+
+
 def first_rule(col: Column, table: list[tuple[str, str]]) -> Column:
     """Name of the first keyword rule that matches, else NULL."""
-    return F.coalesce(*[F.when(matches(col, pattern, True), F.lit(name)) for name, pattern in table])
+    return rule_name(first_rule_index(col, table), table)
 
 
 def first_rule_index(col: Column, table: list[tuple[str, str]]) -> Column:
     """Position of the first matching rule, else NULL: the minimum over the parts of a text is that of the whole."""
-    return F.coalesce(*[F.when(matches(col, pattern, True), F.lit(i)) for i, (_, pattern) in enumerate(table)])
+    return F.when(_any_rule(col, table), F.coalesce(
+        *[F.when(matches(col, pattern, True), F.lit(i)) for i, (_, pattern) in enumerate(table)]))
 
 
 def rule_name(index: Column, table: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(index == i, F.lit(name)) for i, (name, _) in enumerate(table)])
+    return F.get(F.array(*[F.lit(name) for name, _ in table]), index)
 
 
 def range_name(number: Column, table: list[tuple[int, int, str]] = rules.SUBSYSTEM_RANGES) -> Column:

@@ -27,7 +27,9 @@ def matches(col: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def any_match(col: Column, patterns: list[str], ignore_case: bool = False) -> Column:
-    """One pass over the text for a whole list of alternatives."""
+    """One pass over the text for a whole list of alternatives, trying them at word starts only where all begin there."""
+    if all(p.startswith(r"\b") for p in patterns):
+        return matches(col, r"\b(?:" + "|".join(p.removeprefix(r"\b") for p in patterns) + ")", ignore_case)
     return matches(col, "|".join(f"(?:{p})" for p in patterns), ignore_case)
 
 
@@ -84,13 +86,15 @@ def clean_caption(col: Column) -> Column:
 def tokens(col: Column) -> Column:
     """Distinct search tokens: slash/dot compounds first, then plain runs, in order of first appearance.
 
-    Plain runs are what lies between the other characters. Compounds are looked for at word starts only and without
-    backtracking, which finds the same ones in one step per word.
+    The patterns run without backtracking, and compounds are looked for only in texts that hold an inner slash or dot.
     """
     low = F.lower(col)
     compound = "(?<![a-z0-9])" + rules.COMPOUND_TOKEN.replace("+(", "++(").replace("+)", "++)")
-    plain = F.array_remove(F.split(low, rules.STANDARD_TOKEN.replace("[", "[^", 1)), "")
-    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(compound), F.lit(0)), plain))
+    inner = low.rlike(r"[/.](?<=[a-z0-9][/.])[a-z0-9]")
+    compounds = F.when(inner, F.regexp_extract_all(low, F.lit(compound), F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
+    plain = F.regexp_extract_all(low, F.lit(rules.STANDARD_TOKEN + "+"), F.lit(0))
+    return F.array_distinct(F.concat(compounds, plain))
 
 
 def pad(col: Column, width: int, right: bool = False) -> Column:

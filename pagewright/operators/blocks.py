@@ -40,13 +40,15 @@ def _lead(text: Column) -> Column:
 def page_features(pages: DataFrame) -> DataFrame:
     """What block building needs to know of each page, without its text."""
     text = F.col("text")
-    header = matches(text, rules.BLOCK_HEADER, True)
+    # the number and colon are quick to look for and rare, the header around them is not
+    numbered = matches(text, r"[56]\d{3}\s*:")
+    header = numbered & matches(text, rules.BLOCK_HEADER, True)
     return pages.select(
         "doc_key", "page",
         F.when(header, F.struct(
             extract(text, rules.BLOCK_HEADER, 2, True).alias("number"),
             strip(extract(text, rules.BLOCK_HEADER, 0, True)).alias("heading"))).alias("header"),
-        matches(text, rules.BODY_PROBE).alias("probe"),
+        (numbered & matches(text, rules.BODY_PROBE)).alias("probe"),
         text.contains(rules.BLOCK_END).alias("is_end"),
         is_blank(text).alias("blank"),
         first_rule_index(text, rules.SUBSYSTEM_KEYWORDS).alias("rule"),

@@ -12,8 +12,9 @@ _TEXTS = ""      # no token is empty, so the count of this mark is the number of
 
 
 def tokenized(corpus: DataFrame, keep: list[str], text: Column) -> DataFrame:
-    """(kept columns, tokens, dl)."""
-    return corpus.select(*keep, tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+    """(kept columns, tokens, dl). The one-element explode keeps the tokens from being worked out again wherever a
+    later step mentions them."""
+    return corpus.select(*keep, F.explode(F.array(tokens(text))).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
 def postings(rows: DataFrame, keep: list[str]) -> DataFrame:

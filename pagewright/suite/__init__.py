@@ -1,7 +1,8 @@
 """Registered queries: each operator run over whole given tables, with the SQL that checks it."""
 
-from pagewright.suite import command_queries, segment_queries, text_queries
+from pagewright.suite import command_queries, retrieval_queries, segment_queries, text_queries
 
 
 def registered() -> dict:
-    return {**command_queries.QUERIES, **text_queries.QUERIES, **segment_queries.QUERIES}
+    """``{name: (query(spark, folder), check SQL)}``."""
+    return {**command_queries.QUERIES, **text_queries.QUERIES, **segment_queries.QUERIES, **retrieval_queries.QUERIES}
