@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright import rules
 from pagewright.models import HashingEmbedder, SentenceModelEmbedder, local_chat, local_vision
+from pagewright.operators.command_log import table_view
 from pagewright.plans import captions, evaluate as ev, render
 from pagewright.plans.ask import ask, Retriever
 from pagewright.plans.ingest import document_chunks, per_document
@@ -115,7 +116,7 @@ def question(spark, args) -> None:
     answer = ask(_retriever(spark, args), args.question, args.k, args.subsystem, local_chat())
     _show(answer, args.sources)
     if args.csv and answer.table is not None:
-        write_csv(answer.table.orderBy("nth"), args.csv)
+        write_csv(table_view(answer.table.orderBy("nth")), args.csv)
     if args.open:
         open_images(answer.images)
 
