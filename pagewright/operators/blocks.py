@@ -66,11 +66,8 @@ def assign_blocks(features: DataFrame, index_first: Column | bool = True, segmen
     A block begins at the first page, after a page with the end mark, and at a header page unless only blank pages
     precede it in the block. Where ``index_first`` holds, pages before the first body page belong to the index.
     """
-    def segment() -> Column:
-        return blocks_of(F.col("page"), segment_width)
-
     opened = scan(
-        features, ["doc_key"], ["page"], segment(),
+        features.withColumn("segment", blocks_of(F.col("page"), segment_width)), ["doc_key"], ["page"], "segment",
         running={"probes": F.col("probe").cast("int"), "row": F.lit(1)},
         before={"prev_end": F.col("is_end"), "filled_end": F.when(~F.col("blank"), F.col("is_end"))},
         after={"next_colon": F.when(~F.col("blank"), F.struct("colon", "page"))},
@@ -80,11 +77,11 @@ def assign_blocks(features: DataFrame, index_first: Column | bool = True, segmen
     first_body = F.col("prev_end").isNull() | (has_index & F.col("probe") & (F.col("probes") == 1))
     begins = first_body | F.col("prev_end") | (F.col("header").isNotNull() & (F.col("filled_end") == F.lit(False)))
     placed = scan(
-        body, ["doc_key"], ["page"], segment(),
+        body, ["doc_key"], ["page"], "segment",
         latest={"_block": F.when(begins, F.struct("page", "row")), "head": F.col("header")},
     )
     part = F.floor((F.col("row") - F.col("_block")["row"]) / PART_ROWS)
-    return placed.withColumns({"block": F.col("_block")["page"], "part": part}).drop("_block")
+    return placed.withColumns({"block": F.col("_block")["page"], "part": part}).drop("_block", "segment")
 
 
 def describe_blocks(assigned: DataFrame, segment_width: int = 4096) -> DataFrame:
@@ -138,7 +135,7 @@ def procedure_blocks(pages: DataFrame, index_first: Column | bool = True, segmen
     if "images" not in pages.columns:
         pages = pages.withColumn("images", no_images())
     features = materialize(page_features(pages), "page-features")
-    assigned = assign_blocks(features, index_first, segment_width)
+    assigned = materialize(assign_blocks(features, index_first, segment_width), "block-pages")
     about = describe_blocks(assigned, segment_width)
     placed = assigned.select("doc_key", "page", "block", "part").join(about, ["doc_key", "block"])
     constants = ["nth", "start", "last_part", "section_heading", "fcp_number", "subsystem", "content_type"]
@@ -162,13 +159,15 @@ def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536) -> DataFr
     line = strip(or_empty(F.col("text")))
     marked = paragraphs.select("doc_key", "ord", line.alias("line"), is_heading.alias("is_heading"))
     fills = ~F.col("is_heading") & (F.col("line") != "")
-    counted = scan(marked, ["doc_key"], ["ord"], blocks_of(F.col("ord"), segment_rows), running={"row": fills.cast("int")})
-    placed = scan(counted, ["doc_key"], ["ord"], blocks_of(F.col("ord"), segment_rows), latest={
+    marked = marked.withColumn("segment", blocks_of(F.col("ord"), segment_rows))
+    counted = scan(marked, ["doc_key"], ["ord"], "segment", running={"row": fills.cast("int")})
+    placed = scan(counted, ["doc_key"], ["ord"], "segment", latest={
         "head": F.when(F.col("is_heading"), F.struct(F.col("ord").alias("at"), F.col("line").alias("heading"), "row"))})
     part = F.floor((F.col("row") - 1 - F.coalesce(F.col("head")["row"], F.lit(0))) / PART_ROWS)
     body = placed.where(fills).select(
         "doc_key", "ord", "line", part.alias("part"), F.coalesce(F.col("head")["at"], F.lit(-1)).alias("section"),
         F.coalesce(F.col("head")["heading"], F.lit("Preamble")).alias("section_heading"))
+    body = materialize(body, "section-lines")
     about = body.groupBy("doc_key", "section").agg(
         F.first("section_heading").alias("section_heading"),
         F.min(first_rule_index(F.col("line"), rules.SUBSYSTEM_KEYWORDS)).alias("rule"),

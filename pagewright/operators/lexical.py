@@ -1,6 +1,7 @@
 """BM25 over distinct tokens: index tables, scoring of one question in place, scoring of many by join."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright import rules
@@ -8,6 +9,8 @@ from pagewright.functions.text import tokens
 from pagewright.operators.ordered import top_k
 from pagewright.session import materialize
 
+SEED_FACTOR = 20      # texts per wanted result that the seed terms may bring
+_SLACK = 1e-6         # scores are compared after rounding, so the bar is set a little lower
 _TEXTS = ""      # no token is empty, so the count of this mark is the number of texts
 
 
@@ -47,7 +50,8 @@ class Stats:
         raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         vocabulary = counts.where(~is_mark).withColumn("raw_idf", raw)
         mean = vocabulary.agg(F.avg("raw_idf").alias("mean")).first()["mean"] or 0.0
-        floor = F.lit(float(mean * rules.BM25_EPSILON))
+        self.floor = float(mean * rules.BM25_EPSILON)
+        floor = F.lit(self.floor)
         self.terms = vocabulary.select(
             "term", "df", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"))
 
@@ -83,16 +87,60 @@ def score_question(rows: DataFrame, question: str, stats: Stats | None = None) -
 
 
 def score_questions(found: DataFrame, questions: DataFrame, keep: list[str], stats: Stats) -> DataFrame:
-    """Positive scores (qid, kept columns, score) of ``questions(qid, question)`` over ``postings`` rows.
+    """All positive scores (qid, kept columns, score) of ``questions(qid, question)`` over ``postings`` rows.
 
-    The question terms meet the postings in a join Spark sizes at run time; a text's terms explode inside one task,
-    so the sum per (question, text) is complete before it shuffles.
+    Every text that shares a term with a question gets a row, so common terms make this as large as questions times
+    texts: use :func:`candidates` where only the best are wanted.
     """
-    asked = questions.select("qid", F.explode(tokens(F.col("question"))).alias("term"))
-    weighted = asked.join(stats.terms.select("term", "idf"), "term")
-    return (found.join(weighted, "term").groupBy("qid", *keep, "dl").agg(F.sum("idf").alias("_idf"))
-            .select("qid", *keep, (F.col("_idf") * length_weight(F.col("dl"), F.lit(stats.avgdl))).alias("score"))
-            .where("score > 0"))
+    weighted = _asked(questions, stats).select("qid", "term", "idf")
+    return _weigh(found.join(weighted, "term"), keep, stats).where("score > 0")
+
+
+def _asked(questions: DataFrame, stats: Stats) -> DataFrame:
+    terms = questions.select("qid", F.explode(tokens(F.col("question"))).alias("term"))
+    return terms.join(stats.terms, "term")
+
+
+def _weigh(matched: DataFrame, keep: list[str], stats: Stats) -> DataFrame:
+    """A text's terms come from one task, so its sum is complete before it shuffles."""
+    summed = matched.groupBy("qid", *keep, "dl").agg(F.sum("idf").alias("idf"))
+    return summed.withColumn("score", F.col("idf") * length_weight(F.col("dl"), F.lit(stats.avgdl)))
+
+
+def candidates(found: DataFrame, questions: DataFrame, keep: list[str], stats: Stats, k: int) -> DataFrame:
+    """Positive scores of every text that can be among a question's best ``k``; ``keep[0]`` identifies a text.
+
+    The rarest terms of a question alone give ``k`` texts whose scores the best must reach. Terms that together stay
+    below that bar cannot lift a text over it, so only the other, rarer terms name candidates; the common ones are added
+    to candidates afterwards. The result holds the exact best ``k`` and never the texts of a common term.
+    """
+    if stats.floor < 0:     # with negative weights a sum of terms is no upper bound
+        return score_questions(found, questions, keep, stats)
+    asked = materialize(_asked(questions, stats), "question-terms")
+    per_question = W.partitionBy("qid")      # as many rows as the question has terms
+    rare_first = per_question.orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
+    seeds = asked.withColumn("_before", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(
+        F.col("_before") < SEED_FACTOR * k)
+    bar = (top_k(_weigh(found.join(seeds.select("qid", "term", "idf"), "term"), keep, stats), ["qid"],
+                 [F.col("score").desc()], k)
+           .groupBy("qid").agg(F.when(F.count("*") == k, F.min("score") - _SLACK).otherwise(F.lit(0.0)).alias("bar")))
+    cheap_first = per_question.orderBy("idf", "term").rowsBetween(W.unboundedPreceding, 0)
+    heaviest = length_weight(F.lit(1), F.lit(stats.avgdl))
+    common = F.sum("idf").over(cheap_first) * heaviest < F.coalesce("bar", F.lit(0.0))
+    split = materialize(asked.join(bar, "qid", "left").withColumn("common", common), "weighed-terms")
+    rest = split.groupBy("qid").agg(F.sum(F.when(F.col("common"), F.col("idf")).otherwise(0.0)).alias("rest"),
+                                    F.coalesce(F.max("bar"), F.lit(0.0)).alias("bar"))
+    named = _weigh(found.join(split.where(~F.col("common")).select("qid", "term", "idf"), "term"), keep, stats)
+    weight = length_weight(F.col("dl"), F.lit(stats.avgdl))
+    able = materialize(named.join(rest, "qid").where((F.col("idf") + F.col("rest")) * weight >= F.col("bar"))
+                       .select("qid", *keep, "dl", "idf"), "candidates")
+    text_id = keep[0]
+    commons = split.where("common").select("qid", "term", F.col("idf").alias("more"))
+    held = found.join(commons.select("term").distinct(), "term", "left_semi").select(text_id, "term")
+    more = (able.select("qid", text_id).join(held, text_id).join(commons, ["qid", "term"])
+            .groupBy("qid", text_id).agg(F.sum("more").alias("more")))
+    whole = F.col("idf") + F.coalesce("more", F.lit(0.0))
+    return able.join(more, ["qid", text_id], "left").select("qid", *keep, (whole * weight).alias("score")).where("score > 0")
 
 
 def best(scored: DataFrame, keys: list[str], k: int, order: list[str], post: Column | None = None,

@@ -1,9 +1,10 @@
 """Lookups along an order: figure to chunk, offset to page."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators.ordered import blocks_of, scan
+from pagewright.session import materialize
 
 
 def asof(
@@ -23,20 +24,21 @@ def asof(
     right rows of one position the smallest ``tie`` wins. ``clamp`` falls back to the right row with the largest
     position and ``tie`` (forward) or the first one (backward). A left row without a position gets the first right row.
 
-    Both sides shrink to one row per position first, so a position shared by many rows costs one row; the result is
-    joined back on the position, where the right side has unique keys.
+    Both sides shrink to one row per position before anything else, so a position shared by many rows costs one row
+    per task; the result is joined back on the position, where it is unique.
     """
     at = [*by, on]
-    first = right.where(F.col(on).isNotNull()).groupBy(*at).agg(
-        F.min_by(F.struct(*payload), tie).alias("_first"), F.max_by(F.struct(*payload), tie).alias("_last"))
-    asked = left.where(F.col(on).isNotNull()).select(*at).distinct()
-    line = (first.withColumn("_asked", F.lit(False))
-            .unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-            .groupBy(*at).agg(F.first("_first", ignorenulls=True).alias("_first"), F.max("_asked").alias("_asked")))
+    known = F.col(on).isNotNull()
+    offered = right.where(known).select(*at, F.struct(*payload).alias("_row"), F.col(tie).alias("_tie"))
+    asked = left.where(known).select(*at, F.lit(True).alias("_asked"))
+    line = materialize(offered.unionByName(asked, allowMissingColumns=True).groupBy(*at).agg(
+        F.min_by("_row", "_tie").alias("_first"), F.max_by("_row", "_tie").alias("_last"),
+        F.max("_asked").alias("_asked")), "positions")
     fill = {"_hit": F.col("_first")}
     filled = scan(line, by, [on], blocks_of(F.col(on), segment_width),
                   **({"upcoming": fill} if direction == "forward" else {"latest": fill}))
-    edges = first.groupBy(*by).agg(F.max_by("_last", on).alias("_end"), F.min_by("_first", on).alias("_start"))
+    edges = line.where(F.col("_first").isNotNull()).groupBy(*by).agg(
+        F.max_by("_last", on).alias("_end"), F.min_by("_first", on).alias("_start"))
     hits = filled.where("_asked").select(*at, "_hit")
     found = left.join(hits, at, "left").join(edges, by, "left")
     spare = F.col("_end" if direction == "forward" else "_start") if clamp else F.lit(None)

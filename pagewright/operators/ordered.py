@@ -21,14 +21,15 @@ def scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    segment: Column,
+    segment: Column | str,
     running: dict[str, Column] | None = None,
     latest: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
     upcoming: dict[str, Column] | None = None,
     after: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add ordered columns; ``segment`` must never fall along ``order`` inside a key.
+    """Add ordered columns; ``segment`` must never fall along ``order`` inside a key. Given as the name of a column it
+    is kept, and a second scan over it finds the rows already in place.
 
     ``running``  sum up to and including the row
     ``latest``   last non-null value up to and including the row; ``before``: up to the row before
@@ -36,8 +37,10 @@ def scan(
     """
     running, latest, before = running or {}, latest or {}, before or {}
     upcoming, after = upcoming or {}, after or {}
-    cells = [*keys, "_segment"]
-    df = df.withColumn("_segment", segment)
+    named = isinstance(segment, str)
+    slot = segment if named else "_segment"
+    cells = [*keys, slot]
+    df = df if named else df.withColumn(slot, segment)
     place = F.struct(*order) if len(order) > 1 else F.col(order[0])
     descending = [F.col(c).desc() for c in order]
 
@@ -45,8 +48,8 @@ def scan(
     back = W.partitionBy(*cells).orderBy(*descending)
     upto, prior = (W.unboundedPreceding, 0), (W.unboundedPreceding, -1)
     local, totals, carry = {}, [], {}
-    across, across_back = (W.partitionBy(*keys).orderBy("_segment").rowsBetween(*prior),
-                           W.partitionBy(*keys).orderBy(F.col("_segment").desc()).rowsBetween(*prior))
+    across, across_back = (W.partitionBy(*keys).orderBy(slot).rowsBetween(*prior),
+                           W.partitionBy(*keys).orderBy(F.col(slot).desc()).rowsBetween(*prior))
 
     for name, value in running.items():
         local[name] = F.sum(value).over(fore.rowsBetween(*upto))
@@ -70,7 +73,7 @@ def scan(
         if name in running else F.coalesce(F.col(name), F.col(f"_c_{name}"))
         for name in local
     }
-    return joined.withColumns(merged).drop("_segment", *[f"_c_{n}" for n in carry])
+    return joined.withColumns(merged).drop(*([] if named else [slot]), *[f"_c_{n}" for n in carry])
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], segment: Column, name: str) -> DataFrame:

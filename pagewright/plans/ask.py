@@ -65,9 +65,9 @@ class Retriever:
     def _lexical(self, collection: str, asked: DataFrame, k: int) -> DataFrame:
         """``asked(qid, question, subsystem)``; a subsystem filters after over-fetching, untagged rows stay."""
         keep = ["id", "ord", "sub_index", "tag"]
-        rows = self.store.table(collection, "items").withColumnRenamed("subsystem", "tag")
-        scored = lexical.score_questions(lexical.postings(rows, keep), asked.select("qid", "question"), keep,
-                                         self.store.stats(collection))
+        found = self.store.table(collection, "postings").withColumnRenamed("subsystem", "tag")
+        wide = k * rules.POSTFILTER_FACTOR
+        scored = lexical.candidates(found, asked.select("qid", "question"), keep, self.store.stats(collection), wide)
         scored = scored.join(asked.select("qid", "subsystem"), "qid")
         fits = F.col("tag").isin("UNKNOWN", "") | (F.col("tag") == F.col("subsystem"))
         ranked = lexical.best(scored, ["qid"], k, ["ord", "sub_index"], fits, F.col("subsystem").isNotNull())
@@ -155,9 +155,8 @@ class Retriever:
 
     def _details(self, collection: str, ranked: DataFrame) -> DataFrame:
         """Bodies and metadata of ranked ids: stored rows for vector hits, index payload for lexical hits."""
-        drop = ["ord", "embedding", "tokens", "dl"]
-        stored = self.store.table(collection, "rows").drop(*drop)
-        indexed = self.store.table(collection, "items").drop(*drop)
+        stored = self.store.table(collection, "rows").drop("ord", "embedding")
+        indexed = self.store.table(collection, "items").drop("ord")
         return (ranked.where("list_no = 0").join(stored, "id")
                 .unionByName(ranked.where("list_no = 1").join(indexed, "id")))
 

@@ -15,6 +15,7 @@ from pagewright.operators.ordered import first_wins
 from pagewright.operators.splitting import expand
 
 KNOWLEDGE, COMMANDS = "knowledge", "commands"
+POSTING_COLUMNS = ["id", "ord", "sub_index", "subsystem"]
 
 
 def stacked(*parts: DataFrame) -> DataFrame:
@@ -113,7 +114,8 @@ def prepared(items: DataFrame, id_col: str) -> DataFrame:
 
 class Store:
     """Stored collections below one folder: ``<collection>/rows`` (vectors and metadata, insert-only),
-    ``<collection>/items`` (tokens and payload) and ``<collection>/terms`` (term counts), both rewritten by a load."""
+    ``<collection>/items`` (payload), ``<collection>/postings`` and ``<collection>/terms`` (search index), the last three
+    rewritten by a load. Postings lie sorted by term, a frequent term over several files, so a question reads its terms."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -147,10 +149,13 @@ class Store:
 
     def index(self, collection: str, rows: DataFrame) -> None:
         keep = ["id", "ord", "document", *schema.METADATA]
-        (lexical.tokenized(rows, keep, F.col("embed_text")).write.mode("overwrite")
-         .parquet(self.path(collection, "items")))
-        counts = lexical.term_counts(self.table(collection, "items"))
-        counts.write.mode("overwrite").parquet(self.path(collection, "terms"))
+        rows.select(*keep).write.mode("overwrite").parquet(self.path(collection, "items"))
+        found = lexical.postings(lexical.tokenized(rows, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS)
+        (found.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+         .write.mode("overwrite").parquet(self.path(collection, "postings")))
+        texts = rows.agg(F.lit("").alias("term"), F.count("*").alias("df"))
+        counts = self.table(collection, "postings").groupBy("term").agg(F.count("*").alias("df"))
+        counts.unionByName(texts).write.mode("overwrite").parquet(self.path(collection, "terms"))
 
     def stats(self, collection: str) -> lexical.Stats:
         return lexical.Stats(self.table(collection, "terms"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import fusion, lexical, vectors
 from pagewright.operators.ordered import top_k
 from pagewright.plans import evaluate, render
+from pagewright.session import materialize
 from pagewright.suite import checks as c
 from pagewright.suite.inputs import derived, given, sql
 
@@ -14,7 +15,8 @@ K = 10
 
 
 def corpus(spark, folder):
-    return lexical.tokenized(given(spark, folder, "documents"), ["doc_id", "lang"], F.col("text"))
+    """Documents with their tokens, tokenized once and written."""
+    return materialize(lexical.tokenized(given(spark, folder, "documents"), ["doc_id", "lang"], F.col("text")), "tokens")
 
 
 def _question_vectors(spark, folder, keys):
@@ -50,7 +52,7 @@ def bm25_postfilter(spark, folder):
 def _benchmark_results(spark, folder):
     rows = corpus(spark, folder)
     asked = given(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    scored = lexical.score_questions(lexical.postings(rows, ["doc_id"]), asked, ["doc_id"], lexical.Stats.counted(rows))
+    scored = lexical.candidates(lexical.postings(rows, ["doc_id"]), asked, ["doc_id"], lexical.Stats.counted(rows), K)
     return lexical.best(scored, ["qid"], K, ["doc_id"])
 
 
@@ -81,9 +83,11 @@ def vector_batch(spark, folder):
 
 
 def _two_lists(spark, folder):
-    first = _bm25(spark, folder, QUESTION, 2 * K).withColumn("list_no", F.lit(0))
-    second = _bm25(spark, folder, OTHER, 2 * K).withColumn("list_no", F.lit(1))
-    return first.unionByName(second).withColumn("origin", F.col("list_no")).withColumn("qid", F.lit("q"))
+    rows = corpus(spark, folder)
+    stats = lexical.Stats.counted(rows)
+    lists = [lexical.best(lexical.score_question(rows, q, stats), [], 2 * K, ["doc_id"]).withColumn("list_no", F.lit(i))
+             for i, q in enumerate((QUESTION, OTHER))]
+    return lists[0].unionByName(lists[1]).withColumn("origin", F.col("list_no")).withColumn("qid", F.lit("q"))
 
 
 def rrf_fuse(spark, folder):

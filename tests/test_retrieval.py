@@ -164,3 +164,24 @@ def test_first_wins_is_idempotent_and_keeps_list_order(spark):
     once = ordered.first_wins(df, ["id"], ["ord"])
     assert sorted(map(tuple, once.collect())) == [("a", 1), ("b", 2)]
     assert sorted(map(tuple, ordered.first_wins(once, ["id"], ["ord"]).collect())) == [("a", 1), ("b", 2)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_candidates_hold_the_exact_best(spark, monkeypatch, k):
+    monkeypatch.setattr(lexical, "SEED_FACTOR", 1)
+    rng = random.Random(k)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 25))) for _ in range(150)]
+    rows = lexical.tokenized(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ["id"], F.col("text"))
+    asked = {f"q{i}": " ".join(rng.sample(vocabulary, 6)) for i in range(8)}
+    questions = spark.createDataFrame(list(asked.items()), "qid string, question string")
+    stats = lexical.Stats.counted(rows)
+    assert stats.floor >= 0
+    scored = lexical.candidates(lexical.postings(rows, ["id"]), questions, ["id"], stats, k).persist()
+    got = lexical.best(scored, ["qid"], k, ["id"]).collect()
+    for qid, question in asked.items():
+        scores = brute_bm25(texts, question)
+        expected = sorted((i for i, s in enumerate(scores) if s > 0), key=lambda i: (-round(scores[i], 9), i))[:k]
+        assert [r["id"] for r in sorted((r for r in got if r["qid"] == qid), key=lambda r: r["rank"])] == expected
+    if k == 1:
+        assert scored.count() < lexical.score_questions(lexical.postings(rows, ["id"]), questions, ["id"], stats).count()
