@@ -9,7 +9,8 @@ from pagewright.functions.text import tokens
 from pagewright.operators.ordered import top_k
 from pagewright.session import materialize
 
-SEED_FACTOR = 20      # texts per wanted result that the seed terms may bring
+PRUNE_ABOVE = 50_000_000      # postings of all questions together from which pruning pays
+SEED_FACTOR = 100     # texts per wanted result that the seed terms may bring
 _SLACK = 1e-6         # scores are compared after rounding, so the bar is set a little lower
 _TEXTS = ""      # no token is empty, so the count of this mark is the number of texts
 
@@ -93,7 +94,7 @@ def score_questions(found: DataFrame, questions: DataFrame, keep: list[str], sta
     texts: use :func:`candidates` where only the best are wanted.
     """
     weighted = _asked(questions, stats).select("qid", "term", "idf")
-    return _weigh(found.join(weighted, "term"), keep, stats).where("score > 0")
+    return _weigh(found.join(weighted, "term"), keep, stats).select("qid", *keep, "score").where("score > 0")
 
 
 def _asked(questions: DataFrame, stats: Stats) -> DataFrame:
@@ -112,18 +113,19 @@ def candidates(found: DataFrame, questions: DataFrame, keep: list[str], stats: S
 
     The rarest terms of a question alone give ``k`` texts whose scores the best must reach. Terms that together stay
     below that bar cannot lift a text over it, so only the other, rarer terms name candidates; the common ones are added
-    to candidates afterwards. The result holds the exact best ``k`` and never the texts of a common term.
+    to candidates afterwards. The result holds the exact best ``k``. Where all postings of the questions together are
+    few, or weights can be negative so that a sum of terms is no upper bound, every text is scored instead.
     """
-    if stats.floor < 0:     # with negative weights a sum of terms is no upper bound
-        return score_questions(found, questions, keep, stats)
     asked = materialize(_asked(questions, stats), "question-terms")
+    total = asked.agg(F.sum("df").alias("total")).first()["total"] or 0
+    if total <= PRUNE_ABOVE or stats.floor < 0:
+        matched = found.join(asked.select("qid", "term", "idf"), "term")
+        return _weigh(matched, keep, stats).select("qid", *keep, "score").where("score > 0")
     per_question = W.partitionBy("qid")      # as many rows as the question has terms
     rare_first = per_question.orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
     seeds = asked.withColumn("_before", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(
         F.col("_before") < SEED_FACTOR * k)
-    bar = (top_k(_weigh(found.join(seeds.select("qid", "term", "idf"), "term"), keep, stats), ["qid"],
-                 [F.col("score").desc()], k)
-           .groupBy("qid").agg(F.when(F.count("*") == k, F.min("score") - _SLACK).otherwise(F.lit(0.0)).alias("bar")))
+    bar = _reached(_weigh(found.join(seeds.select("qid", "term", "idf"), "term"), keep, stats), k)
     cheap_first = per_question.orderBy("idf", "term").rowsBetween(W.unboundedPreceding, 0)
     heaviest = length_weight(F.lit(1), F.lit(stats.avgdl))
     common = F.sum("idf").over(cheap_first) * heaviest < F.coalesce("bar", F.lit(0.0))
@@ -132,8 +134,11 @@ def candidates(found: DataFrame, questions: DataFrame, keep: list[str], stats: S
                                     F.coalesce(F.max("bar"), F.lit(0.0)).alias("bar"))
     named = _weigh(found.join(split.where(~F.col("common")).select("qid", "term", "idf"), "term"), keep, stats)
     weight = length_weight(F.col("dl"), F.lit(stats.avgdl))
-    able = materialize(named.join(rest, "qid").where((F.col("idf") + F.col("rest")) * weight >= F.col("bar"))
-                       .select("qid", *keep, "dl", "idf"), "candidates")
+    reach = (F.col("idf") + F.col("rest")) * weight
+    named = materialize(named.join(rest, "qid").where(reach >= F.col("bar")).drop("bar"), "named-texts")
+    # what the rarer terms alone reach is a higher bar for the common ones to lift a text over
+    able = named.join(_reached(named, k), "qid").where(reach >= F.col("bar")).select("qid", *keep, "dl", "idf")
+    able = materialize(able, "candidates")
     text_id = keep[0]
     commons = split.where("common").select("qid", "term", F.col("idf").alias("more"))
     held = found.join(commons.select("term").distinct(), "term", "left_semi").select(text_id, "term")
@@ -143,6 +148,13 @@ def candidates(found: DataFrame, questions: DataFrame, keep: list[str], stats: S
     return able.join(more, ["qid", text_id], "left").select("qid", *keep, (whole * weight).alias("score")).where("score > 0")
 
 
+def _reached(scored: DataFrame, k: int) -> DataFrame:
+    """(qid, bar): what the best ``k`` of a question reach at least, nothing while there are fewer."""
+    held = top_k(scored.select("qid", "score"), ["qid"], [F.col("score").desc()], k)
+    return held.groupBy("qid").agg(
+        F.when(F.count("*") == k, F.min("score") - _SLACK).otherwise(F.lit(0.0)).alias("bar"))
+
+
 def best(scored: DataFrame, keys: list[str], k: int, order: list[str], post: Column | None = None,
          filtered: Column | None = None) -> DataFrame:
     """Top ``k`` per key by score, ties by the ``order`` columns, rank in ``rank``.
