@@ -13,6 +13,7 @@ from pagewright.models import HashingEmbedder, SentenceModelEmbedder, local_chat
 from pagewright.operators.command_log import table_view
 from pagewright.plans import captions, evaluate as ev, render
 from pagewright.plans.ask import ask, Retriever
+from pagewright.plans.labelled import LABELLED
 from pagewright.plans.ingest import document_chunks, per_document
 from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store, breakdown, prepared, size_profile, stacked
 from pagewright.session import local_session
@@ -64,6 +65,7 @@ def caption(spark, args) -> None:
     results.where("error is null").select("fname", "caption").write.mode("append").parquet(_part(args, "caption_state"))
     captions.run_counts(done, due, results).show()
     state = src.read_state(spark, _part(args, "caption_state"))
+    captions.captioned_total(state).show()
     captioned = figures.join(state, "fname")
     captions.caption_chunks(captioned).withColumn("ord", F.monotonically_increasing_id()).write.mode(
         "overwrite").parquet(_part(args, "image_captions"))
@@ -74,7 +76,7 @@ def build(spark, args) -> None:
     store, embedder = Store(spark, _part(args, "store")), _embedder(args.embedder)
     for collection, id_col, names in ((KNOWLEDGE, "chunk_id", ["chunks", "image_captions"]),
                                       (COMMANDS, "record_id", ["commands"])):
-        parts = [spark.read.parquet(_part(args, n)) for n in names if os.path.exists(_part(args, n))]
+        parts = [t for n in names if (t := src.stored_table(spark, _part(args, n))) is not None]
         if not parts:
             continue
         items = stacked(*parts)
@@ -164,7 +166,7 @@ def chat(spark, args) -> None:
 
 
 def evaluation(spark, args) -> None:
-    labelled = ev.cases_from_json(spark, args.cases)
+    labelled = ev.cases_from_json(spark, args.cases) if args.cases else ev.cases(spark, LABELLED)
     frame = ev.evaluate(_retriever(spark, args), labelled, args.pool).persist()
     rows = [r.asDict() for r in frame.collect()]
     total = ev.totals(frame).first().asDict()
@@ -192,7 +194,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--open", action="store_true")
     p.add_argument("--no-sources", dest="sources", action="store_false"); p.set_defaults(run=question)
     p = sub.add_parser("chat"); p.add_argument("--k", type=int, default=rules.FINAL_K); p.set_defaults(run=chat)
-    p = sub.add_parser("evaluate"); p.add_argument("--cases", required=True)
+    p = sub.add_parser("evaluate"); p.add_argument("--cases")
     p.add_argument("--pool", type=int, default=rules.EVAL_POOL); p.add_argument("--json"); p.add_argument("--html")
     p.add_argument("--answers", action="store_true"); p.set_defaults(run=evaluation)
     return top

@@ -4,6 +4,7 @@ All questions of a call are answered by the same few jobs: one pass over the sto
 boost search together, one join of the question terms with the postings, and windows per question.
 """
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -160,6 +161,11 @@ class Retriever:
         return (ranked.where("list_no = 0").join(stored, "id")
                 .unionByName(ranked.where("list_no = 1").join(indexed, "id")))
 
+    def ready(self) -> dict[str, int]:
+        """Load the model once and count what is stored."""
+        self.embedder.embed(["warm up"])
+        return self.store.counts()
+
     def day(self, day: str) -> DataFrame:
         """All records of a day in time order, numbered."""
         return command_log.on_day(self.store.table(COMMANDS, "rows"), day)
@@ -242,3 +248,9 @@ def panel_answer(retriever: Retriever, question: str, top_k: int = rules.FINAL_K
         return {"type": "commands", "summary": answer.text, "rows": command_log.table_view(answer.table.orderBy("nth")),
                 "top_mnemonics": command_log.counter(answer.table, "mnemonic").limit(5)}
     return {"type": "knowledge", "answer": answer.text, "sources": answer.results, "images": answer.images}
+
+
+def panel_figures(images: list[str], shown: int = 3) -> tuple[list[str], int]:
+    """The figures to show, first those that exist on this machine, and how many more there are."""
+    present = [path for path in images if os.path.exists(path)]
+    return present[:shown], max(0, len(present) - shown)

@@ -106,6 +106,11 @@ def run_counts(done: DataFrame, due: DataFrame, results: DataFrame) -> DataFrame
     return outcome.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def captioned_total(state: DataFrame) -> DataFrame:
+    """One row: figures with a caption that says something, over all runs."""
+    return state.agg(F.count_if(F.coalesce("caption", F.lit("")) != "").alias("captioned"))
+
+
 def named(figures: DataFrame) -> DataFrame:
     """Figure paths with the document, page and index their names tell."""
     return figures.select("*", image_name_parts(F.col("path")).alias("_n")).select("*", "_n.*").drop("_n")

@@ -27,11 +27,12 @@ def document_chunks(spark: SparkSession, folder: str, registry: dict[str, str],
                     work_dir: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """(chunks, commands) of the registered files that exist. Keys decide the treatment: FCP has an index in front of
     its procedure bodies, MOR has numbered headings, TCH is the command log; other files go by their kind."""
-    present = {k: n for k, n in registry.items() if os.path.exists(os.path.join(folder, n))}
+    listed = src.binary_files(spark, folder).where(F.col("doc_filename").isin(list(registry.values())))
+    present = {r["doc_filename"] for r in listed.select("doc_filename").collect()}
     found: list[DataFrame] = []
     commands = None
     for doc_ord, (key, name) in enumerate(registry.items()):
-        if key not in present:
+        if name not in present:
             continue
         place, kind = folder, name.rsplit(".", 1)[-1].lower()
         if kind == "doc":

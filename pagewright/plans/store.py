@@ -13,6 +13,8 @@ from pagewright.models import Embedder
 from pagewright.operators import lexical
 from pagewright.operators.ordered import first_wins
 from pagewright.operators.splitting import expand
+from pagewright.session import materialize
+from pagewright.sources.files import stored_table
 
 KNOWLEDGE, COMMANDS = "knowledge", "commands"
 POSTING_COLUMNS = ["id", "ord", "sub_index", "subsystem"]
@@ -128,22 +130,29 @@ class Store:
 
     def ids(self, collection: str) -> DataFrame:
         """Stored ids only; no rows before the first load."""
-        try:
-            return self.table(collection, "rows").select("id")
-        except Exception as reason:
-            if "PATH_NOT_FOUND" not in str(reason):
-                raise
-            return self.spark.createDataFrame([], "id string")
+        rows = stored_table(self.spark, self.path(collection, "rows"))
+        return self.spark.createDataFrame([], "id string") if rows is None else rows.select("id")
 
     def pending(self, collection: str, rows: DataFrame) -> DataFrame:
         return rows.join(self.ids(collection), "id", "left_anti")
 
-    def load(self, collection: str, rows: DataFrame, embedder: Embedder, reset: bool = False) -> int:
-        """Insert the rows whose id is not stored yet, rebuild the search index from all rows; rows added."""
-        due = rows if reset else self.pending(collection, rows)
-        new = embedded(due, embedder)
+    def load(self, collection: str, rows: DataFrame, embedder: Embedder, reset: bool = False,
+             refresh: bool = False) -> int:
+        """Insert the rows whose id is not stored yet, rebuild the search index from all rows; rows added.
+
+        ``reset`` drops what is stored first; ``refresh`` replaces stored rows of the same id by the given ones.
+        """
+        target = self.path(collection, "rows")
         before = 0 if reset else self.ids(collection).count()
-        new.drop("embed_text").write.mode("overwrite" if reset else "append").parquet(self.path(collection, "rows"))
+        if reset or not before:
+            embedded(rows, embedder).drop("embed_text").write.mode("overwrite").parquet(target)
+        elif refresh:
+            kept = self.table(collection, "rows").join(rows.select("id"), "id", "left_anti")
+            new = embedded(rows, embedder).drop("embed_text")
+            materialize(kept.unionByName(new), "refreshed").write.mode("overwrite").parquet(target)
+        else:
+            new = embedded(self.pending(collection, rows), embedder).drop("embed_text")
+            new.write.mode("append").parquet(target)
         self.index(collection, rows)
         return self.ids(collection).count() - before
 

@@ -6,6 +6,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,11 +185,18 @@ def read_json_array(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Captions of earlier runs, or no rows where nothing readable was stored yet."""
+def stored_table(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame | None:
+    """A Parquet table, or None where nothing was stored yet."""
+    reader = spark.read.schema(ddl) if ddl else spark.read
     try:
-        return spark.read.schema(schema.CAPTION_STATE).parquet(path)
-    except Exception as reason:
-        if "PATH_NOT_FOUND" not in str(reason):
+        return reader.parquet(path)
+    except AnalysisException as reason:
+        if reason.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema.CAPTION_STATE)
+        return None
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """Captions of earlier runs; no rows before the first."""
+    found = stored_table(spark, path, schema.CAPTION_STATE)
+    return spark.createDataFrame([], schema.CAPTION_STATE) if found is None else found

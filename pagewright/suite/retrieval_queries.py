@@ -76,9 +76,17 @@ def vector_topk_filtered(spark, folder):
 
 
 def vector_batch(spark, folder):
-    """Forty searches in one pass, half of them filtered."""
-    v = _question_vectors(spark, folder, list(range(40)))
-    searches = [vectors.Search(str(i), v[i], K, *(("label", (str(i % 7),)) if i % 2 else ())) for i in sorted(v)]
+    """The mean direction of every label against all vectors, and against its own label's, in one pass."""
+    rows = given(spark, folder, "embeddings")
+    width = rows.select(F.size("embedding").alias("n")).first()["n"]
+    means = rows.groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(width)])
+                                      .alias("mean")).collect()
+    searches = []
+    for r in means:
+        length = sum(x * x for x in r["mean"]) ** 0.5
+        direction = tuple(x / length for x in r["mean"])
+        searches += [vectors.Search(f"all {r['label']}", direction, K),
+                     vectors.Search(f"own {r['label']}", direction, K, "label", (str(r["label"]),))]
     return _search(spark, folder, searches).select("list_key", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -247,10 +255,14 @@ QUERIES = {
         SELECT doc_id AS vec_id, rank, round(score, 6) AS score FROM v"""),
     "vector_topk_filtered": (vector_topk_filtered, f"""WITH {_nearest('e.label IN (1, 3)', K, 'v')}
         SELECT doc_id AS vec_id, rank, round(score, 6) AS score FROM v"""),
-    "vector_batch": (vector_batch, f"""SELECT q.vec_id::VARCHAR AS list_key, e.vec_id, row_number() OVER (PARTITION BY q.vec_id
-        ORDER BY round({_DOT}, 9) DESC, e.vec_id)::INT AS rank, round({_DOT}, 6) AS score
-        FROM embeddings e JOIN embeddings q ON q.vec_id < 40 AND (q.vec_id % 2 = 0 OR e.label = q.vec_id % 7)
-        QUALIFY rank <= {K}"""),
+    "vector_batch": (vector_batch, f"""WITH cell AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding,
+        unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i),
+        mean AS (SELECT label, list(x ORDER BY i) AS m FROM cell GROUP BY label),
+        q AS (SELECT label, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS embedding FROM mean),
+        pairs AS (SELECT 'all ' || q.label AS list_key, vec_id, {_DOT} AS score FROM embeddings e, q
+        UNION ALL SELECT 'own ' || q.label, vec_id, {_DOT} FROM embeddings e JOIN q USING (label))
+        SELECT list_key, vec_id, row_number() OVER (PARTITION BY list_key ORDER BY round(score, 9) DESC, vec_id)::INT AS rank,
+        round(score, 6) AS score FROM pairs QUALIFY rank <= {K}"""),
     "rrf_fuse": (rrf_fuse, f"""WITH {_CORPUS}, {c.bm25_scores(f"SELECT 0 AS qid, {c.quoted(QUESTION)} AS question UNION ALL SELECT 1, {c.quoted(OTHER)}")},
         lists AS (SELECT qid AS list_no, id AS doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)::INT
         AS rank FROM scored WHERE score > 0 QUALIFY rank <= {2 * K}), {_fusion('FROM lists', 2 * K)}

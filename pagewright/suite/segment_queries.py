@@ -194,7 +194,7 @@ def caption_writeback(spark, folder):
         .alias("image"))
     chunks = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("image")).alias("images")).select(
         F.col("l_orderkey").cast("string").alias("chunk_id"), F.col("l_orderkey").alias("ord"), "images")
-    state = given(spark, folder, "part").where("p_partkey % 3 = 0").select(
+    state = given(spark, folder, "part").where("p_size > 15").select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("fname"), F.col("p_name").alias("caption"))
     told = captions.write_back(chunks, state)
     return told.select("chunk_id", F.array_join(F.transform(
@@ -265,7 +265,7 @@ QUERIES = {
         l_partkey * 31 % 91000 AS at FROM lineitem)
         SELECT l_orderkey, l_linenumber, w.at, s.page FROM wanted w ASOF LEFT JOIN starts s ON w.doc = s.doc AND w.at >= s.at"""),
     "caption_writeback": (caption_writeback, """SELECT l_orderkey::VARCHAR AS chunk_id, string_agg('images/P' || l_partkey || '.png='
-        || CASE WHEN l_partkey % 3 = 0 THEN coalesce(p_name, '') ELSE '' END, ';'
+        || CASE WHEN p_size > 15 THEN p_name ELSE '' END, ';'
         ORDER BY 'images/P' || l_partkey || '.png', l_linenumber) AS figures
         FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey"""),
     "dedup_first": (dedup_first, """SELECT md5(text) AS text_key, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source

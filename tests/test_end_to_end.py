@@ -265,3 +265,32 @@ def test_command_line_build_and_ask(spark, site, tmp_path, capsys, monkeypatch):
     out = capsys.readouterr().out
     assert "**3 commands uplinked on 2026-06-09**" in out and "OBC-1 SWITCH OFF" in out
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
+
+
+def test_refresh_replaces_stored_rows(spark, tmp_path):
+    store = st.Store(spark, str(tmp_path / "store"))
+    def rows(*items):
+        df = spark.createDataFrame([(i, f"c{i}", t) for i, t in items], "ord bigint, chunk_id string, text string")
+        return st.prepared(df, "chunk_id")
+    assert store.load("k", rows((1, "one"), (2, "two")), HashingEmbedder(8)) == 2
+    assert store.load("k", rows((2, "changed"), (3, "three")), HashingEmbedder(8)) == 1
+    assert {r["document"] for r in store.table("k", "rows").collect()} == {"one", "two", "three"}
+    store.load("k", rows((2, "changed")), HashingEmbedder(8), refresh=True)
+    assert {r["document"] for r in store.table("k", "rows").collect()} == {"one", "changed", "three"}
+    store.load("k", rows((9, "only")), HashingEmbedder(8), reset=True)
+    assert [r["id"] for r in store.ids("k").collect()] == ["c9"]
+
+
+def test_default_questions_route_as_expected(spark):
+    from pagewright.functions.intents import route
+    from pagewright.plans.labelled import LABELLED
+    df = ev.cases(spark, LABELLED)
+    assert {r["id"] for r in df.where(route(F.col("q")) == "commands").collect()} == {"cmds_date"} and df.count() == 15
+
+
+def test_panel_figures(tmp_path):
+    from pagewright.plans.ask import panel_figures
+    paths = [str(tmp_path / f"{i}.png") for i in range(5)]
+    for path in paths[:4]:
+        open(path, "wb").close()
+    assert panel_figures(paths) == (paths[:3], 1)
