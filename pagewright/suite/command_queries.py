@@ -7,6 +7,7 @@ from pagewright.functions import classify, intents
 from pagewright.functions.text import escape_unprintable
 from pagewright.operators import command_log
 from pagewright.plans import render
+from pagewright.sources.tables import table
 from pagewright.suite import checks as c
 from pagewright.suite.inputs import derived, given, sql
 
@@ -44,15 +45,23 @@ SELECT 'TCH_' || sl_no AS record_id, sl_no, code, cid, mnemonic, command_time, {
 FROM {sql('log_fields')} WHERE length(sl_no) = 4"""
 
 
+def _day_commands(spark, folder):
+    """The day's commands; the day also bounds the time stamp, which the scan can use to skip row groups."""
+    ts = F.col("ts")
+    start = F.lit(DAY).cast("timestamp_ntz")
+    events = table(spark, folder, "events").where((ts >= start) & (ts < start + F.expr("INTERVAL 1 DAY")))
+    return derived(spark, folder, "commands", events=events)
+
+
 def log_by_date(spark, folder):
-    return command_log.on_day(derived(spark, folder, "commands"), DAY)
+    return command_log.on_day(_day_commands(spark, folder), DAY)
 
 
 _DAY_ROWS = f"""SELECT *, row_number() OVER (ORDER BY time, ord) AS nth FROM {sql('commands')} WHERE date = '{DAY}'"""
 
 
 def log_date_counts(spark, folder):
-    commands = command_log.on_day(derived(spark, folder, "commands"), DAY)
+    commands = _day_commands(spark, folder)
     by = [command_log.counter(commands, name).select(F.lit(name).alias("kind"), F.col(name).alias("value"), "n")
           for name in ("subsystem", "mnemonic")]
     return by[0].unionByName(by[1])

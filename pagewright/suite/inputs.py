@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.sources.tables import table
 
-SPREAD = {"documents": "doc_id", "conversations": "conv_id", "orders": "o_orderkey", "part": "p_partkey",
-          "events": "event_id", "lineitem": "l_orderkey"}
+SPREAD = ("documents", "conversations", "orders", "part", "events", "lineitem")
 
 INPUTS = {
     # events as parsed command records
@@ -159,13 +158,14 @@ INPUTS = {
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return table(spark, folder, name, SPREAD.get(name))
+    return table(spark, folder, name, name in SPREAD)
 
 
-def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the inputs as a DataFrame."""
+def derived(spark: SparkSession, folder: str, name: str, **narrowed: DataFrame) -> DataFrame:
+    """One of the inputs as a DataFrame; ``narrowed`` tables stand in for the whole ones where a filter is known."""
     text = INPUTS[name]
-    used = {t: given(spark, folder, t) for t in (*SPREAD, "labels", "embeddings", "benchmark") if f"{{{t}}}" in text}
+    used = {t: narrowed[t] if t in narrowed else given(spark, folder, t)
+            for t in (*SPREAD, "labels", "embeddings", "benchmark") if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 
 

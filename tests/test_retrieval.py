@@ -186,3 +186,15 @@ def test_candidates_hold_the_exact_best(spark, monkeypatch, k):
         assert [r["id"] for r in sorted((r for r in got if r["qid"] == qid), key=lambda r: r["rank"])] == expected
     if k == 1:
         assert scored.count() < lexical.score_questions(lexical.postings(rows, ["id"]), questions, ["id"], stats).count()
+
+
+def test_a_hot_key_spreads_over_tasks(spark):
+    rows = spark.range(20_000).withColumn("k", F.lit("hot"))
+    done = ordered.number_rows(rows, ["k"], ["id"], ordered.blocks_of(F.col("id"), 500), "n")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in done.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20_000 and len(sizes) > 1 and max(sizes) < 12_000
+    assert done.where("n <> id + 1").count() == 0
