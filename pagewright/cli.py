@@ -3,8 +3,8 @@
 import argparse
 import json
 import os
-import subprocess
-import sys
+import webbrowser
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -103,14 +103,12 @@ def _show(answer, show_sources: bool) -> None:
 
 
 def open_images(paths: list[str]) -> None:
-    """Open figures in the viewer of this machine."""
-    for path in paths:
-        if not os.path.exists(path):
-            print(f"  (missing) {path}")
-        elif hasattr(os, "startfile"):
-            os.startfile(path)
+    """Show figures with this machine's default program."""
+    for path in map(Path, paths):
+        if path.exists():
+            webbrowser.open(path.resolve().as_uri())
         else:
-            subprocess.Popen(["open" if sys.platform == "darwin" else "xdg-open", path])
+            print(f"  (missing) {path}")
 
 
 def question(spark, args) -> None:

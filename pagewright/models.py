@@ -3,7 +3,8 @@
 Embedders work on lists of texts and are created once per task; captioners and generators are plain callables.
 """
 
-import hashlib
+import re
+import zlib
 from typing import Protocol
 
 import numpy as np
@@ -50,14 +51,12 @@ class HashingEmbedder:
         self.dimension = dimension
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        import re
         out = np.zeros((len(texts), self.dimension), dtype=np.float32)
         for i, text in enumerate(texts):
             low = (text or "").lower()
             for token in {*re.findall(COMPOUND_TOKEN, low), *re.findall(STANDARD_TOKEN, low)}:
-                digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
-                slot = int.from_bytes(digest[:7], "big") % self.dimension
-                out[i, slot] += 1.0 if digest[7] & 1 else -1.0
+                code = zlib.crc32(token.encode())
+                out[i, (code >> 1) % self.dimension] += 1.0 if code & 1 else -1.0
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
 

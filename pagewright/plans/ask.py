@@ -17,6 +17,7 @@ from pagewright.models import Embedder, Generator
 from pagewright.operators import command_log, fusion, lexical, vectors
 from pagewright.operators.ordered import top_k
 from pagewright.plans import render
+from pagewright.session import materialize
 from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store
 
 RANKED = "qid string, rank int, id string, list_no int, score double"
@@ -96,8 +97,8 @@ class Retriever:
                                              ("image_caption",)))
             if p["procedure"]:
                 wanted.append(vectors.Search(f"procedure|{p['qid']}", v, rules.BOOST_FETCH, "source_doc", ("FCP",)))
-        # the lists hold at most k rows per question; keeping them spares a second pass over the vectors
-        lists = self._semantic(KNOWLEDGE, wanted).persist()
+        # at most k rows per question; written, so the vectors are passed over once
+        lists = materialize(self._semantic(KNOWLEDGE, wanted), "vector-hits")
         tagged, every = lists.where("kind = 'tagged'"), lists.where("kind = 'all'")
         semantic = tagged.unionByName(every.join(tagged.select("qid").distinct(), "qid", "left_anti"))
         asked = self.spark.createDataFrame([(p["qid"], p["question"], p["subsystem"]) for p in plan],
@@ -209,7 +210,8 @@ def ask(retriever: Retriever, question: str, top_k: int = rules.FINAL_K, subsyst
             return Answer(question, COMMANDS, f"No commands found for {asked['day']}.")
         return Answer(question, COMMANDS, summary, table=listing)
     _, results = retriever.retrieve([{"qid": "q", "question": question, "hint": subsystem}], answering(top_k))
-    results = results.persist()      # at most a few rows; several short texts derive from them
+    # at most k rows and four boosted ones, from which several short texts derive
+    results = retriever.spark.createDataFrame(results.collect(), results.schema)
     if asked["route"] == COMMANDS:
         lines = render.ranked_lines(results).orderBy("rank").collect()
         if not lines:

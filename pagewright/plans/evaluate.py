@@ -11,6 +11,7 @@ from pagewright.functions.text import strip
 from pagewright.operators.ordered import first_wins
 from pagewright.plans.ask import Retriever, ask, evaluating
 from pagewright.plans.render import source_label
+from pagewright.session import materialize
 
 HIT_RANKS = [1, 3, 5]
 
@@ -80,7 +81,7 @@ def evaluate(retriever: Retriever, labelled: DataFrame, pool: int = rules.EVAL_P
     """Evaluation rows of all cases."""
     questions = [{"qid": r["id"], "question": r["q"]} for r in labelled.select("id", "q").collect()]
     plan, results = retriever.retrieve(questions, evaluating(pool))
-    results = results.persist()
+    results = materialize(results, "evaluated")
     routes = retriever.spark.createDataFrame([(p["qid"], p["route"]) for p in plan], "id string, route string")
     ranks = with_hits(first_relevant(results, labelled, "document", schema.METADATA))
     top = first_wins(results, ["qid"], ["rank"]).select(F.col("qid").alias("id"), source_label().alias("top_source"))

@@ -142,6 +142,7 @@ class Store:
 
         ``reset`` drops what is stored first; ``refresh`` replaces stored rows of the same id by the given ones.
         """
+        rows = materialize(rows, "prepared")      # split once; the vectors and three index tables derive from it
         target = self.path(collection, "rows")
         before = 0 if reset else self.ids(collection).count()
         if reset or not before:
@@ -159,7 +160,9 @@ class Store:
     def index(self, collection: str, rows: DataFrame) -> None:
         keep = ["id", "ord", "document", *schema.METADATA]
         rows.select(*keep).write.mode("overwrite").parquet(self.path(collection, "items"))
-        found = lexical.postings(lexical.tokenized(rows, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS)
+        # written first: ordering by range samples its input before it moves it
+        found = materialize(lexical.postings(lexical.tokenized(rows, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS),
+                            "postings")
         (found.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
          .write.mode("overwrite").parquet(self.path(collection, "postings")))
         texts = rows.agg(F.lit("").alias("term"), F.count("*").alias("df"))

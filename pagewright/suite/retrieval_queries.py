@@ -1,12 +1,19 @@
 """Search, fusion, boosts, citations and evaluation."""
 
+import os
+
 from pyspark.sql import functions as F
 
+from pagewright.functions.classify import procedure_number, subsystem_of
+from pagewright.models import HashingEmbedder
 from pagewright.operators import fusion, lexical, vectors
-from pagewright.operators.ordered import top_k
 from pagewright.plans import evaluate, render
-from pagewright.session import materialize
+from pagewright.plans.ask import Retriever, evaluating
+from pagewright.plans.labelled import LABELLED
+from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store, prepared
+from pagewright.session import materialize, shared_dir
 from pagewright.suite import checks as c
+from pagewright.suite.command_queries import DAY
 from pagewright.suite.inputs import derived, given, sql
 
 QUESTION = "the license of this and that v1.0 data"
@@ -130,6 +137,30 @@ def boost_prepend(spark, folder):
     return _hybrid(spark, folder, True)
 
 
+def built_store(spark, folder):
+    """Documents and events loaded into a new store: split, embedded, indexed."""
+    store = Store(spark, os.path.join(shared_dir(spark), f"store-{os.urandom(8).hex()}"))
+    docs = derived(spark, folder, "manual_pages").select(
+        F.concat(F.lit("D"), F.col("page").cast("string")).alias("chunk_id"), "text", F.col("page").cast("bigint").alias("ord"),
+        F.when(F.col("page") % 4 == 0, "FCP").otherwise("MOR").alias("source_doc"), F.lit("section").alias("content_type"), "page",
+        subsystem_of(F.col("text")).alias("subsystem"), procedure_number(F.col("text")).alias("fcp_number"))
+    records = derived(spark, folder, "commands").withColumns({
+        "record_id": F.concat(F.lit("TCH_"), F.col("ord").cast("string")), "source_doc": F.lit("TCH"),
+        "text": F.concat_ws(" ", "mnemonic", "cid", "date", "status")})
+    embedder = HashingEmbedder(64)
+    store.load(KNOWLEDGE, prepared(docs, "chunk_id"), embedder)
+    store.load(COMMANDS, prepared(records, "record_id"), embedder)
+    return Retriever(store, embedder)
+
+
+def labelled_retrieval(spark, folder):
+    """The default questions and two about the log, through routing, both searches, fusion and boosts."""
+    asked = [{"qid": c["id"], "question": c["q"]} for c in LABELLED]
+    asked += [{"qid": "day", "question": f"commands on {DAY}"}, {"qid": "records", "question": "uplinked ERROR COMMAND 7"}]
+    _, results = built_store(spark, folder).retrieve(asked, evaluating())
+    return results.select("qid", "rank", "id", "list_no", F.round("score", 6).alias("score"), "source_doc", "fcp_number")
+
+
 def source_citations(spark, folder):
     return render.citations(derived(spark, folder, "results"))
 
@@ -275,6 +306,7 @@ QUERIES = {
         once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY part, rank) = 1)
         SELECT doc_id, row_number() OVER (ORDER BY part, once.rank)::INT AS rank, origin, round(score, 6) AS score, lang
         FROM once JOIN documents USING (doc_id)"""),
+    "labelled_retrieval": (labelled_retrieval, None),
     "source_citations": (source_citations, f"""{_CITED} SELECT qid, nth, '  ' || concat_ws(' · ', '[' || nth || ']', source_doc,
         CASE WHEN fcp_number <> '' THEN 'FCP-' || fcp_number END, {_SUBSYSTEM}, CASE WHEN page <> 0 THEN 'p.' || page END,
         CASE WHEN section_heading <> '' THEN '"' || substring(section_heading, 1, 55) || CASE WHEN length(section_heading) > 55

@@ -1,5 +1,6 @@
 """Blocks, sections, packer and splitter against small sequential models."""
 
+import functools
 import random
 import re
 
@@ -13,27 +14,22 @@ HEADER = re.compile(rules.BLOCK_HEADER, re.I)
 
 
 def model_blocks(pages):
-    """(start page, heading, page numbers) of one document's emitted blocks, page by page."""
-    emitted, held, start, head = [], [], None, ("", "")
-
-    def close():
-        if any(text.strip() for _, text in held):
-            emitted.append((start, *head, [p for p, _ in held], "\n".join(t for _, t in held).strip()))
-            held.clear()
-
+    """(start page, number, heading, text) of one document's blocks that hold text, page by page."""
+    groups, head = [], ("", "")
     for page, text in pages:
         header = HEADER.search(text)
-        if held and header:
-            close()
-            start, head = page, (header[2], header[0].strip())
-        elif not held:
-            start = page
-            head = (header[2], header[0].strip()) if header else head
-        held.append((page, text))
-        if rules.BLOCK_END in text:
-            close()
-    close()
-    return emitted
+        current = groups[-1] if groups and not groups[-1]["ended"] else None
+        if current is None or (header and "".join(current["texts"]).strip()):
+            current = {"start": page, "texts": [], "head": head}
+            groups.append(current)
+        elif header:
+            current["start"] = page
+        if header:
+            current["head"] = head = (header[2], header[0].strip())
+        current["texts"].append(text)
+        current["ended"] = rules.BLOCK_END in text
+    whole = [(g["start"], *g["head"], "\n".join(g["texts"]).strip()) for g in groups]
+    return [g for g in whole if g[-1]]
 
 
 def random_pages(seed, n):
@@ -54,7 +50,7 @@ def test_procedure_blocks_match_the_page_by_page_model(spark, width):
             r["page"], r["fcp_number"], r["section_heading"], r["text"], r["subsystem"], r["content_type"])
     for doc, rows in docs.items():
         expected = {}
-        for nth, (start, number, heading, _, text) in enumerate(model_blocks(rows)):
+        for nth, (start, number, heading, text) in enumerate(model_blocks(rows)):
             own = re.search(rules.PROCEDURE_NUMBER, text)
             number = number or (own[1] if own else "")
             sub = next((n for n, p in rules.SUBSYSTEM_KEYWORDS if re.search(p, f"{heading} {text}", re.I)), None)
@@ -115,14 +111,15 @@ def test_styled_sections(spark):
 
 
 def model_pack(text, size=1000):
-    out, held = [], ""
-    for paragraph in filter(None, (p.strip() for p in text.split("\n"))):
-        if len(held) + len(paragraph) < size:
-            held += "\n" + paragraph
-        else:
-            out += [held.strip()] if held else []
-            held = paragraph
-    return out + ([held.strip()] if held else [])
+    def put(packs, paragraph):
+        # an opened pack counts the line end in front of its first paragraph unless it was opened by overflow
+        fits = packs and packs[-1][0] + len(paragraph) < size
+        if fits:
+            return packs[:-1] + [(packs[-1][0] + 1 + len(paragraph), packs[-1][1] + [paragraph])]
+        return packs + [(len(paragraph) + (not packs and len(paragraph) < size), [paragraph])]
+
+    lines = [line.strip() for line in text.split("\n") if line.strip()]
+    return ["\n".join(held) for _, held in functools.reduce(put, lines, [])]
 
 
 def test_packer(spark):
@@ -159,22 +156,16 @@ def test_numbered_sections(spark):
 
 
 def model_split(text, size=1500, overlap=200):
+    def windows(at):
+        if at + size >= len(text):
+            return [(at, len(text))]
+        marks = [m for m in rules.SPLIT_SEPARATORS if m in text[at + overlap:at + size]]
+        end = text.rindex(marks[0], at + overlap, at + size) + len(marks[0]) if marks else at + size
+        return [(at, end), *windows(max(at + 1, end - overlap))]
+
     if len(text) <= size:
         return [text]
-    out, at = [], 0
-    while at < len(text):
-        if at + size >= len(text):
-            out.append(text[at:].strip())
-            break
-        cut = at + size
-        for mark in (". ", ".\n", "\n\n", "\n", " "):
-            where = text.rfind(mark, at + overlap, at + size)
-            if where > at:
-                cut = where + len(mark)
-                break
-        out.append(text[at:cut].strip())
-        at = max(at + 1, cut - overlap)
-    return [p for p in out if p]
+    return [piece for a, b in windows(0) if (piece := text[a:b].strip())]
 
 
 def test_splitter_and_expansion(spark):
