@@ -82,7 +82,9 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], segment: Colum
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each key, 1-based rank in ``name``. Tasks cut to ``k`` before the shuffle."""
+    """The first ``k`` rows of each key, or of all rows; 1-based rank in ``name``. Tasks cut to ``k`` before the shuffle."""
+    if not keys:
+        df = df.orderBy(*order).limit(k)
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(name) <= k)
 

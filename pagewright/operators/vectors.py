@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pagewright.operators.ordered import top_k
 
 QUERY_BYTES = 64 << 20      # question vectors shipped with one pass over the store
+PASS_SEARCHES = 1024        # searches of one pass; a task holds the scores of one Arrow batch for all of them
 
 
 @dataclass(frozen=True)
@@ -91,7 +92,7 @@ def search(store: DataFrame, searches: list[Search], id_col: str, ord_cols: list
     """
     if not searches:
         raise ValueError("no searches given")
-    per_pass = max(1, QUERY_BYTES // (8 * max(1, len(searches[0].vector))))
+    per_pass = min(PASS_SEARCHES, max(1, QUERY_BYTES // (8 * max(1, len(searches[0].vector)))))
     found = None
     for i in range(0, len(searches), per_pass):
         rows = _one_pass(store, searches[i:i + per_pass], id_col, ord_cols)
