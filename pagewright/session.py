@@ -1,6 +1,7 @@
 """Session settings the jobs expect. On a cluster the caller's own settings win."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,9 +27,12 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for written tables; a temporary one only where none is set (tests)."""
+    """The folder the cluster names for written tables; a temporary one only where none is set and the master is local
+    (tests): elsewhere executors would not see each other's files, so an unset folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
