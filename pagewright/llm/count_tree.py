@@ -54,20 +54,41 @@ class Tree:
         return self.order[nodes]
 
 
-def link(points: np.ndarray, sizes: np.ndarray, verified: Callable[[int, int], bool] | None = None,
+def _folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(-1, groups).sum(axis=0)
+
+
+def link(points: list[np.ndarray], sizes: np.ndarray, verified: Callable[[int, int], bool] | None = None,
          asking: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect the points as all their links would. A pair that is connected already is not looked at again.
 
-    ``verified`` judges a surviving pair; without it the bound decides. ``asking``: only pairs with one of these points.
+    Points have a power of two of groups, more for larger sets; each number of groups has a tree of its own, which holds
+    larger points folded. ``verified`` judges a surviving pair; without it the bound decides. ``asking``: only pairs with
+    one of these points.
     """
-    if len(points) < 2:
+    m = len(points)
+    if m < 2:
         return []
-    tree, joined, edges = Tree(points, sizes), np.arange(len(points)), []
-    for i in range(len(points)) if asking is None else asking.tolist():
-        near = tree.near(points[i], int(sizes[i]))
-        near = near[joined[near] != joined[i]]
-        for j in near.tolist():
-            if joined[i] != joined[j] and (verified is None or verified(i, j)):
-                edges.append((i, j))
-                joined[joined == joined[j]] = joined[i]
+    groups, joined, edges = np.array([len(p) for p in points]), np.arange(m), []
+    asks = np.zeros(m, bool)
+    asks[np.arange(m) if asking is None else asking] = True
+    for width in np.unique(groups).tolist():
+        level = groups == width
+        # larger points are in this tree if their size is near enough to some of this level
+        inside = np.flatnonzero(level | ((groups > width) & (3 * sizes <= 4 * sizes[level].max())))
+        if len(inside) < 2 or not asks[inside].any():
+            continue
+        held = np.array([_folded(points[i], width) for i in inside])
+        tree = Tree(held, sizes[inside])
+        for at, i in enumerate(inside.tolist()):
+            if not asks[i]:
+                continue
+            near = inside[tree.near(held[at], int(sizes[i]))]
+            near = near[joined[near] != joined[i]]
+            if not level[i]:
+                near = near[level[near]]          # pairs of larger points meet in their own tree
+            for j in near.tolist():
+                if joined[i] != joined[j] and (verified is None or verified(i, j)):
+                    edges.append((i, j))
+                    joined[joined == joined[j]] = joined[i]
     return edges

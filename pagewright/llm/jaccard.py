@@ -39,8 +39,9 @@ WORDS = 5
 #: Counters of the frequency table, and how they are cut to be summed.
 COUNTERS = 1 << 19
 SLICE = 1 << 12
-#: Groups of a count vector.
-GROUPS = 128
+#: Groups of a count vector: a power of two from 2**6 to 2**14, a fourth of the set's size or more. Fewer groups would
+#: fill up and bound nothing; vectors of neighbouring lengths compare by folding the longer one.
+LEAST_GROUPS, MOST_GROUPS = 6, 14
 #: Classes of a bucket or cluster that one task compares.
 CHUNK = 512
 #: Classes of a cut cluster that every chunk holds, about.
@@ -92,15 +93,18 @@ def fingerprint(held: np.ndarray) -> tuple[int, int]:
 
 def counts_of(held: np.ndarray) -> np.ndarray:
     """Group counts of a set."""
-    return np.bincount((held >> np.uint64(50)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    groups = 1 << min(MOST_GROUPS, max(LEAST_GROUPS, (len(held) // 4).bit_length()))
+    return np.bincount((held >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+    """A byte for the width of a count, then the counts."""
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32).astype(np.int32)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
@@ -217,11 +221,11 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for table, start, end in _runs(batches, ["token", "chunk"]):
         held, points = columns.of(table)
         c = held["c"][start:end]
-        if held["many"][start] > CHUNK:
+        if held["cut"][start]:
             least = int(held["least"][start])
             out += [(int(x), least) for x in c if x != least]
         else:
-            out += [(int(c[i]), int(c[j])) for i, j in link(np.array(points[start:end]), held["n"][start:end])]
+            out += [(int(c[i]), int(c[j])) for i, j in link(points[start:end], held["n"][start:end])]
         if len(out) > 10_000:
             yield _edge_batch(out)
             out = []
@@ -237,11 +241,11 @@ def _cluster_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         sets = [np.frombuffer(raw.as_py(), np.uint64) for raw in table.column("held").slice(start, end - start)]
 
         def verified(i: int, j: int) -> bool:
-            overlap = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+            overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             return bool(enough(overlap, len(sets[i]), len(sets[j])))
 
         asking = np.flatnonzero(held["asks"][start:end])
-        out += [(int(c[i]), int(c[j])) for i, j in link(np.array(points[start:end]), n, verified, asking)]
+        out += [(int(c[i]), int(c[j])) for i, j in link(points[start:end], n, verified, asking)]
         if len(out) > 10_000:
             yield _edge_batch(out)
             out = []
@@ -252,7 +256,7 @@ def _tiled(rows: DataFrame, keys: list[str], edges) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(edges, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, root), one row a document; component_id is the smallest id of its
     component, root names the component whether or not it has an id (null for the empty set)."""
     spark = df.sparkSession
@@ -305,8 +309,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
                                              ["token", "c", "n", "vector"])
 
     places = profiles.mapInArrow(placed, "token bigint, c bigint, n bigint, vector binary").join(buckets, "token")
-    chunks = F.ceil(F.col("many") / CHUNK)
-    cut = places.select("token", "c", "n", "vector", "many", "least", F.pmod(F.xxhash64("c"), chunks).alias("chunk"))
+    chunks = F.ceil(F.col("many") / chunk)
+    cut = places.select("token", "c", "n", "vector", (F.col("many") > chunk).cast("int").alias("cut"), "least",
+                        F.pmod(F.xxhash64("c"), chunks).alias("chunk"))
     clusters = written(components(_tiled(cut, ["token", "chunk"], _bucket_edges)).select(
         F.col("node").alias("c"), F.col("root").alias("cluster")), "clusters")
 
@@ -329,9 +334,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     met = found.withColumns(named_by).join(grouped, same).dropDuplicates(same)
     sets = written(met.select("cluster", "many", "c", "n", "vector", "held"), "sets")
 
-    chunks = F.ceil(F.col("many") / CHUNK)
+    chunks = F.ceil(F.col("many") / chunk)
     own = F.array(F.pmod(F.xxhash64("c"), chunks))
-    pivot = (F.col("many") > CHUNK) & (F.pmod(F.xxhash64("c", F.lit(8)), F.col("many")) < PIVOTS)
+    pivot = (F.col("many") > chunk) & (F.pmod(F.xxhash64("c", F.lit(8)), F.col("many")) < PIVOTS)
     tiles = sets.withColumn("tile", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("bigint"), chunks - 1)).otherwise(own)))
     tiles = tiles.withColumns({"side": F.lit(0).cast("bigint"), "asks": F.lit(1)})
     keys_of = ["cluster", "tile", "side"]
@@ -339,8 +344,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     joined = components(links)
 
     # of cut clusters: what is outside the largest component is compared with everything in the cluster
-    if sets.where(F.col("many") > CHUNK).take(1):
-        big = sets.where(F.col("many") > CHUNK)
+    if sets.where(F.col("many") > chunk).take(1):
+        big = sets.where(F.col("many") > chunk)
         named = big.select("cluster", "c").join(joined, F.col("c") == F.col("node"), "left").select(
             "cluster", "c", F.coalesce("root", "c").alias("root"))
         largest = named.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(
@@ -349,7 +354,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         left = outside.groupBy("cluster").agg(F.count("*").alias("left"))
         marked = big.join(left, "cluster").join(outside.select("c", F.lit(1).alias("asks")), "c", "left")
         marked = marked.withColumn("asks", F.coalesce("asks", F.lit(0)))
-        sides = F.ceil(F.col("left") / CHUNK)
+        sides = F.ceil(F.col("left") / chunk)
         here, there = F.pmod(F.xxhash64("c"), chunks), F.pmod(F.xxhash64("c", F.lit(9)), sides)
         zero = F.lit(0).cast("bigint")
         asked = marked.withColumn("asks", F.lit(0)).withColumn("tile", here).withColumn("side", F.explode(F.sequence(zero, sides - 1)))
