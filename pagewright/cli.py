@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from pagewright import rules
 from pagewright.models import HashingEmbedder, SentenceModelEmbedder, local_chat, local_vision
 from pagewright.operators.command_log import table_view
+from pagewright.operators.ordered import number_rows
 from pagewright.plans import captions, evaluate as ev, render
 from pagewright.plans.ask import ask, Retriever
 from pagewright.plans.labelled import LABELLED
 from pagewright.plans.ingest import document_chunks, per_document
 from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store, breakdown, prepared, size_profile, stacked
-from pagewright.session import local_session
+from pagewright.session import local_session, materialize
 from pagewright.sources import files as src
 from pagewright.sources.sinks import append_audit, write_csv, write_files
 
+#: Figures captioned between two saves.
+CAPTION_WAVE = 200
+
 CHAT_HELP = """Commands:
   :exit              quit
   :k <number>        number of sources
@@ -39,7 +43,7 @@ def _part(args, name: str) -> str:
 def extract(spark, args) -> None:
     with open(args.registry, encoding="utf-8") as source:
         registry = json.load(source)
-    chunks, commands = document_chunks(spark, args.input, registry, args.work)
+    chunks, commands = document_chunks(spark, args.input, registry)
     if chunks is not None:
         chunks.write.mode("overwrite").parquet(_part(args, "chunks"))
         per_document(spark.read.parquet(_part(args, "chunks"))).show(truncate=False)
@@ -49,26 +53,41 @@ def extract(spark, args) -> None:
         kind = name.rsplit(".", 1)[-1].lower()
         if kind in ("pdf", "docx") and os.path.exists(os.path.join(args.input, name)):
             files = src.registered(spark, args.input, {key: name})
+            if kind == "pdf":
+                pages = src.read_pdf(files).select("doc_key", F.explode("pages").alias("p")).select("doc_key", "p.page", "p.text")
+                pages.write.mode("append").parquet(_part(args, "pages"))
             write_files((src.read_pdf_images if kind == "pdf" else src.read_docx_images)(files), _part(args, "images"))
 
 
 def caption(spark, args) -> None:
     chunks = spark.read.parquet(_part(args, "chunks"))
-    state = src.read_state(spark, _part(args, "caption_state"))
-    figures = captions.with_context(src.read_images(spark, _part(args, "images")), chunks)
+    state = materialize(src.read_state(spark, _part(args, "caption_state")), "caption-state")
+    # context is looked up without the pictures, which join last
+    pictures = src.read_images(spark, _part(args, "images"))
+    pages = src.stored_table(spark, _part(args, "pages"))
+    narrow = captions.with_context(pictures.drop("content"), chunks, pages)
+    figures = narrow.join(pictures.select("fname", "content"), "fname")
     done, due = captions.done_and_due(figures, state)
     due = captions.prompts(due)
     if args.dry_run:
-        due.where("skip is null").select("fname", "doc_key", "page").orderBy("fname").show(args.limit or 1000, False)
+        listed = due.where("skip is null").select("fname", "doc_key", "page").orderBy("fname")
+        for row in (listed.limit(args.limit) if args.limit else listed).toLocalIterator():
+            print(*row, sep="\t")
         return
-    results = captions.caption_figures(due, local_vision(), args.limit).persist()
-    results.where("error is null").select("fname", "caption").write.mode("append").parquet(_part(args, "caption_state"))
-    captions.run_counts(done, due, results).show()
+    run_folder = os.path.join(_part(args, "caption_runs"), os.urandom(8).hex())
+    shares = [due] if args.limit else captions.waves(due, CAPTION_WAVE)
+    for n, share in enumerate(shares):            # what is captioned stays when a later share fails
+        path = os.path.join(run_folder, f"share={n}")
+        captions.caption_figures(share, local_vision(), args.limit).write.parquet(path)
+        spark.read.parquet(path).where("error is null").select("fname", "caption").write.mode("append").parquet(
+            _part(args, "caption_state"))
+    # done and due as they were when the run began; the results as they were written
+    captions.run_counts(done, due, spark.read.parquet(run_folder).drop("share")).show()
     state = src.read_state(spark, _part(args, "caption_state"))
     captions.captioned_total(state).show()
     captioned = figures.join(state, "fname")
-    captions.caption_chunks(captioned).withColumn("ord", F.monotonically_increasing_id()).write.mode(
-        "overwrite").parquet(_part(args, "image_captions"))
+    names = number_rows(captioned.select("fname"), [], ["fname"], F.lit(0), "ord")      # list order is by file name
+    captions.caption_chunks(captioned.join(names, "fname"), "ord").write.mode("overwrite").parquet(_part(args, "image_captions"))
     captions.write_back(chunks, state).write.mode("overwrite").parquet(_part(args, "chunks_captioned"))
 
 
@@ -166,7 +185,7 @@ def chat(spark, args) -> None:
 def evaluation(spark, args) -> None:
     labelled = ev.cases_from_json(spark, args.cases) if args.cases else ev.cases(spark, LABELLED)
     frame = ev.evaluate(_retriever(spark, args), labelled, args.pool).persist()
-    rows = [r.asDict() for r in frame.collect()]
+    rows = [r.asDict() for r in frame.orderBy("ord").collect()]
     total = ev.totals(frame).first().asDict()
     print(ev.report_text(rows, total))
     if args.answers:

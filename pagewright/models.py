@@ -11,20 +11,18 @@ import numpy as np
 
 from pagewright.rules import COMPOUND_TOKEN, STANDARD_TOKEN
 
-# ---- fixed values: prompts -----------------------------------------------------------------------
-ANSWER_INSTRUCTIONS = """You answer questions about spacecraft operations for a control room.
-Use only the context you are given, which comes from the official documents.
-
-- For a procedure, give its number and list its steps.
-- For a figure, name the figure and the page it is on.
-- When the context does not hold the answer, say "Not found in available documents."
-- Name the document and section behind each statement, and stay short and exact."""
+# ---- prompts ---------------------------------------------------------------------------------------
+# "Not found in available documents." is a fixed value; the rest is this engine's own wording.
+ANSWER_INSTRUCTIONS = """The numbered passages below were retrieved for the question that follows them. Write the answer
+that they support, and mark every claim with the passage it rests on, like [2]. Keep numbers, command names and
+identifiers exactly as printed. If the passages do not answer the question, reply only: "Not found in available documents."
+"""
 
-CAPTION_REQUEST = """Describe this figure in at most five sentences so that it can be found by search. Name the kind of
-figure, the phase or operation it shows, the subsystem, the labels, identifiers and values that are visible, and what
-it means for operations. Keep technical terms as they are written, and state nothing the context does not support.
+CAPTION_REQUEST = """You index figures of a technical archive. Read the picture, then the page text given with it, and
+write a short paragraph of search terms in running prose: what is drawn, every legible label and value, and how the page
+text refers to it. Leave out whatever neither of the two shows.
 
-Caption:"""
+Paragraph:"""
 
 
 class Embedder(Protocol):

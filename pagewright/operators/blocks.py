@@ -2,8 +2,8 @@
 
 Pages and paragraphs are rows, so one long document spreads over many tasks. What a chunk needs besides its text
 (where it starts, its heading, its labels) is worked out on narrow rows without text; the text is shuffled to its
-chunk last. A chunk of more than ``PART_ROWS`` pages continues in further parts, which keeps every group bounded and
-the text whole.
+chunk last. A chunk is one row whatever its length, unless the caller asks for parts: ``part_rows`` pages a part, named
+in the id, for texts that are too long for a cell.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +18,8 @@ from pagewright.operators.ordered import blocks_of, first_wins, number_rows, sca
 from pagewright.operators.splitting import pack_paragraphs
 from pagewright.session import materialize
 
-PART_ROWS = 2048
-SPAN_CHARS = 64          # longer than any keyword, so a lead of this length shows every match across the heading
+# a lead longer than any keyword shows every match across the heading
+SPAN_CHARS = max(64, *(len(pattern) for _, pattern in rules.SUBSYSTEM_KEYWORDS))
 
 # a signal cut by a page break: its word ends one page and its colon opens the next
 _OPEN_PROCEDURE = r"\b(?:PROCEDURE|APPLICABILITY)\s*$|\b[56]\d{3}\s*$"
@@ -60,7 +60,13 @@ def page_features(pages: DataFrame) -> DataFrame:
     )
 
 
-def assign_blocks(features: DataFrame, index_first: Column | bool = True, segment_width: int = 4096) -> DataFrame:
+def _part_of(row: Column, part_rows: int | None) -> Column:
+    """Number of the part a row of a chunk belongs to; 0 for all where no parts are asked for."""
+    return F.floor(row / part_rows) if part_rows else F.lit(0).cast("bigint")
+
+
+def assign_blocks(features: DataFrame, index_first: Column | bool = True, segment_width: int = 4096,
+                  part_rows: int | None = None) -> DataFrame:
     """Give each body page the page its block begins at, and the header in force.
 
     A block begins at the first page, after a page with the end mark, and at a header page unless only blank pages
@@ -80,7 +86,7 @@ def assign_blocks(features: DataFrame, index_first: Column | bool = True, segmen
         body, ["doc_key"], ["page"], "segment",
         latest={"_block": F.when(begins, F.struct("page", "row")), "head": F.col("header")},
     )
-    part = F.floor((F.col("row") - F.col("_block")["row"]) / PART_ROWS)
+    part = _part_of(F.col("row") - F.col("_block")["row"], part_rows)
     return placed.withColumns({"block": F.col("_block")["page"], "part": part}).drop("_block", "segment")
 
 
@@ -130,12 +136,13 @@ def _part_id(base: Column) -> Column:
     return F.when(F.col("part") > 0, F.concat(base, F.lit("_part"), F.col("part").cast("string"))).otherwise(base)
 
 
-def procedure_blocks(pages: DataFrame, index_first: Column | bool = True, segment_width: int = 4096) -> DataFrame:
-    """Pages ``(doc_key, page, text[, images])`` to chunks, one per procedure block."""
+def procedure_blocks(pages: DataFrame, index_first: Column | bool = True, segment_width: int = 4096,
+                     part_rows: int | None = None) -> DataFrame:
+    """Pages ``(doc_key, page, text[, images])`` to chunks, one per procedure block, or per ``part_rows`` pages of one."""
     if "images" not in pages.columns:
         pages = pages.withColumn("images", no_images())
     features = materialize(page_features(pages), "page-features")
-    assigned = materialize(assign_blocks(features, index_first, segment_width), "block-pages")
+    assigned = materialize(assign_blocks(features, index_first, segment_width, part_rows), "block-pages")
     about = describe_blocks(assigned, segment_width)
     placed = assigned.select("doc_key", "page", "block", "part").join(about, ["doc_key", "block"])
     constants = ["nth", "start", "last_part", "section_heading", "fcp_number", "subsystem", "content_type"]
@@ -153,8 +160,9 @@ def procedure_blocks(pages: DataFrame, index_first: Column | bool = True, segmen
         F.col("block").cast("bigint").alias("block"), F.col("part").cast("int").alias("part"))
 
 
-def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536) -> DataFrame:
-    """Paragraphs ``(doc_key, ord, style, text)`` to chunks: a Heading style opens a section, the rest fills it."""
+def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536, part_rows: int | None = None) -> DataFrame:
+    """Paragraphs ``(doc_key, ord, style, text)`` to chunks: a Heading style opens a section, the rest fills it.
+    ``part_rows`` cuts a section into parts of so many paragraphs."""
     is_heading = F.coalesce(F.col("style"), F.lit("")).startswith("Heading")
     line = strip(or_empty(F.col("text")))
     marked = paragraphs.select("doc_key", "ord", line.alias("line"), is_heading.alias("is_heading"))
@@ -163,7 +171,7 @@ def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536) -> DataFr
     counted = scan(marked, ["doc_key"], ["ord"], "segment", running={"row": fills.cast("int")})
     placed = scan(counted, ["doc_key"], ["ord"], "segment", latest={
         "head": F.when(F.col("is_heading"), F.struct(F.col("ord").alias("at"), F.col("line").alias("heading"), "row"))})
-    part = F.floor((F.col("row") - 1 - F.coalesce(F.col("head")["row"], F.lit(0))) / PART_ROWS)
+    part = _part_of(F.col("row") - 1 - F.coalesce(F.col("head")["row"], F.lit(0)), part_rows)
     body = placed.where(fills).select(
         "doc_key", "ord", "line", part.alias("part"), F.coalesce(F.col("head")["at"], F.lit(-1)).alias("section"),
         F.coalesce(F.col("head")["heading"], F.lit("Preamble")).alias("section_heading"))

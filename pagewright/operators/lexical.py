@@ -9,7 +9,6 @@ from pagewright.functions.text import tokens
 from pagewright.operators.ordered import top_k
 from pagewright.session import materialize
 
-PRUNE_ABOVE = 50_000_000      # postings of all questions together from which pruning pays
 SEED_FACTOR = 100     # texts per wanted result that the seed terms may bring
 _SLACK = 1e-6         # scores are compared after rounding, so the bar is set a little lower
 _TEXTS = ""      # no token is empty, so the count of this mark is the number of texts
@@ -113,12 +112,11 @@ def candidates(found: DataFrame, questions: DataFrame, keep: list[str], stats: S
 
     The rarest terms of a question alone give ``k`` texts whose scores the best must reach. Terms that together stay
     below that bar cannot lift a text over it, so only the other, rarer terms name candidates; the common ones are added
-    to candidates afterwards. The result holds the exact best ``k``. Where all postings of the questions together are
-    few, or weights can be negative so that a sum of terms is no upper bound, every text is scored instead.
+    to candidates afterwards. The result holds the exact best ``k``. Where weights can be negative, so that a sum of
+    terms is no upper bound, every text is scored instead.
     """
     asked = materialize(_asked(questions, stats), "question-terms")
-    total = asked.agg(F.sum("df").alias("total")).first()["total"] or 0
-    if total <= PRUNE_ABOVE or stats.floor < 0:
+    if stats.floor < 0:
         matched = found.join(asked.select("qid", "term", "idf"), "term")
         return _weigh(matched, keep, stats).select("qid", *keep, "score").where("score > 0")
     per_question = W.partitionBy("qid")      # as many rows as the question has terms

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagewright import rules
 from pagewright.functions.intents import question_date, route, wants_image, wants_procedure
 from pagewright.functions.classify import question_subsystem
+from pagewright.functions.text import pad, tokens
 from pagewright.models import Embedder, Generator
 from pagewright.operators import command_log, fusion, lexical, vectors
 from pagewright.operators.ordered import top_k
@@ -67,7 +68,10 @@ class Retriever:
     def _lexical(self, collection: str, asked: DataFrame, k: int) -> DataFrame:
         """``asked(qid, question, subsystem)``; a subsystem filters after over-fetching, untagged rows stay."""
         keep = ["id", "ord", "sub_index", "tag"]
+        # the questions' own terms reach the scan, whose files are sorted by term
+        terms = asked.select(F.explode(tokens(F.col("question"))).alias("term")).distinct().collect()
         found = self.store.table(collection, "postings").withColumnRenamed("subsystem", "tag")
+        found = found.where(F.col("term").isin([r["term"] for r in terms]))
         wide = k * rules.POSTFILTER_FACTOR
         scored = lexical.candidates(found, asked.select("qid", "question"), keep, self.store.stats(collection), wide)
         scored = scored.join(asked.select("qid", "subsystem"), "qid")
@@ -137,9 +141,12 @@ class Retriever:
     def retrieve(self, questions: list[dict], policy: Policy) -> tuple[list, DataFrame]:
         """(plan, results): results ``(qid, rank, id, score, document, metadata...)`` of all questions.
 
-        Day questions without a limit are not ranked here: see :meth:`day`.
+        Day questions without a limit are whole tables, see :meth:`day`; given together with others they are an error
+        rather than left out.
         """
         plan = self.plan(questions)
+        if not policy.day_limit and (left := [p["qid"] for p in plan if p["route"] == COMMANDS and p["day"]]):
+            raise ValueError(f"questions for a whole day go to day(): {', '.join(left)}")
         ranked = {KNOWLEDGE: [p for p in plan if p["route"] == KNOWLEDGE],
                   COMMANDS: [p for p in plan if p["route"] == COMMANDS and not p["day"]]}
         days = [p for p in plan if p["route"] == COMMANDS and p["day"]] if policy.day_limit else []
@@ -156,9 +163,12 @@ class Retriever:
         return plan, results
 
     def _details(self, collection: str, ranked: DataFrame) -> DataFrame:
-        """Bodies and metadata of ranked ids: stored rows for vector hits, index payload for lexical hits."""
-        stored = self.store.table(collection, "rows").drop("ord", "embedding")
-        indexed = self.store.table(collection, "items").drop("ord")
+        """Bodies and metadata of ranked ids: stored rows for vector hits, index payload for lexical hits. The ranking is
+        written once, a few rows a question; its ids reach the scans."""
+        ranked = materialize(ranked, "ranked")
+        ids = [r["id"] for r in ranked.select("id").distinct().collect()]
+        stored = self.store.table(collection, "rows").drop("ord", "embedding").where(F.col("id").isin(ids))
+        indexed = self.store.table(collection, "items").drop("ord").where(F.col("id").isin(ids))
         return (ranked.where("list_no = 0").join(stored, "id")
                 .unionByName(ranked.where("list_no = 1").join(indexed, "id")))
 
@@ -196,7 +206,10 @@ def _day_summary(listing: DataFrame, day: str) -> str | None:
         return None
     total = sum(r["n"] for r in by_subsystem)
     shares = ", ".join(f"{r['n']} {r['subsystem']}" for r in by_subsystem)
-    return f"**{total} commands uplinked on {day}**  ({shares})"
+    by_mnemonic = command_log.counter(listing, "mnemonic").withColumn("line", F.concat(
+        F.lit("  "), pad(F.col("n").cast("string"), 3, right=True), F.lit(" ×  "), F.col("mnemonic")))
+    lines = [r["line"] for r in by_mnemonic.collect()]      # one a mnemonic
+    return "\n".join([f"**{total} commands uplinked on {day}**  ({shares})\n", "Unique commands (count × mnemonic):", *lines])
 
 
 def ask(retriever: Retriever, question: str, top_k: int = rules.FINAL_K, subsystem: str | None = None,

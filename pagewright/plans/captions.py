@@ -50,9 +50,11 @@ def prompts(figures: DataFrame) -> DataFrame:
 
 
 def caption_figures(due: DataFrame, captioner: Captioner, limit: int | None = None) -> DataFrame:
-    """``(fname, caption, error)``. A failed figure keeps its error and stays due. ``limit`` takes the first by name."""
+    """``(fname, caption, error)``. A failed figure keeps its error and stays due. ``limit`` takes the first by name; only
+    the names are ordered, so the figures stay spread over the tasks."""
     work = due.where(F.col("skip").isNull())
-    work = work.orderBy("fname").limit(limit) if limit else work
+    if limit:
+        work = work.join(work.select("fname").orderBy("fname").limit(limit), "fname", "left_semi")
 
     def part(frames):
         for frame in frames:
@@ -68,8 +70,16 @@ def caption_figures(due: DataFrame, captioner: Captioner, limit: int | None = No
         part, "fname string, caption string, error string")
 
 
-def caption_chunks(captioned: DataFrame) -> DataFrame:
-    """Captioned figures (``path``, ``caption``, name parts, ``hit_*``) to chunks beside the text chunks."""
+def waves(due: DataFrame, figures: int) -> list[DataFrame]:
+    """The due figures in shares of about ``figures``, by name: each is captioned and saved before the next begins."""
+    n = due.where(F.col("skip").isNull()).count()
+    count = max(1, -(-n // figures))
+    return [due.where(F.pmod(F.xxhash64("fname"), F.lit(count)) == i) for i in range(count)]
+
+
+def caption_chunks(captioned: DataFrame, *more: str) -> DataFrame:
+    """Captioned figures (``path``, ``caption``, name parts, ``hit_*``) to chunks beside the text chunks, with the
+    columns named in ``more`` as they are."""
     return captioned.select(
         F.concat(F.lit("IMG_"), stem(F.col("path"))).alias("chunk_id"), F.col("caption").alias("text"),
         F.col("doc_key").alias("source_doc"), or_empty(F.col("hit_doc_filename")).alias("doc_filename"),
@@ -77,7 +87,7 @@ def caption_chunks(captioned: DataFrame) -> DataFrame:
         or_empty(F.col("hit_section_heading")).alias("section_heading"),
         or_empty(F.col("hit_fcp_number")).alias("fcp_number"),
         F.coalesce("hit_subsystem", F.lit("UNKNOWN")).alias("subsystem"),
-        F.col("path").alias("image_file"), no_images().alias("images"))
+        F.col("path").alias("image_file"), no_images().alias("images"), *more)
 
 
 def write_back(chunks: DataFrame, state: DataFrame) -> DataFrame:

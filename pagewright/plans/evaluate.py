@@ -26,7 +26,7 @@ def cases(spark: SparkSession, listed: list[dict]) -> DataFrame:
     special = ("text_contains", "text_contains_any")
     rows = [(str(c["id"]), c["q"], c.get("note", ""), [
         ({k: str(v) for k, v in cond.items() if k not in special}, cond.get("text_contains"),
-         cond.get("text_contains_any")) for cond in c["accept"]]) for c in listed]
+         cond.get("text_contains_any")) for cond in c["accept"]], place) for place, c in enumerate(listed)]
     return spark.createDataFrame(rows, schema.CASES)
 
 
@@ -71,22 +71,26 @@ def with_hits(ranks: DataFrame) -> DataFrame:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """One row: number of cases, hit rates, MRR, missed ids. No cases give zeros."""
+    """One row: number of cases, hit rates, MRR, missed ids in list order (``ord``, else by id). No cases give zeros."""
+    place = F.col("ord") if "ord" in rows.columns else F.lit(0)
+    missed = F.collect_list(F.when(F.col("rank") == 0, F.struct(place.alias("ord"), F.col("id").cast("string").alias("id"))))
     rates = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("hit1", "hit3", "hit5", "hit10")]
     return rows.agg(F.count("*").alias("n"), *rates, F.coalesce(F.avg("rr"), F.lit(0.0)).alias("mrr"),
-                    F.array_sort(F.collect_list(F.when(F.col("rank") == 0, F.col("id")))).alias("misses"))
+                    F.transform(F.array_sort(missed), lambda m: m["id"]).alias("misses"))
 
 
 def evaluate(retriever: Retriever, labelled: DataFrame, pool: int = rules.EVAL_POOL) -> DataFrame:
-    """Evaluation rows of all cases."""
+    """Evaluation rows of all cases, in list order by ``ord``; none for an empty set."""
     questions = [{"qid": r["id"], "question": r["q"]} for r in labelled.select("id", "q").collect()]
     plan, results = retriever.retrieve(questions, evaluating(pool))
+    if results is None:
+        results = retriever.spark.createDataFrame([], "qid string, rank int, document string, " + ", ".join(f"{c} string" for c in schema.METADATA))
     results = materialize(results, "evaluated")
     routes = retriever.spark.createDataFrame([(p["qid"], p["route"]) for p in plan], "id string, route string")
     ranks = with_hits(first_relevant(results, labelled, "document", schema.METADATA))
     top = first_wins(results, ["qid"], ["rank"]).select(F.col("qid").alias("id"), source_label().alias("top_source"))
     return (ranks.join(routes, "id").join(top, "id", "left")
-            .join(labelled.select("id", F.col("q").alias("question"), "note"), "id")
+            .join(labelled.select("id", F.col("q").alias("question"), "note", "ord"), "id")
             .withColumn("top_source", F.coalesce("top_source", F.lit(""))))
 
 

@@ -1,13 +1,13 @@
 """Documents to chunks and command records."""
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import blocks
 from pagewright.sources import files as src
-from pagewright.sources.convert import doc_to_docx
 from pagewright.session import materialize
 
 
@@ -24,9 +24,11 @@ def _finished(chunks: DataFrame, registry: DataFrame, body: bool) -> DataFrame:
 
 
 def document_chunks(spark: SparkSession, folder: str, registry: dict[str, str],
-                    work_dir: str | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+                    converter: Callable[[str], str | None] | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """(chunks, commands) of the registered files that exist. Keys decide the treatment: FCP has an index in front of
-    its procedure bodies, MOR has numbered headings, TCH is the command log; other files go by their kind."""
+    its procedure bodies, MOR has numbered headings, TCH is the command log; other files go by their kind. Old Word
+    files go through the caller's ``converter`` (path to the path of a DOCX, None if it cannot); without one they are
+    left out."""
     listed = src.binary_files(spark, folder).where(F.col("doc_filename").isin(list(registry.values())))
     present = {r["doc_filename"] for r in listed.select("doc_filename").collect()}
     found: list[DataFrame] = []
@@ -36,7 +38,7 @@ def document_chunks(spark: SparkSession, folder: str, registry: dict[str, str],
             continue
         place, kind = folder, name.rsplit(".", 1)[-1].lower()
         if kind == "doc":
-            made = doc_to_docx(os.path.join(folder, name), work_dir or folder)
+            made = converter(os.path.join(folder, name)) if converter else None
             if made is None:
                 continue
             place, name, kind = os.path.dirname(made), os.path.basename(made), "docx"

@@ -89,12 +89,13 @@ def metadata(items: DataFrame) -> list[Column]:
     return [special.get(name, _column(items, name)).alias(name) for name in schema.METADATA]
 
 
-def stored_rows(items: DataFrame, id_col: str) -> DataFrame:
-    """Items as stored, before embedding: id, order, body, index text, metadata."""
+def stored_rows(items: DataFrame, id_col: str, document_chars: int = rules.DOCUMENT_CHARS) -> DataFrame:
+    """Items as stored, before embedding: id, order, body (its first ``document_chars`` characters, more than any piece
+    of the splitter has), index text, metadata."""
     list_no = F.col("list_no").cast("bigint") if "list_no" in items.columns else F.lit(0).cast("bigint")
     place = list_no * F.lit(1 << 60) + F.col("ord").cast("bigint")
     return items.select(F.col(id_col).cast("string").alias("id"), place.alias("ord"),
-                        F.substring(or_empty(F.col("text")), 1, rules.DOCUMENT_CHARS).alias("document"),
+                        F.substring(or_empty(F.col("text")), 1, document_chars).alias("document"),
                         embed_text(items).alias("embed_text"), *metadata(items))
 
 
@@ -114,10 +115,17 @@ def prepared(items: DataFrame, id_col: str) -> DataFrame:
     return stored_rows(expand(deduplicated(items, id_col), id_col), id_col)
 
 
+LOADS = "load bigint, base bigint"
+
+
 class Store:
-    """Stored collections below one folder: ``<collection>/rows`` (vectors and metadata, insert-only),
-    ``<collection>/items`` (payload), ``<collection>/postings`` and ``<collection>/terms`` (search index), the last three
-    rewritten by a load. Postings lie sorted by term, a frequent term over several files, so a question reads its terms."""
+    """Stored collections below one folder. Each load writes what it adds to folders of its own, ``<collection>/<part>/load=n``:
+    ``rows`` (vectors and metadata), ``items`` (payload), ``postings`` and ``terms`` (search index). A row in
+    ``<collection>/loads`` written last makes a load count, so a load that fails halfway leaves nothing to be read, and
+    index and rows always agree. ``base`` is the first load that still counts: a reset or refresh starts a new one.
+
+    Postings lie sorted by term, a frequent term over several files, so a question reads its terms. Term counts of loads
+    add up."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -125,52 +133,78 @@ class Store:
     def path(self, collection: str, part: str) -> str:
         return os.path.join(self.folder, collection, part)
 
+    def loads(self, collection: str) -> list[int]:
+        """Numbers of the loads that count; as many as there were loads since the last reset or refresh."""
+        done = stored_table(self.spark, self.path(collection, "loads"), LOADS)
+        if done is None:
+            return []
+        last = done.agg(F.max_by(F.struct("load", "base"), "load").alias("last")).first()["last"]
+        return [] if last is None else [r["load"] for r in done.where(F.col("load") >= last["base"]).orderBy("load").collect()]
+
     def table(self, collection: str, part: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(collection, part))
+        paths = [os.path.join(self.path(collection, part), f"load={n}") for n in self.loads(collection)]
+        if not paths:
+            raise ValueError(f"nothing was loaded into {collection}")
+        return self.spark.read.parquet(*paths)
 
     def ids(self, collection: str) -> DataFrame:
         """Stored ids only; no rows before the first load."""
-        rows = stored_table(self.spark, self.path(collection, "rows"))
-        return self.spark.createDataFrame([], "id string") if rows is None else rows.select("id")
+        if not self.loads(collection):
+            return self.spark.createDataFrame([], "id string")
+        return self.table(collection, "rows").select("id")
 
     def pending(self, collection: str, rows: DataFrame) -> DataFrame:
         return rows.join(self.ids(collection), "id", "left_anti")
 
     def load(self, collection: str, rows: DataFrame, embedder: Embedder, reset: bool = False,
              refresh: bool = False) -> int:
-        """Insert the rows whose id is not stored yet, rebuild the search index from all rows; rows added.
+        """Insert the rows whose id is not stored yet, and index them; rows added.
 
         ``reset`` drops what is stored first; ``refresh`` replaces stored rows of the same id by the given ones.
         """
-        rows = materialize(rows, "prepared")      # split once; the vectors and three index tables derive from it
-        target = self.path(collection, "rows")
-        before = 0 if reset else self.ids(collection).count()
-        if reset or not before:
-            embedded(rows, embedder).drop("embed_text").write.mode("overwrite").parquet(target)
-        elif refresh:
-            kept = self.table(collection, "rows").join(rows.select("id"), "id", "left_anti")
-            new = embedded(rows, embedder).drop("embed_text")
-            materialize(kept.unionByName(new), "refreshed").write.mode("overwrite").parquet(target)
+        counted = self.loads(collection)
+        kept = {}
+        if refresh and counted and not reset:
+            given = materialize(rows, "prepared")
+            kept = {part: self.table(collection, part).join(given.select("id"), "id", "left_anti")
+                    for part in ("rows", "items", "postings")}
+        elif reset or not counted:
+            given = materialize(rows, "prepared")
         else:
-            new = embedded(self.pending(collection, rows), embedder).drop("embed_text")
-            new.write.mode("append").parquet(target)
-        self.index(collection, rows)
+            given = materialize(self.pending(collection, rows), "prepared")
+        before = 0 if reset else self.ids(collection).count()
+        load = self._next(collection)
+        self._write(collection, load, given, embedder, kept)
+        base = load if reset or kept or not counted else counted[0]
+        (self.spark.createDataFrame([(load, base)], LOADS).coalesce(1)
+         .write.mode("append").parquet(self.path(collection, "loads")))
         return self.ids(collection).count() - before
 
-    def index(self, collection: str, rows: DataFrame) -> None:
-        keep = ["id", "ord", "document", *schema.METADATA]
-        rows.select(*keep).write.mode("overwrite").parquet(self.path(collection, "items"))
+    def _next(self, collection: str) -> int:
+        done = stored_table(self.spark, self.path(collection, "loads"), LOADS)
+        return 0 if done is None else done.agg(F.coalesce(F.max("load") + 1, F.lit(0)).alias("n")).first()["n"]
+
+    def _write(self, collection: str, load: int, given: DataFrame, embedder: Embedder, kept: dict[str, DataFrame]) -> None:
+        """All parts of one load; the folder of a load that failed before is written over."""
+        def put(df: DataFrame, part: str) -> None:
+            df.write.mode("overwrite").parquet(os.path.join(self.path(collection, part), f"load={load}"))
+
+        def whole(df: DataFrame, part: str) -> DataFrame:
+            return df.unionByName(kept[part]) if part in kept else df
+
+        put(whole(embedded(given, embedder).drop("embed_text"), "rows"), "rows")
+        items = whole(given.select("id", "ord", "document", *schema.METADATA), "items")
+        put(items, "items")
         # written first: ordering by range samples its input before it moves it
-        found = materialize(lexical.postings(lexical.tokenized(rows, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS),
-                            "postings")
-        (found.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-         .write.mode("overwrite").parquet(self.path(collection, "postings")))
-        texts = rows.agg(F.lit("").alias("term"), F.count("*").alias("df"))
-        counts = self.table(collection, "postings").groupBy("term").agg(F.count("*").alias("df"))
-        counts.unionByName(texts).write.mode("overwrite").parquet(self.path(collection, "terms"))
+        found = lexical.postings(lexical.tokenized(given, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS)
+        found = materialize(whole(found, "postings"), "postings")
+        put(found.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+        texts = items.agg(F.lit("").alias("term"), F.count("*").alias("df"))
+        put(found.groupBy("term").agg(F.count("*").alias("df")).unionByName(texts), "terms")
 
     def stats(self, collection: str) -> lexical.Stats:
-        return lexical.Stats(self.table(collection, "terms"))
+        summed = self.table(collection, "terms").groupBy("term").agg(F.sum("df").alias("df"))
+        return lexical.Stats(materialize(summed, "term-counts"))
 
     def counts(self) -> dict[str, int]:
         return {name: self.ids(name).count() for name in (KNOWLEDGE, COMMANDS)}

@@ -31,15 +31,6 @@ BM25_EPSILON = 0.25
 # ---- fixed values: separators the splitter tries, in order ------------------------------------
 SPLIT_SEPARATORS = [". ", ".\n", "\n\n", "\n", " "]
 
-# ---- fixed values: document keys and the file kinds they arrive in ------------------------------
-DOCUMENT_KINDS = {
-    "FCP": "pdf",
-    "MOR": "pdf",
-    "OPS_MANUAL": "docx",
-    "GUIDELINES": "doc",
-    "TCH": "txt",
-}
-
 # ---- fixed values: subsystem keywords for stored text, first match wins -------------------------
 SUBSYSTEM_KEYWORDS = [
     ("OBC", r"\bOBC\b"),

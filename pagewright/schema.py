@@ -18,7 +18,7 @@ COMMANDS = (
 CAPTION_STATE = "fname string, caption string"
 CASES = (
     "id string, q string, note string, "
-    "accept array<struct<meta:map<string,string>,text_contains:string,text_contains_any:array<string>>>"
+    "accept array<struct<meta:map<string,string>,text_contains:string,text_contains_any:array<string>>>, ord bigint"
 )
 
 # the scalar columns a stored row keeps, in output order

@@ -5,11 +5,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """A table of the folder. ``spread`` deals its rows out to all cores where the files give fewer splits than cores,
-    for work that is heavy per row; a table of many files is left as it is read, so nothing large is shuffled."""
-    df = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-    if not spread:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder, in the splits Spark reads it in."""
+    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

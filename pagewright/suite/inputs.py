@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.sources.tables import table
 
-SPREAD = ("documents", "conversations", "orders", "part", "events", "lineitem")
+TABLES = ("documents", "conversations", "orders", "part", "events", "lineitem")
 
 INPUTS = {
     # events as parsed command records
@@ -158,20 +158,20 @@ INPUTS = {
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return table(spark, folder, name, name in SPREAD)
+    return table(spark, folder, name)
 
 
 def derived(spark: SparkSession, folder: str, name: str, **narrowed: DataFrame) -> DataFrame:
     """One of the inputs as a DataFrame; ``narrowed`` tables stand in for the whole ones where a filter is known."""
     text = INPUTS[name]
     used = {t: narrowed[t] if t in narrowed else given(spark, folder, t)
-            for t in (*SPREAD, "labels", "embeddings", "benchmark") if f"{{{t}}}" in text}
+            for t in (*TABLES, "labels", "embeddings", "benchmark") if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 
 
 def sql(name: str) -> str:
     """The same input as a subquery for the check."""
     text = INPUTS[name]
-    for t in (*SPREAD, "labels", "embeddings", "benchmark"):
+    for t in (*TABLES, "labels", "embeddings", "benchmark"):
         text = text.replace(f"{{{t}}}", t)
     return f"({text})"

@@ -101,7 +101,8 @@ def test_loading_again_adds_nothing(built):
 def test_day_question(built):
     store, embedder, *_ = built
     answer = ask(Retriever(store, embedder), "What commands were uplinked on 2026-06-09?")
-    assert answer.text == "**3 commands uplinked on 2026-06-09**  (3 OBC)"
+    assert answer.text.split("\n") == ["**3 commands uplinked on 2026-06-09**  (3 OBC)", "", "Unique commands (count × mnemonic):",
+                                        "    2 ×  OBC-1 SWITCH ON", "    1 ×  OBC-1 SWITCH OFF"]
     lines = [r["line"] for r in render.day_lines(answer.table).orderBy("nth").collect()]
     assert lines[0].startswith("1     04:15:22    OBCS2370        OBC-1 SWITCH OFF")
     assert ask(Retriever(store, embedder), "commands on 2026-02-31").text == "No commands found for 2026-02-31."
@@ -164,6 +165,7 @@ def test_evaluation(spark, built, tmp_path):
     assert {k: r["rank"] for k, r in rows.items()} == {"reset": 1, "day": 1, "none": 0, "fig": 1}
     assert rows["day"]["route"] == "commands" and rows["fig"]["top_source"] == "MOR · p.2 · image_caption"
     total = ev.totals(frame).first().asDict()
+    assert [r["id"] for r in sorted(rows.values(), key=lambda r: r["ord"])] == ["reset", "day", "none", "fig"]
     assert total["misses"] == ["none"] and total["hit1"] == 0.75 and total["mrr"] == 0.75
     assert "Hit@1" in ev.report_text(list(rows.values()), total)
     assert json.loads(ev.report_json(list(rows.values()), total))["aggregate"]["n"] == 4
@@ -238,6 +240,35 @@ def test_log_stream_is_idempotent(spark, tmp_path):
     assert run() == 3
     (tmp_path / "in" / "two.txt").write_bytes((LOG + "\n" + LOG.split("\n")[0].replace("0001", "0009")).encode())
     assert run() == 4
+    found = ask(Retriever(store, HashingEmbedder(16)), "was SWITCH OFF uplinked", top_k=9)
+    assert found.results.count() == 4             # streamed rows are indexed too
+
+
+def test_files_of_one_batch_keep_their_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, mark in (("b.txt", "0007"), ("a.txt", "0001")):
+        (tmp_path / "in" / name).write_bytes(LOG.replace("0001", mark).encode())
+    store = st.Store(spark, str(tmp_path / "store"))
+    load_log_stream(store, str(tmp_path / "in"), HashingEmbedder(16), str(tmp_path / "cp")).awaitTermination()
+    rows = store.table(st.COMMANDS, "rows").select("id", "ord").collect()
+    assert len({r["ord"] for r in rows}) == len(rows)
+
+
+def test_index_holds_what_earlier_loads_stored(spark, tmp_path):
+    store = st.Store(spark, str(tmp_path / "store"))
+
+    def load(*texts):
+        df = spark.createDataFrame([(i, t.split()[0], t) for i, t in enumerate(texts)], "ord bigint, chunk_id string, text string")
+        return store.load(st.KNOWLEDGE, st.prepared(df, "chunk_id"), HashingEmbedder(8))
+
+    assert load("a1 firstword shared", "a2 other shared") == 2 and load("b1 secondword shared") == 1
+    stats = store.stats(st.KNOWLEDGE)
+    assert stats.n == 3 and {r["df"] for r in stats.terms.where("term = 'shared'").collect()} == {3}
+    retriever = Retriever(store, HashingEmbedder(8))
+    for word, wanted in (("firstword", "a1"), ("secondword", "b1")):
+        assert wanted in {r["id"] for r in ask(retriever, f"what is {word}").results.where("list_no = 1").collect()}
+    scans = retriever._lexical(st.KNOWLEDGE, spark.createDataFrame([("q", "firstword", None)], "qid string, question string, subsystem string"), 5)
+    assert scans.count() == 1
 
 
 def test_command_line_settings(spark, tmp_path):

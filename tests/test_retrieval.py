@@ -169,7 +169,6 @@ def test_first_wins_is_idempotent_and_keeps_list_order(spark):
 @pytest.mark.parametrize("k", [1, 3, 8])
 def test_candidates_hold_the_exact_best(spark, monkeypatch, k):
     monkeypatch.setattr(lexical, "SEED_FACTOR", 1)
-    monkeypatch.setattr(lexical, "PRUNE_ABOVE", 0)
     rng = random.Random(k)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 25))) for _ in range(150)]
