@@ -55,10 +55,14 @@ def on_day(commands: DataFrame, day: str) -> DataFrame:
                        F.struct("time", blocks_of(F.col("ord")).alias("slice")), "nth").drop("_all")
 
 
+def counted(commands: DataFrame, column: str) -> DataFrame:
+    """Occurrences ``n`` per value, and ``first``, the (time, list order) of its first appearance."""
+    return commands.groupBy(column).agg(F.count("*").alias("n"), F.min(F.struct("time", "ord")).alias("first"))
+
+
 def counter(commands: DataFrame, column: str) -> DataFrame:
-    """Occurrences per value, most frequent first, ties in order of first appearance (time, then list order)."""
-    return (commands.groupBy(column).agg(F.count("*").alias("n"), F.min(F.struct("time", "ord")).alias("_first"))
-            .orderBy(F.col("n").desc(), "_first").drop("_first"))
+    """Occurrences per value, most frequent first, ties in order of first appearance."""
+    return counted(commands, column).orderBy(F.col("n").desc(), "first").drop("first")
 
 
 def table_view(commands: DataFrame) -> DataFrame:

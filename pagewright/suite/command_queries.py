@@ -1,5 +1,6 @@
 """Command log and questions."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright import rules
@@ -62,7 +63,8 @@ _DAY_ROWS = f"""SELECT *, row_number() OVER (ORDER BY time, ord) AS nth FROM {sq
 
 def log_date_counts(spark, folder):
     commands = _day_commands(spark, folder)
-    by = [command_log.counter(commands, name).select(F.lit(name).alias("kind"), F.col(name).alias("value"), "n")
+    place = F.row_number().over(W.orderBy(F.col("n").desc(), "first")).alias("place")     # one row a value of the day
+    by = [command_log.counted(commands, name).select(F.lit(name).alias("kind"), F.col(name).alias("value"), "n", place)
           for name in ("subsystem", "mnemonic")]
     return by[0].unionByName(by[1])
 
@@ -135,8 +137,10 @@ QUERIES = {
     "log_by_date": (log_by_date, _DAY_ROWS),
     "log_parse": (log_parse, LOG_PARSE_SQL),
     "log_date_counts": (log_date_counts, f"""WITH d AS ({_DAY_ROWS})
-        SELECT 'subsystem' AS kind, subsystem AS value, count(*) AS n FROM d GROUP BY ALL
-        UNION ALL SELECT 'mnemonic', mnemonic, count(*) FROM d GROUP BY ALL"""),
+        SELECT 'subsystem' AS kind, subsystem AS value, count(*) AS n,
+            row_number() OVER (ORDER BY count(*) DESC, min((time, ord)))::INT AS place FROM d GROUP BY subsystem
+        UNION ALL SELECT 'mnemonic', mnemonic, count(*), row_number() OVER (ORDER BY count(*) DESC, min((time, ord)))::INT
+            FROM d GROUP BY mnemonic"""),
     "log_counts_by_day": (log_counts_by_day, f"""SELECT date, subsystem, count(*) AS n,
         arg_min(ord, (time, ord)) AS first_ord FROM {sql('commands')} GROUP BY ALL"""),
     "log_top_mnemonics": (log_top_mnemonics, f"""SELECT mnemonic, count(*) AS n FROM {sql('commands')}

@@ -10,7 +10,7 @@ from pagewright.operators import fusion, lexical, vectors
 from pagewright.plans import evaluate, render
 from pagewright.plans.ask import Retriever, evaluating
 from pagewright.plans.labelled import LABELLED
-from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store, prepared
+from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store, prepared, stored_rows
 from pagewright.session import materialize, shared_dir
 from pagewright.suite import checks as c
 from pagewright.suite.command_queries import DAY
@@ -153,6 +153,17 @@ def built_store(spark, folder):
     return Retriever(store, embedder)
 
 
+def store_two_loads(spark, folder):
+    """Documents stored by two loads, searched by one question over the index of both."""
+    store = Store(spark, os.path.join(shared_dir(spark), f"store-{os.urandom(8).hex()}"))
+    docs = given(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ord"), "text")
+    for odd in (0, 1):
+        store.load(KNOWLEDGE, stored_rows(docs.where(F.col("ord") % 2 == odd), "chunk_id"), HashingEmbedder(8))
+    asked = spark.createDataFrame([("q", QUESTION)], "qid string, question string")
+    scored = lexical.candidates(store.table(KNOWLEDGE, "postings"), asked, ["id", "ord"], store.stats(KNOWLEDGE), K)
+    return lexical.best(scored, ["qid"], K, ["ord"]).select(F.col("ord").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
 def labelled_retrieval(spark, folder):
     """The default questions and two about the log, through routing, both searches, fusion and boosts."""
     asked = [{"qid": c["id"], "question": c["q"]} for c in LABELLED]
@@ -278,6 +289,8 @@ QUERIES = {
     "corpus_stats": (corpus_stats, f"WITH {_CORPUS}, {c.BM25} SELECT n, round(avgdl, 6) AS avgdl FROM stat"),
     "bm25_topk": (bm25_topk, f"""WITH {_CORPUS}, {_one(QUESTION)}, {_ranked(QUESTION, K)}
         SELECT doc_id, rank, round(score, 6) AS score FROM ranked"""),
+    "store_two_loads": (store_two_loads, f"""WITH {_CORPUS}, {_one(QUESTION)}, {_ranked(QUESTION, K)}
+        SELECT doc_id, rank, round(score, 6) AS score FROM ranked"""),
     "bm25_postfilter": (bm25_postfilter, f"""WITH {_CORPUS}, {_one(QUESTION)}, {_ranked(QUESTION, 3 * K)}
         SELECT doc_id, row_number() OVER (ORDER BY r.rank)::INT AS rank, round(score, 6) AS score
         FROM ranked r JOIN documents USING (doc_id) WHERE lang = 'de' QUALIFY row_number() OVER (ORDER BY r.rank) <= {K}"""),
