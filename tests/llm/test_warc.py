@@ -38,8 +38,9 @@ def test_round_trip(spark):
 
 def test_history_is_in_global_order(spark):
     rows = [(i, f"http://h{i % 7}.com/{i % 3}", f"body {i}") for i in range(500)]
-    entries = warc.index(spark, warc.write(pages(spark, rows).repartition(5), captured()))
-    assert entries.select("run").distinct().count() > 1
+    parts = [warc.index(spark, warc.write(pages(spark, rows[i::3]), captured())) for i in range(3)]
+    entries = parts[0].union(parts[1]).union(parts[2])
+    assert entries.select("run").distinct().count() == 3
     found = warc.history(entries, range_entries=60).orderBy("part", "position").collect()
     keys = [(r["url_key"], r["captured"], r["page_id"]) for r in found]
     assert len(keys) == 500 and keys == sorted(keys) and len({r["part"] for r in found}) > 1
