@@ -3,6 +3,7 @@
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -38,9 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Tables that :func:`materialize` writes inside the block are removed at its end. What derives from them has to be
+    consumed inside; without a block they stay, and the folder's owner removes them."""
+    written: list[str] = []
+    _open_scopes.append(written)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(written)
+        for path in written:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used, removed with the innermost open block."""
+    path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return path
+
+
 def materialize(df, name: str):
     """Write ``df`` below the shared folder and read it back: later stages restart from the written rows."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Search, fusion and lookups against brute force."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import fusion, lexical, lookup, ordered, vectors
+from pagewright.session import intermediates, shared_dir
 from tests.test_text import brute_tokens
 
 TEXTS = ["obc switch on", "obc switch off procedure", "the star sensor", "the the a/b", "", "obc", "wheel wde the",
@@ -197,3 +199,15 @@ def test_a_hot_key_spreads_over_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 20_000 and len(sizes) > 1 and max(sizes) < 12_000
     assert done.where("n <> id + 1").count() == 0
+
+
+def test_intermediates_are_removed_with_their_scope(spark):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    with intermediates(spark):
+        rows = lexical.tokenized(spark.createDataFrame([(1, "a b"), (2, "b")], "id int, text string"), ["id"], F.col("text"))
+        asked = spark.createDataFrame([("q", "b")], "qid string, question string")
+        scored = lexical.candidates(lexical.postings(rows, ["id"]), asked, ["id"], lexical.Stats.counted(rows), 1)
+        scored.count()
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
