@@ -1,7 +1,5 @@
 """Search, fusion, boosts, citations and evaluation."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from pagewright.functions.classify import procedure_number, subsystem_of
@@ -11,7 +9,7 @@ from pagewright.plans import evaluate, render
 from pagewright.plans.ask import Retriever, evaluating
 from pagewright.plans.labelled import LABELLED
 from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store, prepared, stored_rows
-from pagewright.session import materialize, shared_dir
+from pagewright.session import materialize, new_folder
 from pagewright.suite import checks as c
 from pagewright.suite.command_queries import DAY
 from pagewright.suite.inputs import derived, given, sql
@@ -139,7 +137,7 @@ def boost_prepend(spark, folder):
 
 def built_store(spark, folder):
     """Documents and events loaded into a new store: split, embedded, indexed."""
-    store = Store(spark, os.path.join(shared_dir(spark), f"store-{os.urandom(8).hex()}"))
+    store = Store(spark, new_folder(spark, "store"))
     docs = derived(spark, folder, "manual_pages").select(
         F.concat(F.lit("D"), F.col("page").cast("string")).alias("chunk_id"), "text", F.col("page").cast("bigint").alias("ord"),
         F.when(F.col("page") % 4 == 0, "FCP").otherwise("MOR").alias("source_doc"), F.lit("section").alias("content_type"), "page",
@@ -155,7 +153,7 @@ def built_store(spark, folder):
 
 def store_two_loads(spark, folder):
     """Documents stored by two loads, searched by one question over the index of both."""
-    store = Store(spark, os.path.join(shared_dir(spark), f"store-{os.urandom(8).hex()}"))
+    store = Store(spark, new_folder(spark, "store"))
     docs = given(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ord"), "text")
     for odd in (0, 1):
         store.load(KNOWLEDGE, stored_rows(docs.where(F.col("ord") % 2 == odd), "chunk_id"), HashingEmbedder(8))

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from pagewright import rules
 from pagewright.operators import blocks, lookup, splitting
 from pagewright.plans import captions, store
+from pagewright.models import HashingEmbedder
 from pagewright.operators.ordered import first_wins
+from pagewright.session import new_folder
 from pagewright.suite import checks as c
 from pagewright.suite.text_queries import cleaned
 from pagewright.suite.inputs import derived, given, sql
@@ -103,9 +105,12 @@ def split_neighbours(spark, folder):
 
 
 def block_sessions(spark, folder):
-    """Documents as manual pages: index pages first, then procedure blocks."""
-    rows = blocks.procedure_blocks(derived(spark, folder, "manual_pages"))
-    return rows.select("chunk_id", "text", "source_doc", "content_type", "page", "section_heading", "fcp_number", "subsystem")
+    """Documents as manual pages, a figure on each: index pages first, then procedure blocks with their figures."""
+    figure = F.struct(F.concat(F.lit("P"), F.col("page").cast("string"), F.lit(".png")).alias("file"), F.col("page").alias("page"),
+                      F.lit(0).alias("index_on_page"), F.lit("").alias("caption"))
+    rows = blocks.procedure_blocks(derived(spark, folder, "manual_pages").withColumn("images", F.array(figure)))
+    figures = F.array_join(F.transform("images", lambda i: i["file"]), ",").alias("figures")
+    return rows.select("chunk_id", "text", "source_doc", "content_type", "page", "section_heading", "fcp_number", "subsystem", figures)
 
 
 _HEADER = c.quoted("(?i)" + rules.BLOCK_HEADER)
@@ -125,13 +130,13 @@ g AS (SELECT *, sum(CASE WHEN prev_end IS NULL OR prev_end OR (header AND filled
           OVER (PARTITION BY doc_key ORDER BY page) AS number FROM o),
 t AS (SELECT doc_key, block, {c.strip("string_agg(text, chr(10) ORDER BY page)")} AS text,
       coalesce(min(CASE WHEN header THEN page END), min(page)) AS page, arg_max(heading, page) AS section_heading,
-      arg_max(number, page) AS number FROM g GROUP BY doc_key, block),
+      arg_max(number, page) AS number, string_agg('P' || page || '.png', ',' ORDER BY page) AS figures FROM g GROUP BY doc_key, block),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY block) - 1 AS nth FROM t WHERE text <> '')
 SELECT doc_key || '_p' || page || '_' || nth AS chunk_id, text, doc_key AS source_doc, {c.content_type('text')} AS content_type,
        page, coalesce(section_heading, '') AS section_heading,
        coalesce(nullif(number, ''), regexp_extract(text, {c.quoted(c.spelled(rules.PROCEDURE_NUMBER))}, 1)) AS fcp_number,
        {c.subsystem("(coalesce(section_heading, '') || ' ' || text)",
-                    f"coalesce(nullif(number, ''), regexp_extract(text, {c.quoted(c.spelled(rules.PROCEDURE_NUMBER))}, 1))")} AS subsystem
+                    f"coalesce(nullif(number, ''), regexp_extract(text, {c.quoted(c.spelled(rules.PROCEDURE_NUMBER))}, 1))")} AS subsystem, figures
 FROM n"""
 
 
@@ -206,10 +211,32 @@ def dedup_first(spark, folder):
     return first_wins(docs, ["text_key"], ["doc_id"]).select("text_key", "doc_id", "source")
 
 
+def _stored(spark, folder):
+    """Labels loaded as knowledge, benchmark passages as commands."""
+    held = store.Store(spark, new_folder(spark, "store"))
+    for collection, name, key in ((store.KNOWLEDGE, "labels", "doc_id"), (store.COMMANDS, "benchmark", "item_id")):
+        rows = given(spark, folder, name)
+        text = F.col("text") if "text" in rows.columns else F.col(key).cast("string")
+        rows = rows.select(F.col(key).cast("string").alias("chunk_id"), F.col(key).alias("ord"), text.alias("text"))
+        held.load(collection, store.prepared(rows, "chunk_id"), HashingEmbedder(8))
+    return held
+
+
 def incremental_pending(spark, folder):
+    """Documents that a store of the labelled ones does not hold."""
     docs = given(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), "source")
-    stored = given(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"))
-    return docs.join(stored, "id", "left_anti")
+    return _stored(spark, folder).pending(store.KNOWLEDGE, docs)
+
+
+def store_counts(spark, folder):
+    return spark.createDataFrame(list(_stored(spark, folder).counts().items()), "collection string, n bigint")
+
+
+def captioned_total(spark, folder):
+    """Documents as caption state; every third one failed to say anything."""
+    told = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("text"))
+    state = given(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("fname"), told.alias("caption"))
+    return captions.captioned_total(state)
 
 
 def caption_resume(spark, folder):
@@ -272,6 +299,9 @@ QUERIES = {
         FROM documents GROUP BY text"""),
     "incremental_pending": (incremental_pending, """SELECT doc_id::VARCHAR AS id, source FROM documents d
         WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""),
+    "store_counts": (store_counts, """SELECT 'knowledge' AS collection, count(DISTINCT doc_id) AS n FROM labels
+        UNION ALL SELECT 'commands', count(DISTINCT item_id) FROM benchmark"""),
+    "captioned_total": (captioned_total, "SELECT count(*) FILTER (doc_id % 3 = 1 AND text <> '') AS captioned FROM documents"),
     "caption_resume": (caption_resume, """SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'done' WHEN n_chars < 1000 THEN 'skipped'
         WHEN d.doc_id % 10 = 7 THEN 'error' ELSE 'captioned' END AS status, count(*) AS n
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1"""),
