@@ -26,8 +26,8 @@ from pagewright.llm import pretokens
 #: Stretches a worker keeps the ids of, and the longest kept; the store is emptied when full, which costs time only.
 KEPT = 600_000
 KEPT_CHARS = 40
-#: Bytes of new stretches replayed at once.
-REPLAY_BYTES = 1 << 20
+#: Characters of new stretches replayed at once; a place takes about 200 bytes while it is in hand.
+REPLAY_CHARS = 1 << 18
 
 _kept: dict[str, dict[str, bytes]] = {}
 _tables: dict[str, tuple[dict[bytes, int], list[bytes], list[int]]] = {}
@@ -126,8 +126,8 @@ def _learn(new: list[str], kept: dict[str, bytes], path: str) -> None:
     size = 0
     for word in new:
         batch.append(word)
-        size += len(word) * 2
-        if size >= REPLAY_BYTES:
+        size += len(word)
+        if size >= REPLAY_CHARS:
             kept.update(zip(batch, replay([w.encode() for w in batch], path), strict=True))
             batch, size = [], 0
     if batch:
@@ -196,6 +196,20 @@ def decode(ids: Column, path: str) -> Column:
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ids (packed), n_tokens and decoded (bytes), in place of columns so named."""
-    encoded = df.withColumn("ids", encode(F.col(text), path, pattern))
-    return encoded.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("bigint"), "decoded": decode(F.col("ids"), path)})
+    """``df`` with ids (packed), n_tokens and decoded (bytes), in place of columns so named. Both ways are taken in one
+    Python worker a task, so the vocabulary and the ids stand in memory once."""
+    both = pa.struct([("ids", pa.binary()), ("decoded", pa.binary())])
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for step in _steps([t or "" for t in texts.to_pylist()]):
+                ids = encode_texts(step, path, pattern)
+                back = [decode_ids(x, path) for x in ids]
+                parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], fields=list(both)))
+            yield pa.concat_arrays(parts)
+
+    found = df.withColumn("_both", there_and_back(F.coalesce(F.col(text), F.lit(""))))
+    return found.withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")}).withColumn(
+        "n_tokens", (F.octet_length("ids") / 4).cast("bigint")).drop("_both")
