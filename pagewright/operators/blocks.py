@@ -218,15 +218,18 @@ def numbered_spans(documents: DataFrame) -> DataFrame:
     lengths = F.transform("_heads", lambda h, i: F.length(h).cast("bigint")
                           + F.length(F.get("_gaps", i + 1)).cast("bigint"))
     starts = F.transform(running_starts(lengths), lambda at: at + F.length(F.get("_gaps", F.lit(0))))
+    def page_of(start: Column) -> Column:
+        return F.coalesce(F.get("_page_no", last_at_or_before(F.col("_page_at"), start) - 1), F.lit(1))
+
+    # the page is looked up before sections become rows, so no row carries the document's page offsets
     rows = cut.withColumn("_starts", starts).select(
-        "doc_key", "_page_at", "_page_no",
+        "doc_key",
         F.posexplode(F.transform("_heads", lambda h, i: F.struct(
             h.alias("head"), F.concat(h, F.get("_gaps", i + 1)).alias("section"),
-            F.get("_starts", i).alias("start")))).alias("nth", "s"))
+            page_of(F.get("_starts", i)).alias("page")))).alias("nth", "s"))
     heading = strip(F.col("s")["head"])
     title = F.regexp_replace(heading, java(r"^\d+(?:\.\d+)*\s+"), "")
-    page = F.coalesce(F.get("_page_no", last_at_or_before(F.col("_page_at"), F.col("s")["start"]) - 1), F.lit(1))
-    return rows.select("doc_key", "nth", heading.alias("section_heading"), page.cast("int").alias("page"),
+    return rows.select("doc_key", "nth", heading.alias("section_heading"), F.col("s")["page"].cast("int").alias("page"),
                        strip(F.col("s")["section"]).alias("section"), title.alias("title")
                        ).where((F.length("title") >= 5) & F.col("section_heading").contains(" ")).drop("title")
 
