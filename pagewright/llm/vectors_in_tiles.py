@@ -26,9 +26,10 @@ def usable(vector: Column) -> Column:
 def prepared(df: DataFrame, vec_id: str, vector: str, component: Callable[[Column], Column]) -> DataFrame:
     """(id, v): rows with an id and a vector that is usable as doubles with its components mapped; written once, read by
     both sides."""
-    mapped = F.transform(vector, lambda x: component(x.cast("double")))
-    rows = df.select(F.col(vec_id).cast("bigint").alias("id"), mapped.alias("v"))
-    return written(rows.where(F.col("id").isNotNull() & usable(F.col("v"))), "vectors")
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    rows = df.select(F.col(vec_id).cast("bigint").alias("id"), doubles.alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
+    return written(rows.select("id", F.transform("v", component).alias("v")), "vectors")
 
 
 def matrix(table: pa.Table, id_: str, vector: str) -> tuple[np.ndarray, list[np.ndarray]]:

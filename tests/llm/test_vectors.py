@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def test_top_k_is_exact(spark):
     assert {(r[0], r[1], r[2], -r[3]) for r in found.collect()} == brute(rows, 20, 20, product, fine)
 
 
+def test_tiny_negative_and_huge_components(spark):
+    rows = [(0, [-1e-19, 1.0]), (1, [1.0, 0.0]), (2, [-5e-324, -0.0]), (3, [1e307, -1.0]), (4, [-1e307, 1e-300]), (5, [2.0**60, -2.0**60]),
+            (20, [1e307, 1e307]), (40, [3e306, -0.5])]
+
+    def product(a, b):
+        exact = sum(math.floor(64 * Fraction(x)) * math.floor(64 * Fraction(y)) for x, y in zip(a, b, strict=True))
+        return -max(-exact_topk.LONG, min(exact_topk.LONG, exact))
+
+    found = exact_topk.top_k(table(spark, rows), F.col("id") % 20 == 0, 20, block_rows=2, shard_rows=3)
+    assert {(r[0], r[1], r[2], -r[3]) for r in found.collect()} == brute(rows, 20, 20, product, fine)
+
+
 def test_products_beyond_doubles():
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**30, 1.0], [-(2.0**40), 0.0]])
     assert exact_topk.products(q, v).tolist() == [[2**60 + 1, 2**63 - 1, -(2**63 - 1)]]
