@@ -17,9 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language could be told; null texts and texts without a letter go."""
+    """Documents that the learned languages explain; null texts, texts without a letter and texts of 20 words or more that
+    fit no learned language go. Where nothing could be learned, all texts with a letter stay."""
     found = language.identify(docs.select(*COLUMNS), language.learn(docs))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    return found.where("told").select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ reads the text alone.
 
 Null texts, and texts without a letter, are ``und`` with score 0. So is every text where nothing could be learned. Equal
 proportions go to the language first by code point. Repeated rows are predicted each. Texts are read whole.
+
+``told`` says whether the languages explain a text at all: how far its words' log-likelihood a gram, each in the language
+that suits it best, lies above that of grams never seen (``FIT``). Texts of fewer than ``SHORT`` words are told if they have a
+letter; so is every text with a letter where nothing could be learned.
 """
 
 from __future__ import annotations
@@ -38,6 +42,9 @@ PENALTY = 2.0
 #: Words whose likelihoods a worker keeps, and the longest kept; the store is emptied when full, which costs time only.
 KEPT = 400_000
 KEPT_CHARS = 40
+#: Least gain over unseen grams, in log-likelihood a gram, of a text that is told, and the words from which it is asked for.
+FIT = 1.0
+SHORT = 20
 
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -68,19 +75,22 @@ class Model:
     table: np.ndarray
     kept: dict[str, int] = field(default_factory=dict)
     held: np.ndarray | None = None
+    gains: np.ndarray | None = None
 
     def __getstate__(self):
         return self.languages, self.rows, self.table
 
     def __setstate__(self, state):
         self.languages, self.rows, self.table = state
-        self.kept, self.held = {}, None
+        self.kept, self.held, self.gains = {}, None, None
 
-    def likelihoods(self, found: list[str]) -> np.ndarray:
-        """Of distinct words, one row each: likelihoods by language, the best of each word set to 1."""
+    def likelihoods(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct words, one row each: likelihoods by language, the best of each word set to 1; and by how much a
+        gram's log-likelihood exceeds that of grams never seen, in the language where it does so most."""
         if self.held is None or len(self.kept) + len(found) > KEPT:
             self.kept.clear()
             self.held = np.empty((max(KEPT, len(found)), len(self.languages)))
+            self.gains = np.empty(len(self.held))
         new = [w for w in found if w not in self.kept]
         if new:
             unseen, rows = len(self.table) - 1, self.rows.get
@@ -90,8 +100,11 @@ class Model:
             sums = np.add.reduceat(self.table[flat], starts, axis=0)
             first = len(self.kept)
             self.held[first:first + len(new)] = np.exp(sums - sums.max(axis=1, keepdims=True))
+            sizes = np.fromiter(map(len, lists), float)
+            self.gains[first:first + len(new)] = (sums / sizes[:, None] - self.table[unseen]).max(axis=1)
             self.kept.update(zip(new, range(first, first + len(new)), strict=True))
-        out = self.held[np.fromiter(map(self.kept.__getitem__, found), np.int64, len(found))]
+        places = np.fromiter(map(self.kept.__getitem__, found), np.int64, len(found))
+        out = self.held[places], self.gains[places]
         if any(len(w) > KEPT_CHARS for w in new):
             self.kept.clear()
         return out
@@ -149,10 +162,17 @@ def estimate(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
 
 def infer(text: str | None, model: Model) -> dict[str, float]:
     """Languages of a text and their proportions, largest first; empty where there is none."""
+    return explained(text, model)[0]
+
+
+def explained(text: str | None, model: Model) -> tuple[dict[str, float], bool]:
+    """``infer``, and whether the text is told."""
     tally = Counter(words(text)) if text else {}
     if not tally or not model.languages:
-        return {}
-    p, n = model.likelihoods(list(tally)), np.fromiter(tally.values(), float, len(tally))
+        return {}, bool(tally)
+    n = np.fromiter(tally.values(), float, len(tally))
+    p, gains = model.likelihoods(list(tally))
+    told = bool(n.sum() < SHORT or n @ gains >= FIT * n.sum())
     share, _ = estimate(p, n)
     order = np.argsort(-share, kind="stable")
     penalty = PENALTY * np.log(1 + n.sum())
@@ -163,27 +183,29 @@ def infer(text: str | None, model: Model) -> dict[str, float]:
             break
         kept, best = share, value
     ranked = sorted(zip(kept.tolist(), (model.languages[i] for i in order), strict=False), key=lambda x: (-x[0], x[1]))
-    return {language: proportion for proportion, language in ranked}
+    return {language: proportion for proportion, language in ranked}, told
 
 
 def proportions(text: Column, model: Model) -> Column:
-    """Array of (language, proportion), largest first. The model is sent to the tasks once."""
+    """(languages, told): an array of (language, proportion), largest first. The model is sent to the tasks once."""
     from pyspark.sql import SparkSession
 
     shared = SparkSession.active().sparkContext.broadcast(model)
     cell = pa.struct([("language", pa.string()), ("proportion", pa.float64())])
 
-    @F.arrow_udf("array<struct<language:string,proportion:double>>")
+    @F.arrow_udf("struct<languages:array<struct<language:string,proportion:double>>,told:boolean>")
     def inferred(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = ([{"language": k, "proportion": v} for k, v in infer(t.as_py(), shared.value).items()] for t in texts)
-            yield pa.array(found, pa.list_(cell), size=len(texts))
+            found = [explained(t.as_py(), shared.value) for t in texts]
+            languages = pa.array([[{"language": k, "proportion": v} for k, v in x.items()] for x, _ in found], pa.list_(cell))
+            yield pa.StructArray.from_arrays([languages, pa.array([told for _, told in found], pa.bool_())], ["languages", "told"])
 
     return inferred(text)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``languages`` (the set, with proportions), ``lang_pred`` and ``score`` (the largest proportion)."""
-    found = df.withColumn("languages", proportions(F.col(text), model))
+    """``df`` with ``languages`` (the set, with proportions), ``lang_pred``, ``score`` (the largest proportion), ``told``."""
+    found = df.withColumn("_found", proportions(F.col(text), model))
+    found = found.withColumns({"languages": F.col("_found.languages"), "told": F.col("_found.told")}).drop("_found")
     top = F.try_element_at("languages", F.lit(1))
     return found.withColumns({"lang_pred": F.coalesce(top["language"], F.lit(UNKNOWN)), "score": F.coalesce(top["proportion"], F.lit(0.0))})

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagewright.llm import language
 from tests.llm.tables import documents, empty
 
@@ -46,6 +47,27 @@ def test_learning_leaves_held_out_rows_alone(spark):
     assert a.rows == b.rows and np.array_equal(a.table, b.table)
 
 
+def test_told_follows_the_inferred_result(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.learn(docs)
+    foreign = "это совсем другой язык и его никто здесь не учил " * 5
+    clean = docs.where("n_chars > 2000").orderBy("doc_id").first()["text"]
+    junk = " ".join("qxzjwkvq zzxqj wqkxvj jqzxw kqvxz".split() * 10)
+    told = {text: language.explained(text, model)[1] for text in (foreign, junk, clean, clean[:30], "это", "...", "", None)}
+    assert told == {foreign: False, junk: False, clean: True, clean[:30]: True, "это": True, "...": False, "": False, None: False}
+    assert language.identify(docs, model).where("NOT told").count() == 0
+
+
+def test_pipeline_keeps_texts_where_no_language_is_known(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_language(spark, docs, "").collect()
+    letters = [r for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert len(kept) == len(letters) > 0
+    rows = [(i, "one two three", "en") for i in range(40)] + [(100, "это совсем другой язык " * 10, None)]
+    mixed = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, mixed, "").collect()} == set(range(40))
+
+
 def test_proportions_add_up():
     p = np.random.default_rng(2).random((50, 4))
     share, _ = language.estimate(p, np.ones(50))
