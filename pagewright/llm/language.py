@@ -6,8 +6,9 @@ proportions. Languages are then taken in order of their proportions for as long
 those taken, gains more than the penalty for one more; what is left is the document's language set.
 
 The n-gram counts are learned from rows whose crc32(id) mod 4 is not 2: about ``per_language`` labelled rows of each
-language, by a digest of the id (a documented bound: the model stops growing with the corpus), whole texts. A prediction
-reads the text alone.
+language, by a digest of id and text (a documented bound: the model stops growing with the corpus), whole texts; rows
+that agree in language, id and text count once. Of each language the ``GRAMS`` most frequent are kept. More than
+``LANGUAGES`` distinct labels are an error, as the table of the model has a column for each. A prediction reads the text alone.
 
 Null texts, and texts without a letter, are ``und`` with score 0. So is every text where nothing could be learned. Equal
 proportions go to the language first by code point. Repeated rows are predicted each. Texts are read whole.
@@ -29,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import text_key
+
 UNKNOWN = "und"
 GRAM = 3
 PER_LANGUAGE = 2000
 #: Grams kept of each language: its most frequent, ties by code point.
 GRAMS = 50_000
+#: Distinct labels that a model holds.
+LANGUAGES = 256
 SMOOTHING = 0.1
 STEPS = 30
 SETTLED = 1e-3
@@ -113,10 +118,17 @@ class Model:
 def learn(df: DataFrame, text: str = "text", language: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Count the grams of the learning rows by language."""
     rows = df.where(F.col(language).isNotNull() & ~held_out(F.col(doc_id)))
-    # one row a language, so it goes to every task; a shuffle by language would put a common one into one task
-    counts = rows.groupBy(F.col(language).alias("_lang")).agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit(4)), F.lit(2**31)) / 2**31
-    drawn = rows.where(F.col(text).isNotNull()).join(F.broadcast(counts), F.col(language) == F.col("_lang")).where(draw < F.lit(per_language) / F.col("_n"))
+    rows = rows.where(F.col(text).isNotNull()).select(
+        F.col(language).alias("_lang"), F.col(doc_id).cast("string").alias("_id"), text_key(F.col(text)).alias("_key"), F.col(text).alias("_text"))
+    counts = rows.select("_lang", "_id", "_key").distinct().groupBy("_lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"column {language} has more than {LANGUAGES} distinct labels to learn; map them to languages first")
+    # shares by language are literals: a shuffle by language would put a common one into one task
+    shares = [x for r in counts if r["count"] > per_language for x in (F.lit(r["_lang"]), F.lit(per_language / r["count"]))]
+    draw = F.pmod(F.xxhash64("_id", "_key", F.lit(4)), F.lit(2**31)) / 2**31
+    if shares:
+        rows = rows.where(draw < F.coalesce(F.try_element_at(F.create_map(*shares), F.col("_lang")), F.lit(1.0)))
+    drawn = rows.dropDuplicates(["_lang", "_id", "_key"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +142,7 @@ def learn(df: DataFrame, text: str = "text", language: str = "lang", doc_id: str
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells, strict=True)], ["lang", "gram", "n"])
 
-    tallied = drawn.select("_lang", F.col(text).alias("_text")).mapInArrow(count, "lang string, gram string, n bigint")
+    tallied = drawn.select("_lang", "_text").mapInArrow(count, "lang string, gram string, n bigint")
     summed = tallied.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     by: dict[str, dict[str, int]] = {}
     for lang, gram, n in zip(summed["lang"], summed["gram"], summed["n"], strict=True):

@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, mixtures, odd texts."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -47,6 +48,23 @@ def test_learning_leaves_held_out_rows_alone(spark):
     assert a.rows == b.rows and np.array_equal(a.table, b.table)
 
 
+def test_rows_without_ids_are_drawn_one_by_one(spark):
+    schema = "doc_id bigint, text string, lang string"
+    rows = [(None, f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}", "x") for i in range(600)]
+    rows += [(1, "same same", "y")] * 600
+    model = language.learn(spark.createDataFrame(rows, schema), per_language=60)
+    assert model.languages == ["x", "y"]
+    counts = np.exp(model.table) / np.exp(model.table).min(axis=0) * language.SMOOTHING - language.SMOOTHING
+    starts = sum(counts[i, 0] for gram, i in model.rows.items() if gram.startswith(" w"))
+    assert 30 <= starts <= 90 and round(counts[model.rows["sam"], 1]) == 2
+
+
+def test_labels_are_bounded(spark):
+    rows = [(i, "some text", f"label{i}") for i in range(2 * language.LANGUAGES)]
+    with pytest.raises(ValueError, match="distinct labels"):
+        language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+
+
 def test_told_follows_the_inferred_result(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.learn(docs)
