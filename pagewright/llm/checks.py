@@ -61,6 +61,18 @@ k AS (SELECT doc_id, sum(size) AS taken FROM r WHERE spent <= (SELECT sum(size)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (doc_id)"""
 
 
+LINES = r"""
+WITH l AS (SELECT doc_id, place, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  e' \t\n\x0b\x0c\r') AS key
+           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents)),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.*, coalesce(keeper <> doc_id, false) AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+
 def _secrets() -> str:
     parts = []
     for place, rule in enumerate(secret_scan.RULES):

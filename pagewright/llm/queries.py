@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import (byte_bpe, exact_topk, hash_forest, jaccard, language, licenses, mixing, secret_scan, token_count,
-                            warc)
-from pagewright.llm.checks import HISTORY, LICENSES, LINKS, MIX, SECRETS, TOPK
+from pagewright.llm import (byte_bpe, exact_topk, hash_forest, jaccard, language, licenses, line_dedup, mixing, secret_scan,
+                            token_count, warc)
+from pagewright.llm.checks import HISTORY, LICENSES, LINES, LINKS, MIX, SECRETS, TOPK
 from pagewright.llm.common import table
 
 #: Captures have no time of their own in ``pages``: the id counts seconds from here.
@@ -75,6 +75,11 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document, how many go, and what stays."""
+    return line_dedup.digest(line_dedup.deduplicated(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_exact_topk": (topk, TOPK),
     "op2_token_counts": (counts, None),
@@ -86,5 +91,6 @@ QUERIES = {
     "op8_jaccard_join": (near_duplicates, LINKS),
     "op9_secret_scan": (secrets, SECRETS),
     "op10_source_mix": (mix, MIX),
+    "op12_line_dedup": (lines, LINES),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
