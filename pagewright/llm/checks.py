@@ -73,6 +73,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id"""
 
 
+PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT f.lang, f.size, f.phrase, f.f AS a, k, string_split(f.phrase, ' ') AS w FROM f, (SELECT unnest([1, 2, 3, 4]) AS k)
+      WHERE f.size > 1 AND k < f.size),
+s AS (SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, n, k, CAST((1000 * CAST(a AS HUGEINT) * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM c JOIN n ON n.lang = c.lang
+      JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(w[1:k], ' ')
+      JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(w[k + 1:c.size], ' ')
+      QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+t AS (SELECT s.* FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = s.lang AND f.size > len(string_split(s.phrase, ' '))
+      AND 100 * f.f >= 100 * s.a AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM t QUALIFY rank <= 2000"""
+
+
 def _secrets() -> str:
     parts = []
     for place, rule in enumerate(secret_scan.RULES):

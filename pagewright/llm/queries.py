@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import (byte_bpe, exact_topk, hash_forest, jaccard, language, licenses, line_dedup, mixing, secret_scan,
-                            token_count, warc)
-from pagewright.llm.checks import HISTORY, LICENSES, LINES, LINKS, MIX, SECRETS, TOPK
+from pagewright.llm import (byte_bpe, exact_topk, hash_forest, jaccard, language, licenses, line_dedup, mixing, phrases,
+                            secret_scan, token_count, warc)
+from pagewright.llm.checks import HISTORY, LICENSES, LINES, LINKS, MIX, PHRASES, SECRETS, TOPK
 from pagewright.llm.common import table
 
 #: Captures have no time of their own in ``pages``: the id counts seconds from here.
@@ -80,6 +80,11 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(line_dedup.deduplicated(table(spark, folder, "documents")))
 
 
+def collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 best collocations of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_topk": (topk, TOPK),
     "op2_token_counts": (counts, None),
@@ -92,5 +97,6 @@ QUERIES = {
     "op9_secret_scan": (secrets, SECRETS),
     "op10_source_mix": (mix, MIX),
     "op12_line_dedup": (lines, LINES),
+    "op13_phrase_mining": (collocations, PHRASES),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
