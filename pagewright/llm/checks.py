@@ -94,6 +94,31 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM t QUALIFY rank <= 2000"""
 
 
+def _clusters() -> str:
+    far = "list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.v) + list_inner_product(c.v, c.v)"
+    steps = []
+    for i in range(11):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT row, vec_id, any_value(v) AS v, arg_min(c, [d, c]) AS c, min(d) AS d
+            FROM (SELECT v.*, c.c, {far} AS d FROM v, c{i} c) GROUP BY row, vec_id)""")
+        if i < 10:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN
+                (SELECT c, list(x ORDER BY place) AS v FROM (SELECT c, place, floor(sum(x) / count(*)) AS x
+                 FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY c, place) GROUP BY c) m USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM v QUALIFY c < 8),
+{", ".join(steps)},
+t AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a10 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, cluster_inertia,
+       CAST((SELECT sum(cluster_inertia) FROM t) AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c10.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a10 JOIN t USING (c) JOIN c10 USING (c)"""
+
+
+CLUSTERS = _clusters()
+
+
 def _secrets() -> str:
     parts = []
     for place, rule in enumerate(secret_scan.RULES):

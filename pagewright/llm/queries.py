@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import (byte_bpe, exact_topk, hash_forest, jaccard, language, licenses, line_dedup, mixing, phrases,
+from pagewright.llm import (byte_bpe, centroids, exact_topk, hash_forest, jaccard, language, licenses, line_dedup, mixing, phrases,
                             secret_scan, token_count, warc)
-from pagewright.llm.checks import HISTORY, LICENSES, LINES, LINKS, MIX, PHRASES, SECRETS, TOPK
+from pagewright.llm.checks import CLUSTERS, HISTORY, LICENSES, LINES, LINKS, MIX, PHRASES, SECRETS, TOPK
 from pagewright.llm.common import table
 
 #: Captures have no time of their own in ``pages``: the id counts seconds from here.
@@ -75,6 +75,12 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's cluster and how tight clusters are."""
+    found = centroids.clusters(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every document, how many go, and what stays."""
     return line_dedup.digest(line_dedup.deduplicated(table(spark, folder, "documents")))
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_jaccard_join": (near_duplicates, LINKS),
     "op9_secret_scan": (secrets, SECRETS),
     "op10_source_mix": (mix, MIX),
+    "op11_centroid_clusters": (clusters, CLUSTERS),
     "op12_line_dedup": (lines, LINES),
     "op13_phrase_mining": (collocations, PHRASES),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
