@@ -158,7 +158,7 @@ def _text_bounds(texts: DataFrame) -> list[bytes]:
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, _ in _runs_of_text(batches):
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(range(0, len(keys), 8))).cast(pa.binary())], ["key"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.arange(0, len(keys), 8))).cast(pa.binary())], ["key"])
 
     found = texts.sample(share, 7).mapInArrow(some, "key binary")
     return _bounds([row.key for row in found.orderBy(F.xxhash64("key"), "key").limit(wanted).collect()], ranges)
