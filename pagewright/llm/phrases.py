@@ -42,7 +42,7 @@ SHARE = 100
 BEST = 2000
 UNKNOWN = "und"
 #: Bytes of text whose windows a task sorts at a time.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 #: Characters of text for a range, frequent phrases for a range, and ranges at most; keys drawn for a range.
 RANGE_CHARS, RANGE_PHRASES, RANGES, DRAWN = 2_000_000, 20_000, 1 << 16, 16
 
