@@ -5,7 +5,7 @@ mergeable pair (named by the rank of the token it makes) to the places where it
 order over all stretches at once; a merge touches only the pairs its two neighbours form, whose places join the index.
 Where a merge makes a pair of lower rank than the one in hand, that pair goes first, so every stretch merges as it
 would alone. Texts are then joined from the stretches' ids. A batch is what Spark hands to a task at a time; ids of
-short stretches are kept from batch to batch up to a bound, so most stretches are replayed once per worker.
+short stretches are kept from batch to batch up to a bound, so most stretches are replayed once per task.
 
 Null and empty texts have no ids and decode to no bytes. Repeated rows are encoded each. Texts are read whole.
 """
@@ -13,6 +13,7 @@ Null and empty texts have no ids and decode to no bytes. Repeated rows are encod
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -23,28 +24,23 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import pretokens
 
-#: Stretches a worker keeps the ids of, and the longest kept; the store is emptied when full, which costs time only.
-KEPT = 600_000
+#: Stretches a task keeps the ids of, and the longest kept; the store is emptied when full, which costs time only.
+KEPT = 200_000
 KEPT_CHARS = 40
 #: Characters of new stretches replayed at once; a place takes about 200 bytes while it is in hand.
 REPLAY_CHARS = 1 << 18
 
-_kept: dict[str, dict[str, bytes]] = {}
-_tables: dict[str, tuple[dict[bytes, int], list[bytes], list[int]]] = {}
-
-
+@lru_cache(1)
 def _vocabulary(path: str):
     """Ranks, token bytes by id, ids of single bytes, and the rank of each pair of bytes (-1: none)."""
-    if path not in _tables:
-        ranks = pretokens.byte_ranks(path)
-        spelled = [b""] * (max(ranks.values(), default=-1) + 1)
-        pairs = np.full(1 << 16, -1, np.int64)
-        for token, rank in ranks.items():
-            spelled[rank] = token
-            if len(token) == 2:
-                pairs[token[0] << 8 | token[1]] = rank
-        _tables[path] = ranks, spelled, np.array([ranks[bytes([b])] for b in range(256)]), pairs
-    return _tables[path]
+    ranks = pretokens.byte_ranks(path)
+    spelled = [b""] * (max(ranks.values(), default=-1) + 1)
+    pairs = np.full(1 << 16, -1, np.int64)
+    for token, rank in ranks.items():
+        spelled[rank] = token
+        if len(token) == 2:
+            pairs[token[0] << 8 | token[1]] = rank
+    return ranks, spelled, np.array([ranks[bytes([b])] for b in range(256)]), pairs
 
 
 def replay(words: list[bytes], path: str) -> list[bytes]:
@@ -134,9 +130,9 @@ def _learn(new: list[str], kept: dict[str, bytes], path: str) -> None:
         kept.update(zip(batch, replay([w.encode() for w in batch], path), strict=True))
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
-    """The ids of each text, packed; one replay for what is new in all of them."""
-    kept = _kept.setdefault(path, {})
+def encode_texts(texts: list[str], path: str, pattern: str, kept: dict[str, bytes] | None = None) -> list[bytes]:
+    """The ids of each text, packed; one replay for what is new in all of them. ``kept`` holds ids from call to call."""
+    kept = {} if kept is None else kept
     cut = [list(chain.from_iterable(pretokens.pieces(text, pattern))) for text in texts]
     new = list(set().union(*cut) - kept.keys())
     _learn(new, kept, path)
@@ -177,9 +173,10 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept: dict[str, bytes] = {}
         for texts in batches:
             held = [t or "" for t in texts.to_pylist()]
-            yield pa.array((x for step in _steps(held) for x in encode_texts(step, path, pattern)), pa.binary(), size=len(held))
+            yield pa.array((x for step in _steps(held) for x in encode_texts(step, path, pattern, kept)), pa.binary(), size=len(held))
 
     return encoded(F.coalesce(text, F.lit("")))
 
@@ -202,10 +199,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     @F.arrow_udf("struct<ids:binary,decoded:binary>")
     def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kept: dict[str, bytes] = {}
         for texts in batches:
             parts = []
             for step in _steps([t or "" for t in texts.to_pylist()]):
-                ids = encode_texts(step, path, pattern)
+                ids = encode_texts(step, path, pattern, kept)
                 back = [decode_ids(x, path) for x in ids]
                 parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], fields=list(both)))
             yield pa.concat_arrays(parts)

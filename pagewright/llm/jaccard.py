@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +49,10 @@ CHUNK = 512
 PIVOTS = 16
 #: Bits of the filters that are sent to tasks.
 BITS = 1 << 25
-#: Words a worker keeps the hash of; the store is emptied when full, which costs time only.
-KEPT = 1_000_000
+#: Words a task keeps the hash of; the store is emptied when full, which costs time only.
+KEPT = 200_000
+#: Rows and bytes of text that a task has in hand at a time.
+STEP_ROWS, STEP_BYTES = 1_000, 4 << 20
 
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -63,21 +66,18 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, MIX[0]), (27, MIX[1])):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes | None) -> np.ndarray:
+def shingles(text: bytes | None, hashes: _Hashes) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct shingles."""
     words = text.lower().split() if text else []  # of bytes: A-Z only, and ASCII white space only
-    if len(_hashes) > KEPT:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    if len(hashes) > KEPT:
+        hashes.clear()
     if len(w) < WORDS:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64) if words else w
     n = len(w) - WORDS + 1
@@ -107,9 +107,20 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)) // STEP_BYTES
+        start = 0
+        while start < batch.num_rows:
+            end = min(start + STEP_ROWS, max(start + 1, int(np.searchsorted(sizes, sizes[start], "right"))))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _sets(batch: pa.RecordBatch, hashes: _Hashes) -> Iterator[np.ndarray]:
     for text in batch.column("text").cast(pa.binary()):
-        yield text.as_py()
+        yield shingles(text.as_py(), hashes)
 
 
 FIRST = "doc_id bigint, key bigint, n bigint, c bigint, lo bigint, slice int, counts binary"
@@ -119,11 +130,10 @@ _FIRST = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64(
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the task's counters, a row for each slice."""
-    counters = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
+    counters, hashes = np.zeros(COUNTERS, np.int64), _Hashes()
+    for batch in _steps(batches):
         sizes, marks = [], []
-        for text in _texts(batch):
-            held = shingles(text)
+        for held in _sets(batch, hashes):
             np.add.at(counters, (held & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             sizes.append(len(held))
             marks.append(fingerprint(held))
@@ -202,30 +212,29 @@ def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 class _Columns:
-    """Numpy views and point matrices of the table a run lies in, made once a table."""
+    """Numpy views of the table a run lies in, made once a table; points of a run are unpacked for it alone."""
 
     def __init__(self):
         self.table = None
 
-    def of(self, table: pa.Table):
+    def of(self, table: pa.Table, start: int, end: int) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
         if table is not self.table:
             self.table = table
             self.held = {f.name: table.column(f.name).to_numpy() for f in table.schema if pa.types.is_integer(f.type)}
-            self.points = [unpacked(raw.as_py()) for raw in table.column("vector")]
-        return self.held, self.points
+        return {k: v[start:end] for k, v in self.held.items()}, [unpacked(raw.as_py()) for raw in table.column("vector").slice(start, end - start)]
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Connect what survives the bound in each chunk of a bucket; of a cut bucket, connect all."""
     columns, out = _Columns(), []
     for table, start, end in _runs(batches, ["token", "chunk"]):
-        held, points = columns.of(table)
-        c = held["c"][start:end]
-        if held["cut"][start]:
-            least = int(held["least"][start])
+        held, points = columns.of(table, start, end)
+        c = held["c"]
+        if held["cut"][0]:
+            least = int(held["least"][0])
             out += [(int(x), least) for x in c if x != least]
         else:
-            out += [(int(c[i]), int(c[j])) for i, j in link(points[start:end], held["n"][start:end])]
+            out += [(int(c[i]), int(c[j])) for i, j in link(points, held["n"])]
         if len(out) > 10_000:
             yield _edge_batch(out)
             out = []
@@ -236,16 +245,16 @@ def _cluster_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Verified links of each tile of a cluster."""
     columns, out = _Columns(), []
     for table, start, end in _runs(batches, ["cluster", "tile", "side"]):
-        held, points = columns.of(table)
-        c, n = held["c"][start:end], held["n"][start:end]
+        held, points = columns.of(table, start, end)
+        c, n = held["c"], held["n"]
         sets = [np.frombuffer(raw.as_py(), np.uint64) for raw in table.column("held").slice(start, end - start)]
 
         def verified(i: int, j: int) -> bool:
             overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             return bool(enough(overlap, len(sets[i]), len(sets[j])))
 
-        asking = np.flatnonzero(held["asks"][start:end])
-        out += [(int(c[i]), int(c[j])) for i, j in link(points[start:end], n, verified, asking)]
+        asking = np.flatnonzero(held["asks"])
+        out += [(int(c[i]), int(c[j])) for i, j in link(points, n, verified, asking)]
         if len(out) > 10_000:
             yield _edge_batch(out)
             out = []
@@ -272,10 +281,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     reps = written(classes.select("c", "lo", "least_id", "rep.*"), "classes")
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hashes = _Hashes()
+        for batch in _steps(batches):
             sizes, firsts, vectors = [], [], []
-            for raw in _texts(batch):
-                held = shingles(raw)
+            for held in _sets(batch, hashes):
                 n = len(held)
                 order = np.argsort(frequency.value[(held & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                 sizes.append(n)
@@ -320,9 +329,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     keys = share(_filter_bits(grouped, "key"))
 
     def held_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hashes = _Hashes()
+        for batch in _steps(batches):
             batch = batch.filter(pa.array(_passes(keys.value, batch.column("key").to_numpy())))
-            sets = [shingles(raw) for raw in _texts(batch)]
+            sets = list(_sets(batch, hashes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(list(map(len, sets)), pa.int64()),
                  pa.array([packed(counts_of(x)) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],

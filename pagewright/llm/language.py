@@ -5,17 +5,16 @@ a word's likelihood in a language is the product over its character n-grams. Exp
 proportions. Languages are then taken in order of their proportions for as long as the likelihood, re-estimated over
 those taken, gains more than the penalty for one more; what is left is the document's language set.
 
-The n-gram counts are learned from rows whose crc32(id) mod 4 is not 2: about ``per_language`` labelled rows of each
-language, by a digest of id and text (a documented bound: the model stops growing with the corpus), whole texts; rows
-that agree in language, id and text count once. Of each language the ``GRAMS`` most frequent are kept. More than
-``LANGUAGES`` distinct labels are an error, as the table of the model has a column for each. A prediction reads the text alone.
+The n-gram counts are learned from rows whose crc32(id) mod 4 is not 2: about ``per_language`` labelled rows of each of
+the ``languages`` labels that most of them have (ties by code point), by a digest of id and text; whole texts; rows that agree in
+language, id and text count once. Both numbers are documented bounds of the sample: the model stops growing with the corpus, and a column full of
+dirty labels does not fill the driver. Of each language the ``GRAMS`` most frequent are kept. A prediction reads the text alone.
 
 Null texts, and texts without a letter, are ``und`` with score 0. So is every text where nothing could be learned. Equal
-proportions go to the language first by code point. Repeated rows are predicted each. Texts are read whole.
+proportions go to the language first by code point. Repeated rows are predicted each. Texts are read whole; one holds
+as many numbers in its worker as it has distinct words times languages.
 
-``told`` says whether the languages explain a text at all: how far its words' log-likelihood a gram, each in the language
-that suits it best, lies above that of grams never seen (``FIT``). Texts of fewer than ``SHORT`` words are told if they have a
-letter; so is every text with a letter where nothing could be learned.
+``told`` says whether a text holds anything to tell a language by: a letter. A text in a language that has no labelled rows is told like any other.
 """
 
 from __future__ import annotations
@@ -23,11 +22,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import text_key
@@ -37,19 +37,18 @@ GRAM = 3
 PER_LANGUAGE = 2000
 #: Grams kept of each language: its most frequent, ties by code point.
 GRAMS = 50_000
-#: Distinct labels that a model holds.
-LANGUAGES = 256
+#: Labels that are learned.
+LANGUAGES = 1024
 SMOOTHING = 0.1
 STEPS = 30
 SETTLED = 1e-3
 #: Penalty in log-likelihood for each further language, times the logarithm of the number of words.
 PENALTY = 2.0
-#: Words whose likelihoods a worker keeps, and the longest kept; the store is emptied when full, which costs time only.
-KEPT = 400_000
+#: Words whose likelihoods a task keeps, the numbers they may take, and the longest kept; the store is emptied when full,
+#: which costs time only.
+KEPT = 200_000
+KEPT_CELLS = 4_000_000
 KEPT_CHARS = 40
-#: Least gain over unseen grams, in log-likelihood a gram, of a text that is told, and the words from which it is asked for.
-FIT = 1.0
-SHORT = 20
 
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -73,56 +72,71 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Log-likelihoods of grams: one row a gram, one column a language; the last row is that of a gram never seen."""
+    """What grams add to the log-likelihood of one never seen (``unseen``, by language): gram ``i`` adds ``gains`` in
+    ``columns``, both from ``starts[i]`` to ``starts[i + 1]``."""
 
     languages: list[str]
     rows: dict[str, int]
-    table: np.ndarray
-    kept: dict[str, int] = field(default_factory=dict)
-    held: np.ndarray | None = None
-    gains: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.languages, self.rows, self.table
-
-    def __setstate__(self, state):
-        self.languages, self.rows, self.table = state
-        self.kept, self.held, self.gains = {}, None, None
-
-    def likelihoods(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of distinct words, one row each: likelihoods by language, the best of each word set to 1; and by how much a
-        gram's log-likelihood exceeds that of grams never seen, in the language where it does so most."""
-        if self.held is None or len(self.kept) + len(found) > KEPT:
+    starts: np.ndarray
+    columns: np.ndarray
+    gains: np.ndarray
+    unseen: np.ndarray
+
+    def likelihoods(self, found: list[str]) -> np.ndarray:
+        """Of each word a row: likelihoods by language, the best set to 1."""
+        width, rows = len(self.languages), self.rows.get
+        out = np.empty((len(found), width))
+        step = max(1, KEPT_CELLS // (8 * width))
+        for first in range(0, len(found), step):
+            lists = [grams(w) for w in found[first:first + step]]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            held = np.fromiter((rows(g, -1) for one in lists for g in one), np.int64)
+            word = np.repeat(np.arange(len(lists)), sizes)[held >= 0]
+            held = held[held >= 0]
+            many = self.starts[held + 1] - self.starts[held]
+            entry = np.repeat(self.starts[held] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            cells = np.repeat(word, many) * width + self.columns[entry]
+            sums = np.bincount(cells, self.gains[entry], len(lists) * width).reshape(-1, width) + sizes[:, None] * self.unseen
+            out[first:first + len(lists)] = np.exp(sums - sums.max(axis=1, keepdims=True))
+        return out
+
+
+class Words:
+    """A model, and the likelihoods of words met before. It lives as long as a task."""
+
+    def __init__(self, model: Model):
+        self.model, self.kept = model, {}
+        self.most = min(KEPT, KEPT_CELLS // max(1, len(model.languages)))
+        self.held = np.empty((0, len(model.languages)))
+
+    def likelihoods(self, found: list[str]) -> np.ndarray:
+        """As of the model, for distinct words."""
+        if len(self.kept) + len(found) > self.most:
             self.kept.clear()
-            self.held = np.empty((max(KEPT, len(found)), len(self.languages)))
-            self.gains = np.empty(len(self.held))
+        if len(found) > self.most or any(len(w) > KEPT_CHARS for w in found):
+            return self.model.likelihoods(found)
         new = [w for w in found if w not in self.kept]
         if new:
-            unseen, rows = len(self.table) - 1, self.rows.get
-            lists = [[rows(g, unseen) for g in grams(w)] for w in new]
-            starts = np.cumsum([0, *map(len, lists[:-1])])
-            flat = np.fromiter((r for one in lists for r in one), np.int64)
-            sums = np.add.reduceat(self.table[flat], starts, axis=0)
             first = len(self.kept)
-            self.held[first:first + len(new)] = np.exp(sums - sums.max(axis=1, keepdims=True))
-            sizes = np.fromiter(map(len, lists), float)
-            self.gains[first:first + len(new)] = (sums / sizes[:, None] - self.table[unseen]).max(axis=1)
+            if first + len(new) > len(self.held):
+                more = np.empty((min(self.most, 2 * (first + len(new))), self.held.shape[1]))
+                more[:first] = self.held[:first]
+                self.held = more
+            self.held[first:first + len(new)] = self.model.likelihoods(new)
             self.kept.update(zip(new, range(first, first + len(new)), strict=True))
-        places = np.fromiter(map(self.kept.__getitem__, found), np.int64, len(found))
-        out = self.held[places], self.gains[places]
-        if any(len(w) > KEPT_CHARS for w in new):
-            self.kept.clear()
-        return out
+        return self.held[np.fromiter(map(self.kept.__getitem__, found), np.int64, len(found))]
 
 
-def learn(df: DataFrame, text: str = "text", language: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
-    """Count the grams of the learning rows by language."""
+def learn(df: DataFrame, text: str = "text", language: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE,
+          languages: int = LANGUAGES, most_grams: int | None = GRAMS) -> Model:
+    """Count the grams of the learning rows by language; ``most_grams`` None keeps all of them."""
     rows = df.where(F.col(language).isNotNull() & ~held_out(F.col(doc_id)))
     rows = rows.where(F.col(text).isNotNull()).select(
         F.col(language).alias("_lang"), F.col(doc_id).cast("string").alias("_id"), text_key(F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    counts = rows.select("_lang", "_id", "_key").distinct().groupBy("_lang").count().limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"column {language} has more than {LANGUAGES} distinct labels to learn; map them to languages first")
+    labels = rows.select("_lang", "_id", "_key").distinct().groupBy("_lang").count()
+    counts = labels.orderBy(F.desc("count"), "_lang").limit(languages).collect()
+    if len(counts) == languages:
+        rows = rows.where(F.col("_lang").isin([r["_lang"] for r in counts]))
     # shares by language are literals: a shuffle by language would put a common one into one task
     shares = [x for r in counts if r["count"] > per_language for x in (F.lit(r["_lang"]), F.lit(per_language / r["count"]))]
     draw = F.pmod(F.xxhash64("_id", "_key", F.lit(4)), F.lit(2**31)) / 2**31
@@ -143,18 +157,25 @@ def learn(df: DataFrame, text: str = "text", language: str = "lang", doc_id: str
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells, strict=True)], ["lang", "gram", "n"])
 
     tallied = drawn.select("_lang", "_text").mapInArrow(count, "lang string, gram string, n bigint")
-    summed = tallied.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    by: dict[str, dict[str, int]] = {}
-    for lang, gram, n in zip(summed["lang"], summed["gram"], summed["n"], strict=True):
-        by.setdefault(lang, {})[gram] = n
-    by = {lang: dict(sorted(tally.items(), key=lambda x: (-x[1], x[0]))[:GRAMS]) for lang, tally in sorted(by.items())}
-    names = sorted(set().union(*by.values())) if by else []
-    place = {gram: i for i, gram in enumerate(names)}
-    table = np.full((len(names) + 1, len(by)), SMOOTHING)
-    for column, tally in enumerate(by.values()):
-        for gram, n in tally.items():
-            table[place[gram], column] += n
-    return Model(list(by), place, np.log(table / table.sum(axis=0)) if by else table)
+    summed = tallied.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    if most_grams is not None:                    # cut in the tasks: the driver gets no more than it keeps
+        by_count = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
+        summed = summed.withColumn("_nth", F.row_number().over(by_count)).where(F.col("_nth") <= most_grams).drop("_nth")
+    held = summed.toArrow()
+    return modelled(held.column("lang").to_pylist(), held.column("gram").to_pylist(), held.column("n").to_numpy().astype(float))
+
+
+def modelled(langs: list[str], names: list[str], n: np.ndarray) -> Model:
+    """The model of gram counts: a row each of language, gram, count."""
+    languages, known = sorted(set(langs)), sorted(set(names))
+    rows, place = {gram: i for i, gram in enumerate(known)}, {lang: i for i, lang in enumerate(languages)}
+    row = np.fromiter(map(rows.__getitem__, names), np.int64, len(names))
+    column = np.fromiter(map(place.__getitem__, langs), np.int32, len(langs))
+    order = np.lexsort((column, row))
+    row, column, n = row[order], column[order], n[order]
+    starts = np.searchsorted(row, np.arange(len(known) + 1))
+    total = np.bincount(column, n, len(languages)) + SMOOTHING * (len(known) + 1)
+    return Model(languages, rows, starts, column, np.log((n + SMOOTHING) / SMOOTHING), np.log(SMOOTHING / total))
 
 
 def estimate(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
@@ -172,19 +193,19 @@ def estimate(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(n @ np.log(np.maximum(p @ share, 1e-300)))
 
 
-def infer(text: str | None, model: Model) -> dict[str, float]:
+def infer(text: str | None, model: Model | Words) -> dict[str, float]:
     """Languages of a text and their proportions, largest first; empty where there is none."""
     return explained(text, model)[0]
 
 
-def explained(text: str | None, model: Model) -> tuple[dict[str, float], bool]:
+def explained(text: str | None, model: Model | Words) -> tuple[dict[str, float], bool]:
     """``infer``, and whether the text is told."""
     tally = Counter(words(text)) if text else {}
-    if not tally or not model.languages:
+    languages = model.languages if isinstance(model, Model) else model.model.languages
+    if not tally or not languages:
         return {}, bool(tally)
     n = np.fromiter(tally.values(), float, len(tally))
-    p, gains = model.likelihoods(list(tally))
-    told = bool(n.sum() < SHORT or n @ gains >= FIT * n.sum())
+    p = model.likelihoods(list(tally))
     share, _ = estimate(p, n)
     order = np.argsort(-share, kind="stable")
     penalty = PENALTY * np.log(1 + n.sum())
@@ -194,8 +215,8 @@ def explained(text: str | None, model: Model) -> tuple[dict[str, float], bool]:
         if value - best <= penalty:
             break
         kept, best = share, value
-    ranked = sorted(zip(kept.tolist(), (model.languages[i] for i in order), strict=False), key=lambda x: (-x[0], x[1]))
-    return {language: proportion for proportion, language in ranked}, told
+    ranked = sorted(zip(kept.tolist(), (languages[i] for i in order), strict=False), key=lambda x: (-x[0], x[1]))
+    return {language: proportion for proportion, language in ranked}, True
 
 
 def proportions(text: Column, model: Model) -> Column:
@@ -207,8 +228,9 @@ def proportions(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("struct<languages:array<struct<language:string,proportion:double>>,told:boolean>")
     def inferred(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Words(shared.value)
         for texts in batches:
-            found = [explained(t.as_py(), shared.value) for t in texts]
+            found = [explained(t.as_py(), model) for t in texts]
             languages = pa.array([[{"language": k, "proportion": v} for k, v in x.items()] for x, _ in found], pa.list_(cell))
             yield pa.StructArray.from_arrays([languages, pa.array([told for _, told in found], pa.bool_())], ["languages", "told"])
 
