@@ -42,7 +42,7 @@ FROM s JOIN r USING (doc_id) GROUP BY s.doc_id"""
 
 MIX = rf"""
 WITH d AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS shuffle FROM documents),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, rank % 3 + 1 AS weight FROM g),
 p AS (SELECT *, row_number() OVER full_ AS place, CAST((SELECT sum(source_size) FROM g)

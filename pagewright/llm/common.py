@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from pagewright.session import materialize
 
@@ -38,3 +39,8 @@ def ascii_lower(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """64-bit key of a whole text. With the document id it names a row; rows equal in both are the same document."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A number by which rows that differ in any column (maps are not read) sort alike in every run."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)])

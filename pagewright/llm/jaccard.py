@@ -30,9 +30,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_key, written
+from pagewright.llm.common import row_digest, text_key, written
 from pagewright.llm.components import components
 from pagewright.llm.count_tree import enough, link
 
@@ -383,7 +384,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with one document of each component: the one of the smallest id, of repeated rows one. Empty texts stay;
+    """``df`` with one document of each component: the one of the smallest id, of repeated rows one, which all columns decide. Empty texts stay;
     of a component without any id, the row of the smallest text key stays."""
     found = near_duplicates(df, text, doc_id)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_key").alias("_key")))
@@ -392,6 +393,7 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     keyed = df.withColumns({"_key": text_key(F.col(text)), "_none": own.isNull(), "_id": F.coalesce(own, F.lit(0))})
     words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     same = ["_none", "_id", "_key"]
-    met = keyed.where(words).join(kept, same).dropDuplicates(same)
+    met = keyed.where(words).withColumn("_row", row_digest(df)).join(kept, same)
+    met = met.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy("_row"))).where("_nth = 1")
     columns = [F.col(f"`{c}`") for c in df.columns]
     return met.select(*columns).union(keyed.where(~words).select(*columns))

@@ -1,6 +1,6 @@
 """Mixing sources to target weights: weighted fair queueing.
 
-Each source's documents stand in shuffled order (by a digest of the id), once for every pass its target allows. A copy's
+Each source's documents stand in shuffled order (by a digest of id and text), once for every pass its target allows. A copy's
 virtual finish time is the source's words up to and including it, divided by the source's target. All copies are ranged
 by finish time and taken from the front until the total budget is spent. Both running sums are cut into ranges that are
 summed by themselves and carried on, so neither a source with a third of all rows nor the whole queue stands in one task.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_key, word_count, written
+from pagewright.llm.common import row_digest, text_key, word_count, written
 from pagewright.operators.ordered import scan
 
 WEIGHTS = (1, 2, 3)
@@ -28,7 +28,8 @@ RANGE_ROWS = 20_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size) with rank (from 0), weight and target; one row a source."""
+    """(source, source_size) with rank (from 0), weight and target; one row a source. Ranks and levels run over all sources
+    in one task: their number is taken to be one that a task can sort."""
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = sources.withColumn("rank", F.row_number().over(by_name) - 1).withColumn("weight", weight)
@@ -51,7 +52,8 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     """(doc_id, text_key, source, size, source_size, target, copies, taken), one row a document."""
     narrow = written(df.select(
         F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("shuffle"),
+        word_count(F.col(text)).alias("size"),
+        F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))).alias("shuffle"),
     ), "sizes")
     shared = written(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     n = narrow.count()
@@ -87,13 +89,14 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
 
 
 def mixed_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """``df`` with each row as often as the mix takes it. Rows that agree in id and text share their copies in turn."""
+    """``df`` with each row as often as the mix takes it. Rows that agree in id and text share their copies in turn, in an
+    order that all their columns decide."""
     shares = mix(df, text, doc_id, source, **how).groupBy("doc_id", "text_key").agg(
         F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     shares = shares.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "_copies", "_rows")
-    keyed = df.withColumn("_key", text_key(F.col(text)))
+    keyed = df.withColumns({"_key": text_key(F.col(text)), "_row": row_digest(df)})
     met = keyed.join(shares, F.col(doc_id).eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")))
-    nth = F.row_number().over(W.partitionBy("_doc_id", "_text_key").orderBy(F.lit(1)))
+    nth = F.row_number().over(W.partitionBy("_doc_id", "_text_key").orderBy("_row"))
     own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("int")
     rows = met.withColumn("_nth", nth).withColumn("_own", own.cast("int")).where("_own > 0")
     return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -74,6 +74,12 @@ def test_one_of_each_component_stays(spark):
     assert len([r for r in kept if r["doc_id"] is None and r["text"]]) == 1
 
 
+def test_reruns_keep_the_same_row_of_equal_ones(spark):
+    text = prose(5, 40)
+    docs = spark.createDataFrame([(1, text, c) for c in "abcdef"] + [(2, text, "z")], "doc_id bigint, text string, source string")
+    assert len({jaccard.one_of_each(docs.repartition(n)).collect()[0] for n in (1, 3, 5)}) == 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(2, 60), st.integers(0, 10**6))
 def test_the_bound_never_loses_a_pair(m, seed):

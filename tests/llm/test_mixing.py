@@ -30,7 +30,7 @@ def levels(sizes: dict) -> dict:
 def brute(rows):
     """(doc_id, size, source_size, target, taken), by one sorted queue."""
     import re
-    docs = sorted(((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), i is not None, i or 0, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    docs = sorted(((hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest(), i is not None, i or 0, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
                    for i, t, s in rows), key=lambda d: d[:3])
     sizes = {}
     for *_, s, n in docs:
@@ -81,3 +81,28 @@ def test_documents_are_repeated_as_taken(spark):
     assert mixed.columns == docs.columns
     copies = {(r["doc_id"], r["text_key"]): r["n"] for r in mixing.mix(docs).groupBy("doc_id", "text_key").agg(F.sum("copies").alias("n")).collect()}
     assert mixed.count() == sum(copies.values())
+
+
+def test_rows_without_an_id_are_spread_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    rng = random.Random(6)
+    rows = [(None if i % 10 else i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30))), rng.choice("aab")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    seen = []
+    real = mixing.scan
+
+    def watched(df, keys, order, segment, **how):
+        seen.append(df.groupBy(segment).count().orderBy("count").collect())
+        return real(df, keys, order, segment, **how)
+
+    monkeypatch.setattr(mixing, "scan", watched)
+    got = found(docs)
+    assert all(len(ranges) >= 10 and ranges[-1]["count"] < 100 for ranges in seen)
+    assert got == brute(rows) and got == found(docs.repartition(5))
+
+
+def test_reruns_keep_the_same_rows(spark):
+    rows = [(1, "a b c", s) for s in "abcdefgh"] + [(None, "d e", s) for s in "xyz"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    runs = [sorted(map(tuple, mixing.mixed_documents(docs.repartition(n)).collect()), key=str) for n in (1, 4, 7)]
+    assert runs[0] == runs[1] == runs[2]

@@ -37,7 +37,7 @@ def redact(text):
 
 def mixed(rows):
     sizes, upto, queue = {}, {}, []
-    docs = sorted(rows, key=lambda r: (hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), r[0] is not None, r[0] or 0))
+    docs = sorted(rows, key=lambda r: (hashlib.md5(f"{'' if r[0] is None else r[0]}:{r[1]}".encode()).hexdigest(), r[0] is not None, r[0] or 0))
     words = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in docs]
     for (_, _, source), n in zip(docs, words, strict=True):
         sizes[source] = sizes.get(source, 0) + n
@@ -91,5 +91,5 @@ def test_secrets_are_gone_after_their_stage(spark, folder):
 
 def test_every_operator_is_registered():
     names = sorted(QUERIES)
-    assert [n for n in names if n == "pipeline"] and sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 11))
+    assert [n for n in names if n == "pipeline"] and sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 14))
     assert all(len(corpus_pipeline.STAGES[i]) == 2 for i in range(5))
