@@ -17,8 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned languages explain; null texts, texts without a letter and texts of 20 words or more that
-    fit no learned language go. Where nothing could be learned, all texts with a letter stay."""
+    """Documents whose language can be told: null texts and texts without a letter go. Texts in a language without labelled
+    rows stay, as do all texts with a letter where nothing could be learned."""
     found = language.identify(docs.select(*COLUMNS), language.learn(docs))
     return found.where("told").select(*COLUMNS)
 
