@@ -18,14 +18,15 @@ PASS_SEARCHES = 1024        # searches of one pass; a task holds the scores of o
 
 @dataclass(frozen=True)
 class Search:
-    """One vector search: its list id, its vector, how many rows, and an optional ``column in allowed`` test that
-    applies before ranking."""
+    """One vector search: its list id, its vector, how many rows, and what applies before ranking: an optional
+    ``column in allowed`` test, and the cells it is limited to, of rows that carry a ``cell``."""
 
     key: str
     vector: tuple[float, ...]
     k: int
     column: str | None = None
     allowed: tuple[str, ...] = ()
+    cells: frozenset[int] | None = None
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -51,7 +52,7 @@ def _one_pass(store: DataFrame, searches: list[Search], id_col: str, ord_cols: l
         raise ValueError("question vectors differ in width")
     width = widths.pop()
     questions = np.array([s.vector for s in searches], dtype=np.float64).T
-    filters = sorted({s.column for s in searches if s.column})
+    filters = sorted({s.column for s in searches if s.column} | {"cell" for s in searches if s.cells is not None})
     named = list(dict.fromkeys([id_col, *ord_cols]))
     out = T.StructType([T.StructField("list_key", T.StringType()), *[store.schema[c] for c in named],
                         T.StructField("score", T.DoubleType())])
@@ -69,6 +70,8 @@ def _one_pass(store: DataFrame, searches: list[Search], id_col: str, ord_cols: l
             for i, s in enumerate(searches):
                 rows = (np.flatnonzero(np.isin(columns[s.column].astype(str), list(s.allowed))) if s.column
                         else np.arange(len(scores)))
+                if s.cells is not None:
+                    rows = rows[np.isin(columns["cell"][rows], list(s.cells))]
                 held = [columns[c][rows] for c in named] + [scores[rows, i]]
                 if pool[i] is not None:
                     held = [np.concatenate(pair) for pair in zip(pool[i], held)]
@@ -97,9 +100,21 @@ def search(store: DataFrame, searches: list[Search], id_col: str, ord_cols: list
     for i in range(0, len(searches), per_pass):
         rows = _one_pass(store, searches[i:i + per_pass], id_col, ord_cols)
         found = rows if found is None else found.unionByName(rows)
+    return _ranked(found, searches, ord_cols)
+
+
+def _ranked(found: DataFrame, searches: list[Search], ord_cols: list[str]) -> DataFrame:
     limit = max(s.k for s in searches)
     ranked = top_k(found, ["list_key"], [F.col("score").desc(), *ord_cols], limit)
     if len({s.k for s in searches}) > 1:
         wanted = F.create_map(*[F.lit(v) for s in searches for v in (s.key, s.k)])
         ranked = ranked.where(F.col("rank") <= wanted[F.col("list_key")])
     return ranked
+
+
+def merged(found: list[DataFrame], searches: list[Search], ord_cols: list[str]) -> DataFrame:
+    """The results of the same searches over parts of a store that share no row, as those over all of it."""
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return _ranked(rows.drop("rank"), searches, ord_cols)

@@ -54,14 +54,22 @@ def understood(questions: DataFrame) -> DataFrame:
 
 
 class Retriever:
-    """Search over a :class:`Store` with the embedder it was built with."""
+    """Search over a :class:`Store` with the embedder it was built with. With ``probes``, vectors are searched in that many
+    cells of the store's clustering (:meth:`Store.build_cells`), approximately; otherwise, and where nothing was clustered, exactly."""
 
-    def __init__(self, store: Store, embedder: Embedder):
-        self.store, self.embedder, self.spark = store, embedder, store.spark
+    def __init__(self, store: Store, embedder: Embedder, probes: int | None = None):
+        self.store, self.embedder, self.spark, self.probes = store, embedder, store.spark, probes
 
     # ---- candidate lists -----------------------------------------------------------------------------
     def _semantic(self, collection: str, wanted: list[vectors.Search]) -> DataFrame:
-        found = vectors.search(self.store.table(collection, "rows"), wanted, "id", ["ord", "sub_index"])
+        order = ["ord", "sub_index"]
+        index, newer = self.store.cell_index(collection) if self.probes else (None, None)
+        if index is None:
+            found = vectors.search(self.store.table(collection, "rows"), wanted, "id", order)
+        else:
+            found = index.search(wanted, "id", order, self.probes)
+            if newer is not None:
+                found = vectors.merged([found, vectors.search(newer, wanted, "id", order)], wanted, order)
         parts = F.split("list_key", "\\|", 2)
         return found.select(parts[1].alias("qid"), parts[0].alias("kind"), "rank", "id", "score")
 

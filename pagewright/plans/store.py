@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright import rules, schema
 from pagewright.functions.text import known, or_empty, strip
 from pagewright.models import Embedder
-from pagewright.operators import lexical
+from pagewright.operators import cells, lexical
 from pagewright.operators.ordered import first_wins
 from pagewright.operators.splitting import expand
 from pagewright.session import materialize
@@ -206,5 +206,27 @@ class Store:
         summed = self.table(collection, "terms").groupBy("term").agg(F.sum("df").alias("df"))
         return lexical.Stats(materialize(summed, "term-counts"))
 
+    # ---- approximate search ----------------------------------------------------------------------------
+    def build_cells(self, collection: str, count: int, per_cell: int = cells.PER_CELL) -> None:
+        """Cluster the vectors of all loads that count into ``count`` cells. Later loads are searched beside them, whole,
+        until this is called again; a reset or refresh makes the cells of before it void."""
+        counted = self.loads(collection)
+        rows = self.table(collection, "rows")
+        centres = cells.train(rows, "id", count, per_cell=per_cell)
+        cells.write(rows, centres, os.path.join(self.path(collection, "cells"), f"upto={counted[-1]}"))
+        (self.spark.createDataFrame([(counted[-1], counted[0])], LOADS).coalesce(1)
+         .write.mode("append").parquet(self.path(collection, "clusterings")))
+
+    def cell_index(self, collection: str) -> tuple[cells.CellIndex | None, DataFrame | None]:
+        """(index of the newest clustering that still holds, rows of the loads after it); None where there is none."""
+        counted = self.loads(collection)
+        done = stored_table(self.spark, self.path(collection, "clusterings"), LOADS)
+        last = None if done is None or not counted else done.where(F.col("base") == counted[0]).agg(F.max("load").alias("n")).first()["n"]
+        if last is None:
+            return None, None
+        newer = [os.path.join(self.path(collection, "rows"), f"load={n}") for n in counted if n > last]
+        index = cells.CellIndex(self.spark, os.path.join(self.path(collection, "cells"), f"upto={last}"))
+        return index, self.spark.read.parquet(*newer) if newer else None
+
     def counts(self) -> dict[str, int]:
         return {name: self.ids(name).count() for name in (KNOWLEDGE, COMMANDS)}

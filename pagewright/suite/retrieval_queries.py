@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.classify import procedure_number, subsystem_of
 from pagewright.models import HashingEmbedder
-from pagewright.operators import fusion, lexical, vectors
+from pagewright.operators import cells, fusion, lexical, vectors
 from pagewright.plans import evaluate, render
 from pagewright.plans.ask import Retriever, evaluating
 from pagewright.plans.labelled import LABELLED
@@ -17,6 +17,7 @@ from pagewright.suite.inputs import derived, given, sql
 QUESTION = "the license of this and that v1.0 data"
 OTHER = "und die lizenz der daten the"
 K = 10
+CELLS, PROBES = 32, 20
 
 
 def corpus(spark, folder):
@@ -95,6 +96,36 @@ def vector_batch(spark, folder):
     return _search(spark, folder, searches).select("list_key", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _label_means(spark, folder):
+    """A search for the mean direction of every label."""
+    rows = given(spark, folder, "embeddings")
+    width = rows.select(F.size("embedding").alias("n")).first()["n"]
+    means = rows.groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(width)]).alias("mean"))
+    searches = []
+    for r in means.collect():
+        length = sum(x * x for x in r["mean"]) ** 0.5
+        searches.append(vectors.Search(f"all {r['label']}", tuple(x / length for x in r["mean"]), K))
+    return searches
+
+
+def _cell_index(spark, folder):
+    rows, path = given(spark, folder, "embeddings"), new_folder(spark, "cells")
+    cells.write(rows, cells.train(rows, "vec_id", CELLS), path)
+    return cells.CellIndex(spark, path)
+
+
+def vector_cells(spark, folder):
+    """Approximate search: the mean direction of every label in its nearest cells."""
+    found = _cell_index(spark, folder).search(_label_means(spark, folder), "vec_id", ["vec_id"], PROBES)
+    return found.select("list_key", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def vector_cells_exact(spark, folder):
+    """The same directions, cells read as far as their bounds ask for."""
+    found = _cell_index(spark, folder).search_exact(_label_means(spark, folder), "vec_id", ["vec_id"], PROBES)
+    return found.select("list_key", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 def _two_lists(spark, folder):
     rows = corpus(spark, folder)
     stats = lexical.Stats.counted(rows)
@@ -305,6 +336,14 @@ QUERIES = {
         UNION ALL SELECT 'own ' || q.label, vec_id, {_DOT} FROM embeddings e JOIN q USING (label))
         SELECT list_key, vec_id, row_number() OVER (PARTITION BY list_key ORDER BY round(score, 9) DESC, vec_id)::INT AS rank,
         round(score, 6) AS score FROM pairs QUALIFY rank <= {K}"""),
+    "vector_cells": (vector_cells, None),
+    "vector_cells_exact": (vector_cells_exact, f"""WITH cell AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding,
+        unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i),
+        mean AS (SELECT label, list(x ORDER BY i) AS m FROM cell GROUP BY label),
+        q AS (SELECT label, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS embedding FROM mean),
+        pairs AS (SELECT 'all ' || q.label AS list_key, vec_id, {_DOT} AS score FROM embeddings e, q)
+        SELECT list_key, vec_id, row_number() OVER (PARTITION BY list_key ORDER BY round(score, 9) DESC, vec_id)::INT AS rank,
+        round(score, 6) AS score FROM pairs QUALIFY rank <= {K}"""),
     "rrf_fuse": (rrf_fuse, f"""WITH {_CORPUS}, {c.bm25_scores(f"SELECT 0 AS qid, {c.quoted(QUESTION)} AS question UNION ALL SELECT 1, {c.quoted(OTHER)}")},
         lists AS (SELECT qid AS list_no, id AS doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)::INT
         AS rank FROM scored WHERE score > 0 QUALIFY rank <= {2 * K}), {_fusion('FROM lists', 2 * K)}
