@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import pretokens
+from pagewright.llm.common import release
 
 #: Stretches a task keeps the ids of, and the longest kept; the store is emptied when full, which costs time only.
 KEPT = 200_000
@@ -177,6 +178,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
         for texts in batches:
             held = [t or "" for t in texts.to_pylist()]
             yield pa.array((x for step in _steps(held) for x in encode_texts(step, path, pattern, kept)), pa.binary(), size=len(held))
+        kept.clear()
+        release()
 
     return encoded(F.coalesce(text, F.lit("")))
 
@@ -207,6 +210,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
                 back = [decode_ids(x, path) for x in ids]
                 parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], fields=list(both)))
             yield pa.concat_arrays(parts)
+        kept.clear()
+        release()
 
     found = df.withColumn("_both", there_and_back(F.coalesce(F.col(text), F.lit(""))))
     return found.withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")}).withColumn(

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -18,9 +23,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+#: Rows that a Python worker gets at a time while an intermediate is written: whole texts are large rows.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if int(before) <= 0 or int(before) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the shared folder and read back: lineage ends there, and a lost executor costs one reread."""
-    return materialize(df, f"llm-{name}")
+    with _small_batches(df.sparkSession):
+        return materialize(df, f"llm-{name}")
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers are used again, by tasks that need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):             # another C library
+        pass
+
+
+def releasing(mapper: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``mapper`` of ``mapInArrow``, after which its worker gives free memory back."""
+    @wraps(mapper)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from mapper(batches)
+        release()
+
+    return run
 
 
 def word_count(text: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import row_digest, text_key, written
+from pagewright.llm.common import releasing, row_digest, text_key, written
 from pagewright.llm.components import components
 from pagewright.llm.count_tree import enough, link
 
@@ -129,6 +129,7 @@ _FIRST = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64(
                     ("slice", pa.int32()), ("counts", pa.binary())])
 
 
+@releasing
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the task's counters, a row for each slice."""
     counters, hashes = np.zeros(COUNTERS, np.int64), _Hashes()
@@ -225,6 +226,7 @@ class _Columns:
         return {k: v[start:end] for k, v in self.held.items()}, [unpacked(raw.as_py()) for raw in table.column("vector").slice(start, end - start)]
 
 
+@releasing
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Connect what survives the bound in each chunk of a bucket; of a cut bucket, connect all."""
     columns, out = _Columns(), []
@@ -242,6 +244,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield _edge_batch(out)
 
 
+@releasing
 def _cluster_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified links of each tile of a cluster."""
     columns, out = _Columns(), []
@@ -281,6 +284,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     classes = some.groupBy("c", "lo").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("none", "id0", "key")).alias("rep"))
     reps = written(classes.select("c", "lo", "least_id", "rep.*"), "classes")
 
+    @releasing
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in _steps(batches):
@@ -308,6 +312,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     buckets = written(shared.groupBy("many", "least", "mark").agg(F.min("token").alias("token")), "buckets")
     wanted = share(_filter_bits(buckets, "token"))
 
+    @releasing
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("first")
@@ -329,6 +334,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     grouped = reps.join(clusters, "c")
     keys = share(_filter_bits(grouped, "key"))
 
+    @releasing
     def held_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in _steps(batches):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import text_key
+from pagewright.llm.common import release, releasing, text_key
 
 UNKNOWN = "und"
 GRAM = 3
@@ -144,6 +144,7 @@ def learn(df: DataFrame, text: str = "text", language: str = "lang", doc_id: str
         rows = rows.where(draw < F.coalesce(F.try_element_at(F.create_map(*shares), F.col("_lang")), F.lit(1.0)))
     drawn = rows.dropDuplicates(["_lang", "_id", "_key"])
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[str, Counter] = {}
@@ -233,6 +234,8 @@ def proportions(text: Column, model: Model) -> Column:
             found = [explained(t.as_py(), model) for t in texts]
             languages = pa.array([[{"language": k, "proportion": v} for k, v in x.items()] for x, _ in found], pa.list_(cell))
             yield pa.StructArray.from_arrays([languages, pa.array([told for _, told in found], pa.bool_())], ["languages", "told"])
+        del model
+        release()
 
     return inferred(text)
 

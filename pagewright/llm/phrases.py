@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import written
+from pagewright.llm.common import releasing, written
 
 LONGEST = 5
 LEAST = 100
@@ -257,6 +257,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     bounds = _text_bounds(texts)
 
+    @releasing
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, f in _runs_of_text(batches):
             segments = _ranged(keys, bounds)
@@ -265,6 +266,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
                 yield pa.RecordBatch.from_arrays([pa.array(segments[rows]), keys[rows].cast(pa.binary()), pa.array(f[rows], pa.int64())],
                                                  ["segment", "key", "f"])
 
+    @releasing
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = _Prefixes(least)
         for begins, rows in _segments(batches):
