@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright import rules, schema
-from pagewright.functions.arrays import last_at_or_before, running_starts
 from pagewright.functions.classify import (content_name, content_rank, first_rule_index, label_subsystem,
                                            procedure_number, range_name, rule_name, subsystem_of)
 from pagewright.functions.text import extract, is_blank, java, matches, or_empty, strip, WHITESPACE
+from pagewright.operators import spans
 from pagewright.operators.ordered import blocks_of, first_wins, number_rows, scan
 from pagewright.operators.splitting import pack_paragraphs
 from pagewright.session import materialize
@@ -199,44 +199,29 @@ def styled_sections(paragraphs: DataFrame, segment_rows: int = 65_536, part_rows
         no_images().alias("images"), F.col("section").alias("block"), F.col("part").cast("int").alias("part"))
 
 
-def numbered_spans(documents: DataFrame) -> DataFrame:
-    """Documents ``(doc_key, pages array<struct<page,text>>)`` to sections ``(nth, section_heading, page, section)``.
+#: Characters of a numbered heading, which takes whole lines and may run over a page's end.
+_HEADING = spans.Pattern(rules.NUMBERED_HEADING, r"\d.A-Z\s\-/(),", lines=True)
+#: Characters of the anchor of an index row.
+_INDEX_ROW = spans.Pattern(rules.INDEX_ROW, r"\d.A-Z\s&")
 
-    A document arrives as one row because it was read from one file; everything happens inside that row, so nothing
-    shuffles. Text before the first heading is dropped; a heading with a short title ends the section before it and
-    opens none.
+
+def numbered_spans(pages: DataFrame) -> DataFrame:
+    """Pages ``(doc_key, page, text)`` to sections ``(doc_key, nth, section_heading, page, section)``.
+
+    A heading may begin on one page and end on the next; pages stay rows, see :mod:`pagewright.operators.spans`. Text before
+    the first heading is dropped; a heading with a short title ends the section before it and opens none.
     """
-    pattern = java(rules.NUMBERED_HEADING, multiline=True)
-    whole = F.concat(F.lit("\n"), F.array_join(F.transform("pages", lambda p: p["text"]), "\n"))
-    read = documents.select(
-        "doc_key", whole.alias("_whole"),
-        running_starts(F.transform("pages", lambda p: F.length(p["text"]).cast("bigint") + 1)).alias("_page_at"),
-        F.transform("pages", lambda p: p["page"]).alias("_page_no"))
-    cut = read.withColumn("_heads", F.regexp_extract_all("_whole", F.lit(pattern), F.lit(0))).withColumn(
-        "_gaps", F.split("_whole", pattern))
-    # a section starts where the gaps and headings before it end
-    lengths = F.transform("_heads", lambda h, i: F.length(h).cast("bigint")
-                          + F.length(F.get("_gaps", i + 1)).cast("bigint"))
-    starts = F.transform(running_starts(lengths), lambda at: at + F.length(F.get("_gaps", F.lit(0))))
-    def page_of(start: Column) -> Column:
-        return F.coalesce(F.get("_page_no", last_at_or_before(F.col("_page_at"), start) - 1), F.lit(1))
-
-    # the page is looked up before sections become rows, so no row carries the document's page offsets
-    rows = cut.withColumn("_starts", starts).select(
-        "doc_key",
-        F.posexplode(F.transform("_heads", lambda h, i: F.struct(
-            h.alias("head"), F.concat(h, F.get("_gaps", i + 1)).alias("section"),
-            page_of(F.get("_starts", i)).alias("page")))).alias("nth", "s"))
-    heading = strip(F.col("s")["head"])
+    found = spans.parts(pages, _HEADING)
+    heading = strip(F.col("head"))
     title = F.regexp_replace(heading, java(r"^\d+(?:\.\d+)*\s+"), "")
-    return rows.select("doc_key", "nth", heading.alias("section_heading"), F.col("s")["page"].cast("int").alias("page"),
-                       strip(F.col("s")["section"]).alias("section"), title.alias("title")
-                       ).where((F.length("title") >= 5) & F.col("section_heading").contains(" ")).drop("title")
+    rows = found.select("doc_key", F.col("nth").cast("int").alias("nth"), heading.alias("section_heading"), "page",
+                        strip(F.col("part")).alias("section"), title.alias("title"))
+    return rows.where((F.length("title") >= 5) & F.col("section_heading").contains(" ")).drop("title")
 
 
-def numbered_sections(documents: DataFrame) -> DataFrame:
+def numbered_sections(pages: DataFrame) -> DataFrame:
     """Sections under numbered headings, packed into chunks."""
-    packed = numbered_spans(documents).select(
+    packed = numbered_spans(pages).select(
         "doc_key", "nth", "section_heading", "page",
         F.posexplode(pack_paragraphs(F.col("section"))).alias("idx", "text"))
     return packed.select(
@@ -246,31 +231,27 @@ def numbered_sections(documents: DataFrame) -> DataFrame:
         F.col("nth").cast("bigint").alias("block"), F.col("idx").alias("part"))
 
 
-def index_text(pages: Column) -> Column:
-    """Text of the pages before the first body page, or of all pages when there is none."""
-    bodies = F.transform(pages, lambda p: matches(p["text"], rules.BODY_PROBE))
-    first = F.array_position(bodies, True)
-    front = F.when(first > 0, F.slice(pages, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int"))).otherwise(pages)
-    return F.array_join(F.transform(front, lambda p: p["text"]), "\n")
+def index_pages(pages: DataFrame) -> DataFrame:
+    """The pages before the first body page of each document, or all where there is none."""
+    bodies = pages.where(matches(or_empty(F.col("text")), rules.BODY_PROBE)).groupBy("doc_key").agg(F.min("page").alias("_body"))
+    found = pages.join(bodies, "doc_key", "left")
+    return found.where(F.col("_body").isNull() | (F.col("page") < F.col("_body"))).drop("_body")
 
 
-def index_entries(documents: DataFrame, text: Column) -> DataFrame:
-    """Index text, one row per document, to one chunk per listed procedure; the first of a repeated id wins.
+def index_entries(pages: DataFrame) -> DataFrame:
+    """Index pages ``(doc_key, page, text)`` to one chunk per listed procedure; the first of a repeated id wins.
 
-    A title is what lies between two row anchors, so splitting the text at the anchors yields the titles in order.
+    A title is what lies between two row anchors, page ends or not.
     """
-    pattern = java(rules.INDEX_ROW)
-    rows = documents.select("doc_key", text.alias("_text")).select(
-        "doc_key",
-        F.posexplode(F.arrays_zip(
-            F.regexp_extract_all("_text", F.lit(pattern), F.lit(1)).alias("serial"),
-            F.regexp_extract_all("_text", F.lit(pattern), F.lit(2)).alias("number"),
-            F.regexp_extract_all("_text", F.lit(pattern), F.lit(3)).alias("label"),
-            F.slice(F.split("_text", pattern), F.lit(2), F.lit(2**31 - 1)).alias("title"))).alias("nth", "row"))
+    found = spans.parts(pages, _INDEX_ROW)
+    anchor = F.col("head")
+    rows = found.select("doc_key", "nth", F.struct(
+        *[F.regexp_extract(anchor, java(rules.INDEX_ROW), i).alias(name) for i, name in enumerate(("serial", "number", "label"), 1)],
+        F.expr("substring(part, length(head) + 1)").alias("title")).alias("row"))
     row = F.col("row")
     title = F.btrim(F.regexp_replace(row["title"], java(r"\s+"), " "), F.lit(" .\n\t"))
     subsystem = label_subsystem(row["label"])
-    entries = rows.where(row["number"].isNotNull()).select(
+    entries = rows.select(
         F.format_string("%s_IDX_%03d_%s", F.col("doc_key"), row["serial"].cast("int"), row["number"]).alias("chunk_id"),
         F.concat(F.lit("FCP "), row["number"], F.lit(" — "), subsystem, F.lit(" — "), title).alias("text"),
         F.col("doc_key").alias("source_doc"), F.lit("toc_index").alias("content_type"), F.lit(1).alias("page"),

@@ -13,22 +13,20 @@ from pagewright.suite.text_queries import cleaned
 from pagewright.suite.inputs import derived, given, sql
 
 
-def numbered_documents(spark, folder):
+def numbered_pages(spark, folder):
     """Documents whose lines are pages; every third page opens with a numbered heading."""
-    page = F.transform(F.split("text", "\n"), lambda line, i: F.struct(
-        (i + 1).alias("page"),
-        F.when(i % 3 == 0, F.concat((i + 1).cast("string"), F.lit(" SECTION HEADING\n"), line)).otherwise(line)
-        .alias("text")))
-    return given(spark, folder, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_key"),
-                                                    page.alias("pages"))
+    lines = given(spark, folder, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc_key"),
+                                                     F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    headed = F.concat((F.col("i") + 1).cast("string"), F.lit(" SECTION HEADING\n"), "line")
+    return lines.select("doc_key", (F.col("i") + 1).alias("page"), F.when(F.col("i") % 3 == 0, headed).otherwise(F.col("line")).alias("text"))
 
 
 def heading_sections(spark, folder):
-    return blocks.numbered_spans(numbered_documents(spark, folder))
+    return blocks.numbered_spans(numbered_pages(spark, folder))
 
 
 def heading_chunks(spark, folder):
-    return blocks.numbered_sections(numbered_documents(spark, folder)).select("chunk_id", "text", "page", "subsystem")
+    return blocks.numbered_sections(numbered_pages(spark, folder)).select("chunk_id", "text", "page", "subsystem")
 
 
 _WHOLE = """SELECT 'D' || doc_id AS doc_key, chr(10) || array_to_string(list_transform(string_split(text, chr(10)),

@@ -33,7 +33,9 @@ def index_documents(spark, folder):
 
 
 def toc_parse(spark, folder):
-    rows = blocks.index_entries(index_documents(spark, folder), F.col("text"))
+    """Every line of an index is a page, so most anchors run over a page's end."""
+    lines = index_documents(spark, folder).select("doc_key", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    rows = blocks.index_entries(lines)
     return rows.select("chunk_id", "text", "fcp_number", "subsystem")
 
 

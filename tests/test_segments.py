@@ -66,13 +66,12 @@ def test_procedure_blocks_match_the_page_by_page_model(spark, width):
 def test_index_pages_come_before_the_first_body_page(spark):
     pages = [(1, "1. 5201 OBC ON .\n2. 5203 TTC&XBAND"), (2, "reset\n2. 5203 TTC&XBAND again\n63. 6006 \n PAYLAOD P."),
              (3, "OBC 5201: SWITCH ON"), (4, "more END OF PROCEDURE"), (5, "obc 5203: x")]
-    docs = spark.createDataFrame([("FCP", [(p, t) for p, t in pages])],
-                                 "doc_key string, pages array<struct<page:int,text:string>>")
-    rows = blocks.index_entries(docs, blocks.index_text(F.col("pages"))).orderBy("block").collect()
+    docs = spark.createDataFrame([("FCP", p, t) for p, t in pages], "doc_key string, page int, text string")
+    rows = blocks.index_entries(blocks.index_pages(docs)).orderBy("block").collect()
     assert [(r["chunk_id"], r["text"]) for r in rows] == [
         ("FCP_IDX_001_5201", "FCP 5201 — OBC — ON"), ("FCP_IDX_002_5203", "FCP 5203 — TTC_XBAND — reset"),
         ("FCP_IDX_063_6006", "FCP 6006 — PAYLOAD — P")]
-    body = blocks.procedure_blocks(docs.select("doc_key", F.explode("pages").alias("p")).select("doc_key", "p.*"))
+    body = blocks.procedure_blocks(docs)
     assert sorted(r["chunk_id"] for r in body.collect()) == ["FCP_p3_0", "FCP_p5_1"]
     none = spark.createDataFrame([("FCP", 1, "no body here")], "doc_key string, page int, text string")
     assert blocks.procedure_blocks(none).count() == 0
@@ -134,8 +133,7 @@ def test_packer(spark):
 def test_numbered_sections(spark):
     pages = ["intro text\n1 GENERAL SCOPE\nalpha beta\n", "gamma\n\n 1.1 TWO LINES\nHEAD (A)\nOBC text", "2 ABC DE\nrest\n3 ABCD\nx",
              "4\nNEWLINE ONLY"]
-    docs = spark.createDataFrame([("MOR", [(i + 1, t) for i, t in enumerate(pages)])],
-                                 "doc_key string, pages array<struct<page:int,text:string>>")
+    docs = spark.createDataFrame([("MOR", i + 1, t) for i, t in enumerate(pages)], "doc_key string, page int, text string")
     got = blocks.numbered_sections(docs).orderBy("block", "part").collect()
     assert [(r["chunk_id"], r["text"], r["page"], r["section_heading"]) for r in got] == [
         ("MOR_s0_c0", "1 GENERAL SCOPE\nalpha beta\ngamma", 1, "1 GENERAL SCOPE"),
