@@ -45,7 +45,7 @@ def document_chunks(spark: SparkSession, folder: str, registry: dict[str, str],
         rows = src.registered(spark, place, {key: name})
         listed = spark.createDataFrame([(key, name, doc_ord)], "doc_key string, doc_filename string, doc_ord int")
         if key == "TCH":
-            commands = src.read_log(rows)
+            commands = src.read_log(spark, place, key, name)
         elif kind == "docx":
             found.append(_finished(blocks.styled_sections(src.read_docx(rows)), listed, True))
         elif kind == "pdf":

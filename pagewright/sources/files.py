@@ -1,17 +1,21 @@
-"""File sources. Each file is one binary row, read and unpacked inside one task."""
+"""File sources. Logs are read in byte ranges; other files are one binary row each, unpacked inside one task."""
 
 import io
 import posixpath
+import re
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright import rules, schema
 from pagewright.functions.imaging import base_name, extension, image_name_parts, pixel_size, skip_reason
+from pagewright.functions.text import split_lines
+from pagewright.session import materialize
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DOCX_ROWS = "doc_key string, doc_filename string, ord bigint, style string, text string"
@@ -34,9 +38,33 @@ def registered(spark: SparkSession, folder: str, registry: dict[str, str]) -> Da
     return files.join(F.broadcast(listing), "doc_filename").withColumn("kind", extension(F.col("doc_filename")))
 
 
-def read_log(files: DataFrame) -> DataFrame:
-    from pagewright.operators.command_log import log_lines, parse_log
-    lines = log_lines(files)
+def log_pieces(spark: SparkSession, path: str, doc_key: str) -> DataFrame:
+    """Log files to lines ``(doc_key, doc_filename, ord, line)``; every byte is one character.
+
+    Spark deals byte ranges of a file to tasks, each of which reads on to the line feed that ends its last line, so a log of
+    any size is read by many. What lies between two line feeds is cut at the other line ends inside the task. ``ord`` is the
+    number of a line in its file: its place in its range, after the lines of the ranges before it, whose counts are a
+    first pass that writes a row for each range. A byte order mark at the start of a file is not part of its first line; a file that ends in a line
+    end other than a line feed has one empty line more.
+    """
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+        F.explode(split_lines(F.concat(text, F.lit("\n")))).alias("line")).withColumn("_row", F.monotonically_increasing_id())
+    ranges = lines.groupBy("_file", "_from").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_file").orderBy("_from").rowsBetween(W.unboundedPreceding, -1))
+    # written: its size is known to the join
+    starts = materialize(ranges.select("_file", "_from", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")), "log-ranges")
+    name = F.url_decode(F.regexp_replace(base_name(F.col("_file")), r"\+", "%2B"))
+    return lines.join(starts, ["_file", "_from"]).select(
+        F.lit(doc_key).alias("doc_key"), name.alias("doc_filename"), (F.col("_row") + F.col("_shift")).alias("ord"), "line")
+
+
+def read_log(spark: SparkSession, folder: str, doc_key: str, name: str) -> DataFrame:
+    """The command records of one log file."""
+    from pagewright.operators.command_log import parse_log
+    plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", name)      # a path is a pattern otherwise
+    lines = log_pieces(spark, posixpath.join(folder, plain), doc_key)
     return parse_log(lines, F.col("line")).withColumn("source_doc", F.col("doc_key")).drop("line", "doc_key")
 
 

@@ -8,6 +8,8 @@ from pagewright.functions import classify, intents
 from pagewright.functions.text import escape_unprintable
 from pagewright.operators import command_log
 from pagewright.plans import render
+from pagewright.session import new_folder
+from pagewright.sources.files import log_pieces
 from pagewright.sources.tables import table
 from pagewright.suite import checks as c
 from pagewright.suite.inputs import derived, given, sql
@@ -16,17 +18,14 @@ DAY = "2024-01-15"
 
 
 def log_parse(spark, folder):
-    """Events written as latin-1 log files of a thousand rows, then read and parsed like delivered files."""
+    """Events written as latin-1 log files, then read in byte ranges and parsed like delivered files."""
     fields = derived(spark, folder, "log_fields")
     line = F.concat(F.concat_ws(" | ", *command_log.FIELDS), F.lit(" |"))
-    ends = F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\x0c"), F.lit("\x85")),
-                        (F.col("event_id") % 4 + 1).cast("int"))
-    files = (fields.withColumn("volume", F.floor(F.col("event_id") / 1000))
-             .groupBy("volume").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat(line, ends).alias("row"))))
-                                    .alias("rows")))
-    content = F.encode(F.array_join(F.transform("rows", lambda r: r["row"]), ""), "ISO-8859-1")
-    lines = command_log.log_lines(files.select(F.lit("TCH").alias("doc_key"), F.lit("log.txt").alias("doc_filename"),
-                                               content.alias("content")))
+    # the writer ends every row with a line feed
+    ends = F.element_at(F.array(F.lit(""), F.lit("\r"), F.lit("\x0c"), F.lit("\x85")), (F.col("event_id") % 4 + 1).cast("int"))
+    path = new_folder(spark, "log")
+    fields.select(F.encode(F.concat(line, ends), "ISO-8859-1").cast("string").alias("value")).write.text(path)
+    lines = log_pieces(spark, path, "TCH")
     rows = command_log.parse_log(lines, F.col("line"))
     return rows.select("record_id", *command_log.FIELDS, "date", "time", "milliseconds", "subsystem", "text")
 

@@ -1,10 +1,13 @@
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright import rules
 from pagewright.operators import command_log
 from pagewright.plans import render
+from pagewright.sources.files import log_pieces, read_log
 
 LINES = [
     b"0001 | 12AB | OBCS2370 | OBC-1 SWITCH ON | 2026 06 09 04:15:22:123 | 00 FF | 12 | 00066 | EXEC | STN1 | SC01 |",
@@ -23,6 +26,44 @@ def records(spark, content):
     return command_log.parse_log(lines, F.col("line"))
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Byte ranges far below a file's size."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+            if spark.conf.get(k, None) is not None}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(key, held[key]) if key in held else spark.conf.unset(key)
+
+
+def test_byte_ranges_give_the_same_lines(spark, tmp_path, small_ranges):
+    rng = random.Random(3)
+    bodies = [b"", b"a", b"0001 | x", b"\xe9\xff latin", b" " * 9, b"long " * 30]
+    ends = [b"\n", b"\n", b"\r\n", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x85", b"\n\n"]
+    held = {f"log {i}.txt": b"".join(rng.choice(bodies) + rng.choice(ends) for _ in range(60)) + rng.choice([b"", b"last", b"\r"]) for i in range(4)}
+    held |= {"empty.txt": b"", "one+1%.txt": b"\n", "crlf.txt": b"x\r\n" * 40}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+    pieces = log_pieces(spark, str(tmp_path), "TCH")
+    assert pieces.rdd.getNumPartitions() > 20
+    got = {}
+    for r in pieces.orderBy("doc_filename", "ord").collect():
+        got.setdefault(r["doc_filename"], []).append((r["ord"], r["line"]))
+    for name, content in held.items():
+        closed = content if not content or content.endswith(b"\n") else content + b"\n"
+        assert got.get(name, []) == list(enumerate(closed.decode("latin-1").splitlines())), name
+
+
+def test_a_log_is_parsed_in_byte_ranges(spark, tmp_path, small_ranges):
+    (tmp_path / "log[1].txt").write_bytes(b"\r\n".join(LINES * 30))
+    (tmp_path / "log1.txt").write_bytes(b"not asked for")
+    rows = read_log(spark, str(tmp_path), "TCH", "log[1].txt").orderBy("ord").collect()
+    assert [r["record_id"] for r in rows] == ["TCH_0001", "TCH_0002", "TCH_0004"] * 30
+    assert [r["ord"] for r in rows[:4]] == [0, 1, 3, 6]
+
+
 def test_rows_of_another_form_are_dropped_and_fields_taken(spark):
     rows = records(spark, b"\r\n".join(LINES[:3]) + b"\x85" + b"\x0c".join(LINES[3:])).orderBy("ord").collect()
     expected = [m.groups() for line in LINES if (m := re.match(rules.LOG_ROW, line.decode("latin-1"), re.S))]
