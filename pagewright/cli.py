@@ -15,10 +15,11 @@ from pagewright.operators.ordered import number_rows
 from pagewright.plans import captions, evaluate as ev, render
 from pagewright.plans.ask import ask, Retriever
 from pagewright.plans.labelled import LABELLED
-from pagewright.plans.ingest import document_chunks, per_document
+from pagewright.plans.ingest import document_chunks, pdf_pages, per_document
 from pagewright.plans.store import COMMANDS, KNOWLEDGE, Store, breakdown, prepared, size_profile, stacked
 from pagewright.session import local_session, materialize
 from pagewright.sources import files as src
+from pagewright.sources.pages import page_images
 from pagewright.sources.sinks import append_audit, write_csv, write_files
 
 #: Figures captioned between two saves.
@@ -43,20 +44,22 @@ def _part(args, name: str) -> str:
 def extract(spark, args) -> None:
     with open(args.registry, encoding="utf-8") as source:
         registry = json.load(source)
-    chunks, commands = document_chunks(spark, args.input, registry)
+    # written once, over what an earlier run left: chunks, pictures and figure context all read these
+    pages = pdf_pages(spark, args.input, registry)
+    if pages is not None:
+        pages.write.mode("overwrite").parquet(_part(args, "pages"))
+        pages = spark.read.parquet(_part(args, "pages"))
+        pages.where("error IS NOT NULL").select("doc_key", "page", "error").show(truncate=False)
+        write_files(page_images(pages), _part(args, "images"))
+    chunks, commands = document_chunks(spark, args.input, registry, pages=pages)
     if chunks is not None:
         chunks.write.mode("overwrite").parquet(_part(args, "chunks"))
         per_document(spark.read.parquet(_part(args, "chunks"))).show(truncate=False)
     if commands is not None:
         commands.write.mode("overwrite").parquet(_part(args, "commands"))
     for key, name in registry.items():
-        kind = name.rsplit(".", 1)[-1].lower()
-        if kind in ("pdf", "docx") and os.path.exists(os.path.join(args.input, name)):
-            files = src.registered(spark, args.input, {key: name})
-            if kind == "pdf":
-                pages = src.read_pdf(files).select("doc_key", F.explode("pages").alias("p")).select("doc_key", "p.page", "p.text")
-                pages.write.mode("append").parquet(_part(args, "pages"))
-            write_files((src.read_pdf_images if kind == "pdf" else src.read_docx_images)(files), _part(args, "images"))
+        if name.lower().endswith(".docx") and os.path.exists(os.path.join(args.input, name)):
+            write_files(src.read_docx_images(src.registered(spark, args.input, {key: name})), _part(args, "images"))
 
 
 def caption(spark, args) -> None:

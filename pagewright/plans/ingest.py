@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import blocks
 from pagewright.sources import files as src
 from pagewright.session import materialize
+from pagewright.sources.pages import open_pdf, read_pages
 
 
 def list_position(doc_ord: Column, body: bool, block: Column, part: Column) -> Column:
@@ -24,11 +25,12 @@ def _finished(chunks: DataFrame, registry: DataFrame, body: bool) -> DataFrame:
 
 
 def document_chunks(spark: SparkSession, folder: str, registry: dict[str, str],
-                    converter: Callable[[str], str | None] | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+                    converter: Callable[[str], str | None] | None = None,
+                    pages: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """(chunks, commands) of the registered files that exist. Keys decide the treatment: FCP has an index in front of
     its procedure bodies, MOR has numbered headings, TCH is the command log; other files go by their kind. Old Word
     files go through the caller's ``converter`` (path to the path of a DOCX, None if it cannot); without one they are
-    left out."""
+    left out. ``pages``: page rows of the PDF files where they are read already, see :func:`pdf_pages`."""
     listed = src.binary_files(spark, folder).where(F.col("doc_filename").isin(list(registry.values())))
     present = {r["doc_filename"] for r in listed.select("doc_filename").collect()}
     found: list[DataFrame] = []
@@ -49,20 +51,29 @@ def document_chunks(spark: SparkSession, folder: str, registry: dict[str, str],
         elif kind == "docx":
             found.append(_finished(blocks.styled_sections(src.read_docx(rows)), listed, True))
         elif kind == "pdf":
-            documents = materialize(src.read_pdf(rows), "documents")
+            if pages is None:
+                pages = materialize(pdf_pages(spark, folder, registry), "pages")
+            own = pages.where(F.col("doc_key") == key).select("doc_key", "page", "text", "images")
             if key == "MOR":
-                found.append(_finished(blocks.numbered_sections(documents), listed, True))
+                found.append(_finished(blocks.numbered_sections(own), listed, True))
                 continue
             if key == "FCP":
-                entries = blocks.index_entries(documents, blocks.index_text(F.col("pages")))
-                found.append(_finished(entries, listed, False))
-            pages = documents.select("doc_key", F.explode("pages").alias("p")).select("doc_key", "p.*")
-            found.append(_finished(blocks.procedure_blocks(pages, key == "FCP"), listed, True))
+                found.append(_finished(blocks.index_entries(blocks.index_pages(own)), listed, False))
+            found.append(_finished(blocks.procedure_blocks(own, key == "FCP"), listed, True))
     chunks = None
     for part in found:
         chunks = part if chunks is None else chunks.unionByName(part)
     return chunks, commands
 
 
+def pdf_pages(spark: SparkSession, folder: str, registry: dict[str, str], opener: Callable = open_pdf) -> DataFrame | None:
+    """Page rows of the registered PDF files that exist, text and pictures from one opening; None where there is none."""
+    named = {key: name for key, name in registry.items() if name.lower().endswith(".pdf")}
+    listed = src.binary_files(spark, folder).where(F.col("doc_filename").isin(list(named.values())))
+    present = {r["doc_filename"] for r in listed.select("doc_filename").collect()}
+    named = {key: name for key, name in named.items() if name in present}
+    return read_pages(spark, folder, named, opener) if named else None
+
+
 def per_document(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source_doc").agg(F.count("*").alias("chunks"))

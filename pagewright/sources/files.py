@@ -20,8 +20,6 @@ from pagewright.session import materialize
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _DOCX_ROWS = "doc_key string, doc_filename string, ord bigint, style string, text string"
 _IMAGE_ROWS = "doc_key string, doc_filename string, file string, page int, index_on_page int, content binary"
-_PDF_ROWS = ("doc_key string, doc_filename string, pages array<struct<page:int,text:string,"
-             "images:array<struct<file:string,page:int,index_on_page:int,caption:string>>>>")
 
 
 def binary_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -144,55 +142,6 @@ def read_docx_images(files: DataFrame) -> DataFrame:
     return files.select("doc_key", "doc_filename", "content").mapInPandas(part, _IMAGE_ROWS)
 
 
-def _open_pdf(data: bytes):
-    try:
-        import fitz
-    except ImportError as missing:
-        raise RuntimeError("reading PDF files needs the optional package pymupdf on every worker") from missing
-    return fitz.open(stream=data, filetype="pdf")
-
-
-def _pdf_images(document, doc_key: str, page, number: int):
-    for i, info in enumerate(page.get_images(full=True)):
-        try:
-            image = document.extract_image(info[0])
-        except Exception:       # a damaged image is left out, the page stays
-            continue
-        yield i, f"{doc_key}_p{number}_img{i}.{image['ext']}", image["image"]
-
-
-def read_pdf(files: DataFrame, images_dir: str = "images") -> DataFrame:
-    """PDF files to one row per document with its pages (needs the optional pymupdf package)."""
-    def part(frames):
-        for frame in frames:
-            for row in frame.itertuples():
-                document = _open_pdf(row.content)
-                pages = [{
-                    "page": number, "text": page.get_text("text"),
-                    "images": [{"file": f"{images_dir}/{name}", "page": number, "index_on_page": i, "caption": ""}
-                               for i, name, _ in _pdf_images(document, row.doc_key, page, number)],
-                } for number, page in enumerate(document, start=1)]
-                yield pd.DataFrame([(row.doc_key, row.doc_filename, pages)],
-                                   columns=["doc_key", "doc_filename", "pages"])
-
-    return files.select("doc_key", "doc_filename", "content").mapInPandas(part, _PDF_ROWS)
-
-
-def read_pdf_images(files: DataFrame) -> DataFrame:
-    """PDF files to image rows named ``KEY_pP_imgI.ext`` (needs the optional pymupdf package)."""
-    def part(frames):
-        for frame in frames:
-            for row in frame.itertuples():
-                document = _open_pdf(row.content)
-                rows = [(row.doc_key, row.doc_filename, name, number, i, data)
-                        for number, page in enumerate(document, start=1)
-                        for i, name, data in _pdf_images(document, row.doc_key, page, number)]
-                out = pd.DataFrame(rows, columns=["doc_key", "doc_filename", "file", "page", "index_on_page", "content"])
-                yield out.astype({"page": "Int32"})
-
-    return files.select("doc_key", "doc_filename", "content").mapInPandas(part, _IMAGE_ROWS)
-
-
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     """Figure files with name parts, pixel sizes and the reason to skip them, if any."""
     files = binary_files(spark, folder)
