@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagewright import rules, schema
 from pagewright.functions.text import strip
 from pagewright.operators.ordered import first_wins
+from pagewright.operators.substrings import with_held
 from pagewright.plans.ask import Retriever, ask, evaluating
 from pagewright.plans.render import source_label
 from pagewright.session import materialize
@@ -36,10 +37,9 @@ def metadata_map(columns: list[str]) -> Column:
                              F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
-def is_relevant(accept: Column, text: Column, meta: Column) -> Column:
-    """Any condition whose every key holds: substrings of the text, or equal metadata apart from case and blanks."""
-    low = F.lower(text)
-
+def is_relevant(accept: Column, held: Column, meta: Column) -> Column:
+    """Any condition whose every key holds: substrings of the text, or equal metadata apart from case and blanks. ``held``
+    lists those of the substrings, in lower case, that the text holds."""
     def same(key: Column, value: Column) -> Column:
         own = F.coalesce(F.try_element_at(meta, key), F.lit(""))
         return F.lower(strip(own)) == F.lower(strip(value))
@@ -47,16 +47,26 @@ def is_relevant(accept: Column, text: Column, meta: Column) -> Column:
     def holds(c: Column) -> Column:
         return (
             F.forall(F.map_entries(c["meta"]), lambda e: same(e["key"], e["value"]))
-            & (c["text_contains"].isNull() | low.contains(F.lower(c["text_contains"])))
-            & (c["text_contains_any"].isNull() | F.exists(c["text_contains_any"], lambda v: low.contains(F.lower(v)))))
+            & (c["text_contains"].isNull() | F.array_contains(held, F.lower(c["text_contains"])))
+            & (c["text_contains_any"].isNull() | F.exists(c["text_contains_any"], lambda v: F.array_contains(held, F.lower(v)))))
 
     return F.exists(accept, holds)
 
 
+def wanted_substrings(labelled: DataFrame) -> DataFrame:
+    """All substrings that some condition asks for, in lower case."""
+    conditions = labelled.select(F.explode("accept").alias("c"))
+    own = F.concat(F.array("c.text_contains"), F.coalesce("c.text_contains_any", F.array().cast("array<string>")))
+    return conditions.select(F.explode(own).alias("phrase")).where("phrase IS NOT NULL").select(F.lower("phrase").alias("phrase")).distinct()
+
+
 def first_relevant(results: DataFrame, labelled: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """``(id, rank)``: best rank of a relevant result of each case, 0 for a miss. ``results`` are keyed by ``qid``."""
-    judged = results.join(labelled.select(F.col("id").alias("qid"), "accept"), "qid")
-    hits = judged.where(is_relevant(F.col("accept"), F.col(text), metadata_map(columns))).groupBy("qid").agg(
+    """``(id, rank)``: best rank of a relevant result of each case, 0 for a miss. ``results`` are keyed by ``qid``. Each
+    result's text is read once, for the substrings of all cases."""
+    lowered = results.withColumn("_low", F.lower(F.col(text)))
+    found = with_held(lowered, "_low", wanted_substrings(labelled), "_held").drop("_low")
+    judged = found.join(labelled.select(F.col("id").alias("qid"), "accept"), "qid")
+    hits = judged.where(is_relevant(F.col("accept"), F.col("_held"), metadata_map(columns))).groupBy("qid").agg(
         F.min("rank").alias("rank"))
     return labelled.select("id").join(hits.withColumnRenamed("qid", "id"), "id", "left").select(
         "id", F.coalesce("rank", F.lit(0)).alias("rank"))

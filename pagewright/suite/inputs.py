@@ -113,7 +113,7 @@ INPUTS = {
                d.source || '.pdf' AS doc_filename,
                CASE WHEN d.doc_id % 4 = 1 THEN 'image_caption' ELSE 'section' END AS content_type,
                CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE CAST(d.doc_id % 50 AS INT) END AS page,
-               CASE WHEN d.doc_id % 6 = 0 THEN '' ELSE substring(d.text, 1, CAST(d.doc_id % 700 AS INT)) END AS section_heading,
+               CASE WHEN d.doc_id % 6 = 0 THEN '' ELSE d.text END AS section_heading,
                CASE WHEN l.quality = 1 THEN CAST(5000 + d.doc_id % 1000 AS STRING) ELSE '' END AS fcp_number,
                CASE WHEN l.toxic = 1 THEN 'UNKNOWN' WHEN l.toxic = 0 THEN 'OBC' ELSE '' END AS subsystem,
                CASE WHEN d.doc_id % 8 = 0 THEN 'CMD ' || d.lang END AS mnemonic,
@@ -127,7 +127,7 @@ INPUTS = {
                CASE doc_id % 3 WHEN 0 THEN 'FCP' WHEN 1 THEN 'MOR' ELSE 'TCH' END AS source_doc,
                CASE WHEN doc_id % 4 = 1 THEN 'image_caption' ELSE 'section' END AS content_type,
                CASE WHEN doc_id % 5 = 0 THEN 0 ELSE CAST(doc_id % 50 AS INT) END AS page,
-               CASE WHEN doc_id % 6 = 0 THEN '' ELSE substring(text, 1, CAST(20 + doc_id % 70 AS INT)) END AS section_heading,
+               CASE WHEN doc_id % 6 = 0 THEN '' ELSE text END AS section_heading,
                CASE WHEN doc_id % 2 = 0 THEN '5201' ELSE '' END AS fcp_number,
                CASE doc_id % 3 WHEN 0 THEN 'OBC' WHEN 1 THEN 'UNKNOWN' ELSE '' END AS subsystem,
                CASE WHEN doc_id % 4 = 1 THEN 'img/' || CAST(doc_id % 3 AS STRING) || '.png' ELSE '' END AS image_file

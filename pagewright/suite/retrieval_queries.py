@@ -232,17 +232,17 @@ def ranked_lines(spark, folder):
 
 
 def _labelled(spark, folder):
-    """Benchmark passages as questions; a document is right when it holds the passage's opening, or when it is German
-    and holds one of two short pieces of it."""
+    """Benchmark passages as questions; a document is right when it holds the whole passage, or when it is German and holds
+    one of the clauses of it."""
     text = F.col("text")
     empty = F.create_map().cast("map<string,string>")
     german = F.create_map(F.lit("lang"), F.lit(" DE "))
     condition = "array<struct<meta:map<string,string>,text_contains:string,text_contains_any:array<string>>>"
     accept = F.array(
-        F.struct(empty.alias("meta"), F.substring(text, 1, 40).alias("text_contains"),
+        F.struct(empty.alias("meta"), text.alias("text_contains"),
                  F.lit(None).cast("array<string>").alias("text_contains_any")),
         F.struct(german.alias("meta"), F.lit(None).cast("string").alias("text_contains"),
-                 F.array(F.substring(text, 5, 4), F.substring(text, 20, 5)).alias("text_contains_any")))
+                 F.filter(F.split(text, "[.,] *"), lambda clause: clause != "").alias("text_contains_any")))
     return given(spark, folder, "benchmark").select(
         F.col("item_id").cast("string").alias("id"), text.alias("q"), F.lit("").alias("note"), accept.cast(condition).alias("accept"))
 
@@ -299,9 +299,8 @@ _BATCH = f"""WITH {_CORPUS}, {c.bm25_scores('SELECT item_id AS qid, text AS ques
     FROM scored WHERE score > 0 QUALIFY rank <= 10)"""
 
 _RANKS = f"""{_BATCH}, hits AS (SELECT qid, min(rank) AS rank FROM best JOIN documents d USING (doc_id)
-    JOIN benchmark b ON b.item_id = qid WHERE contains(lower(d.text), lower(substring(b.text, 1, 40)))
-    OR (d.lang = 'de' AND (contains(lower(d.text), lower(substring(b.text, 5, 4)))
-        OR contains(lower(d.text), lower(substring(b.text, 20, 5))))) GROUP BY qid),
+    JOIN benchmark b ON b.item_id = qid WHERE contains(lower(d.text), lower(b.text)) OR (d.lang = 'de'
+        AND len(list_filter(string_split_regex(b.text, '[.,] *'), lambda x: x <> '' AND contains(lower(d.text), lower(x)))) > 0) GROUP BY qid),
     rows_ AS (SELECT item_id::VARCHAR AS id, coalesce(rank, 0)::INT AS rank FROM benchmark LEFT JOIN hits ON qid = item_id),
     flags AS (SELECT id, rank, (rank = 1)::INT AS hit1, (rank BETWEEN 1 AND 3)::INT AS hit3, (rank BETWEEN 1 AND 5)::INT AS hit5,
     (rank >= 1)::INT AS hit10, CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0.0::DOUBLE END AS rr FROM rows_)"""
