@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagewright import rules
-from pagewright.operators import blocks, lookup, splitting
+from pagewright.operators import blocks, lookup, ranges, splitting
 from pagewright.plans import captions, store
 from pagewright.models import HashingEmbedder
 from pagewright.operators.ordered import first_wins
@@ -177,6 +177,15 @@ SELECT event_id, 'O' || CASE WHEN page IS NULL THEN first_o ELSE coalesce(o, las
 FROM hit LEFT JOIN ends ON ends.source_doc = hit.doc_key"""
 
 
+def rule_ranges(spark, folder):
+    """Orders as overlapping ranges of numbers, line items as numbers: the first order whose range holds each."""
+    rules = given(spark, folder, "orders").select(
+        (F.col("o_orderkey") * 37 % 50_000).alias("lo"), (F.col("o_orderkey") * 37 % 50_000 + F.col("o_custkey") * 11 % 900).alias("hi"),
+        F.col("o_orderkey").alias("ord"), "o_orderkey", "o_orderpriority")
+    numbers = given(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 31 % 60_000).alias("number"))
+    return ranges.first_match(numbers, "number", rules, ["o_orderkey", "o_orderpriority"])
+
+
 def page_of_offset(spark, folder):
     """Line items as offsets into orders laid out per customer: the last order at or before each offset."""
     starts = given(spark, folder, "orders").select(
@@ -285,6 +294,10 @@ QUERIES = {
         pages - text_pages > pages * 0.3 AS needs_ocr FROM (SELECT doc_key, count(*) AS pages,
         count(*) FILTER (length({c.strip('text')}) > 50) AS text_pages FROM {sql('manual_pages')} GROUP BY doc_key)"""),
     "nearest_forward": (nearest_forward, NEAREST_SQL),
+    "rule_ranges": (rule_ranges, """WITH r AS (SELECT o_orderkey * 37 % 50000 AS lo, o_orderkey * 37 % 50000 + o_custkey * 11 % 900 AS hi,
+        o_orderkey, o_orderpriority FROM orders), n AS (SELECT l_orderkey, l_linenumber, l_partkey * 31 % 60000 AS number FROM lineitem),
+        w AS (SELECT number, min(o_orderkey) AS o_orderkey FROM (SELECT DISTINCT number FROM n) JOIN r ON number BETWEEN lo AND hi GROUP BY number)
+        SELECT n.*, w.o_orderkey, o.o_orderpriority FROM n LEFT JOIN w USING (number) LEFT JOIN orders o ON o.o_orderkey = w.o_orderkey"""),
     "page_of_offset": (page_of_offset, """WITH starts AS (SELECT o_custkey % 100 AS doc, o_orderkey * 13 % 90000 AS at,
         min(o_orderkey) AS page FROM orders GROUP BY ALL), wanted AS (SELECT l_orderkey, l_linenumber, l_suppkey % 100 AS doc,
         l_partkey * 31 % 91000 AS at FROM lineitem)
