@@ -107,7 +107,34 @@ def _weigh(matched: DataFrame, keep: list[str], stats: Stats) -> DataFrame:
     return summed.withColumn("score", F.col("idf") * length_weight(F.col("dl"), F.lit(stats.avgdl)))
 
 
-def candidates(found: DataFrame, questions: DataFrame, keep: list[str], stats: Stats, k: int) -> DataFrame:
+BLOCK_TEXTS = 4096    # texts of a block, about
+
+
+def blocked(found: DataFrame, keep: list[str], stats: Stats) -> DataFrame:
+    """Postings ``(kept columns, dl, term)`` in blocks ``(term, least_dl, texts)`` of texts of like length, so that the shortest of a
+    block bounds what any of its texts can score. A term in very many texts is cut by a hash of the text, too."""
+    sized = found.join(stats.terms.select("term", "df"), "term")
+    # a quarter of a doubling a band
+    band, part = F.floor(4 * F.log2(F.col("dl"))), F.pmod(F.xxhash64(keep[0]), F.ceil(F.col("df") / BLOCK_TEXTS))
+    return sized.groupBy("term", band.alias("_band"), part.alias("_part")).agg(
+        F.min("dl").alias("least_dl"), F.collect_list(F.struct(*keep, "dl")).alias("texts")).drop("_band", "_part")
+
+
+class Blocks:
+    """Blocked postings (written, sorted by term) as :func:`candidates` reads them: blocks whose shortest text stays below
+    a question's bar are dropped before their texts are unpacked."""
+
+    def __init__(self, rows: DataFrame, avgdl: float):
+        self.rows, self.avgdl = rows, avgdl
+
+    def read(self, terms: DataFrame) -> DataFrame:
+        """Texts of ``terms(qid, term, idf, needed)``, ``needed`` being the least length weight that can reach the bar."""
+        met = self.rows.join(terms, "term").where(length_weight(F.col("least_dl"), F.lit(self.avgdl)) >= F.col("needed"))
+        rest = [c for c in terms.columns if c not in ("term", "needed")]
+        return met.select("term", *rest, F.explode("texts").alias("_t")).select("term", *rest, "_t.*")
+
+
+def candidates(found: "DataFrame | Blocks", questions: DataFrame, keep: list[str], stats: Stats, k: int) -> DataFrame:
     """Positive scores of every text that can be among a question's best ``k``; ``keep[0]`` identifies a text.
 
     The rarest terms of a question alone give ``k`` texts whose scores the best must reach. Terms that together stay
@@ -115,31 +142,43 @@ def candidates(found: DataFrame, questions: DataFrame, keep: list[str], stats: S
     to candidates afterwards. The result holds the exact best ``k``. Where weights can be negative, so that a sum of
     terms is no upper bound, every text is scored instead.
     """
+    def read(terms: DataFrame) -> DataFrame:
+        if isinstance(found, Blocks):
+            return found.read(terms if "needed" in terms.columns else terms.withColumn("needed", F.lit(0.0)))
+        return found.join(terms.drop("needed"), "term")
+
     asked = materialize(_asked(questions, stats), "question-terms")
     if stats.floor < 0:
-        matched = found.join(asked.select("qid", "term", "idf"), "term")
+        matched = read(asked.select("qid", "term", "idf"))
         return _weigh(matched, keep, stats).select("qid", *keep, "score").where("score > 0")
     per_question = W.partitionBy("qid")      # as many rows as the question has terms
     rare_first = per_question.orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
     seeds = asked.withColumn("_before", F.coalesce(F.sum("df").over(rare_first), F.lit(0))).where(
         F.col("_before") < SEED_FACTOR * k)
-    bar = _reached(_weigh(found.join(seeds.select("qid", "term", "idf"), "term"), keep, stats), k)
+    bar = _reached(_weigh(read(seeds.select("qid", "term", "idf")), keep, stats), k)
     cheap_first = per_question.orderBy("idf", "term").rowsBetween(W.unboundedPreceding, 0)
     heaviest = length_weight(F.lit(1), F.lit(stats.avgdl))
     common = F.sum("idf").over(cheap_first) * heaviest < F.coalesce("bar", F.lit(0.0))
-    split = materialize(asked.join(bar, "qid", "left").withColumn("common", common), "weighed-terms")
+    # a text that holds all of a question's terms still has to be short enough
+    needed = F.coalesce("bar", F.lit(0.0)) / F.greatest(F.sum("idf").over(per_question), F.lit(1e-300)) * (1 - _SLACK)
+    split = materialize(asked.join(bar, "qid", "left").withColumns({"common": common, "needed": needed}), "weighed-terms")
     rest = split.groupBy("qid").agg(F.sum(F.when(F.col("common"), F.col("idf")).otherwise(0.0)).alias("rest"),
                                     F.coalesce(F.max("bar"), F.lit(0.0)).alias("bar"))
-    named = _weigh(found.join(split.where(~F.col("common")).select("qid", "term", "idf"), "term"), keep, stats)
+    named = _weigh(read(split.where(~F.col("common")).select("qid", "term", "idf", "needed")), keep, stats)
     weight = length_weight(F.col("dl"), F.lit(stats.avgdl))
     reach = (F.col("idf") + F.col("rest")) * weight
     named = materialize(named.join(rest, "qid").where(reach >= F.col("bar")).drop("bar"), "named-texts")
     # what the rarer terms alone reach is a higher bar for the common ones to lift a text over
-    able = named.join(_reached(named, k), "qid").where(reach >= F.col("bar")).select("qid", *keep, "dl", "idf")
+    raised = _reached(named, k)
+    able = named.join(raised, "qid").where(reach >= F.col("bar")).select("qid", *keep, "dl", "idf")
     able = materialize(able, "candidates")
     text_id = keep[0]
     commons = split.where("common").select("qid", "term", F.col("idf").alias("more"))
-    held = found.join(commons.select("term").distinct(), "term", "left_semi").select(text_id, "term")
+    # of a term that several questions ask for, the lowest need decides
+    more_needed = F.greatest("needed", F.coalesce("raised", F.lit(0.0)) / F.greatest("whole", F.lit(1e-300)) * (1 - _SLACK))
+    sums = asked.groupBy("qid").agg(F.sum("idf").alias("whole")).join(raised.withColumnRenamed("bar", "raised"), "qid")
+    asking = split.where("common").join(sums, "qid").groupBy("term").agg(F.min(more_needed).alias("needed"))
+    held = read(asking).select(text_id, "term")
     more = (able.select("qid", text_id).join(held, text_id).join(commons, ["qid", "term"])
             .groupBy("qid", text_id).agg(F.sum("more").alias("more")))
     whole = F.col("idf") + F.coalesce("more", F.lit(0.0))

@@ -189,6 +189,39 @@ def test_candidates_hold_the_exact_best(spark, monkeypatch, k):
         assert scored.count() < lexical.score_questions(lexical.postings(rows, ["id"]), questions, ["id"], stats).count()
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_blocks_hold_the_exact_best_and_are_skipped(spark, monkeypatch, k):
+    monkeypatch.setattr(lexical, "SEED_FACTOR", 1)
+    monkeypatch.setattr(lexical, "BLOCK_TEXTS", 16)
+    rng = random.Random(10 + k)
+    vocabulary = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(200)], k=rng.choice([2, 4, 8, 30, 120, 400]))) for _ in range(400)]
+    asked = {f"q{i}": " ".join(rng.sample(vocabulary[:60], 5)) for i in range(6)}
+    texts += [question for question in asked.values() for _ in range(k)]       # short texts that hold all terms set a high bar
+    rows = lexical.tokenized(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ["id"], F.col("text"))
+    questions = spark.createDataFrame(list(asked.items()), "qid string, question string")
+    stats = lexical.Stats.counted(rows)
+    assert stats.floor >= 0
+    blocks = lexical.blocked(lexical.postings(rows, ["id"]), ["id"], stats).persist()
+    assert blocks.select(F.explode("texts")).count() == lexical.postings(rows, ["id"]).count()
+    read, whole = [], []
+
+    class Counting(lexical.Blocks):
+        def read(self, terms):
+            met = self.rows.join(terms, "term")
+            whole.append(met.count())
+            read.append(met.where(lexical.length_weight(F.col("least_dl"), F.lit(self.avgdl)) >= F.col("needed")).count())
+            return super().read(terms)
+
+    got = lexical.best(lexical.candidates(Counting(blocks, stats.avgdl), questions, ["id"], stats, k), ["qid"], k, ["id"]).collect()
+    for qid, question in asked.items():
+        scores = brute_bm25(texts, question)
+        expected = sorted((i for i, s in enumerate(scores) if s > 0), key=lambda i: (-round(scores[i], 9), i))[:k]
+        assert [r["id"] for r in sorted((r for r in got if r["qid"] == qid), key=lambda r: r["rank"])] == expected
+    # the first read seeds the bar; after it blocks of long texts are left alone
+    assert read[0] == whole[0] and all(a < b for a, b in zip(read[1:], whole[1:]))
+
+
 def test_a_hot_key_spreads_over_tasks(spark):
     rows = spark.range(20_000).withColumn("k", F.lit("hot"))
     done = ordered.number_rows(rows, ["k"], ["id"], ordered.blocks_of(F.col("id"), 500), "n")
