@@ -89,7 +89,7 @@ def caption(spark, args) -> None:
     state = src.read_state(spark, _part(args, "caption_state"))
     captions.captioned_total(state).show()
     captioned = figures.join(state, "fname")
-    names = number_rows(captioned.select("fname"), [], ["fname"], F.lit(0), "ord")      # list order is by file name
+    names = number_rows(captioned.select("fname"), [], ["fname"], F.substring("fname", 1, 12), "ord")      # list order is by file name
     captions.caption_chunks(captioned.join(names, "fname"), "ord").write.mode("overwrite").parquet(_part(args, "image_captions"))
     captions.write_back(chunks, state).write.mode("overwrite").parquet(_part(args, "chunks_captioned"))
 

@@ -3,9 +3,11 @@
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright import rules, schema
 from pagewright.functions.text import known, or_empty, strip
@@ -99,15 +101,38 @@ def stored_rows(items: DataFrame, id_col: str, document_chars: int = rules.DOCUM
                         embed_text(items).alias("embed_text"), *metadata(items))
 
 
+def like_lengths(texts: list[str | None], size: int) -> Iterator[list[int]]:
+    """Places of the texts in batches of ``size``, texts of like length together: a model pads a batch to its longest."""
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+    for i in range(0, len(order), size):
+        yield order[i:i + size]
+
+
+def task_gpu(spark: SparkSession):
+    """A profile that gives each embedding task a GPU where the session's executors have some; None elsewhere."""
+    if int(spark.conf.get("spark.executor.resource.gpu.amount", "0")) < 1:
+        return None
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource("gpu", 1.0)).build
+
+
 def embedded(rows: DataFrame, embedder: Embedder) -> DataFrame:
-    """Rows with unit vectors; one model per task, batches of the embedder's size."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            texts, size = batch.tolist(), embedder.batch_size
-            out = [v for i in range(0, len(texts), size) for v in embedder.embed(texts[i:i + size])]
-            yield pd.Series(out)
+    """Rows with unit vectors; one model per task, batches of the embedder's size out of texts of like length."""
+    out = T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    arrow_out = to_arrow_schema(out)
 
-    return rows.withColumn("embedding", F.pandas_udf(run, "array<float>")("embed_text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("embed_text").to_pylist()
+            found: list = [None] * len(texts)
+            for places in like_lengths(texts, embedder.batch_size):
+                for i, vector in zip(places, embedder.embed([texts[i] for i in places])):
+                    found[i] = vector
+            vectors = pa.array(found, arrow_out.field("embedding").type)
+            columns = [column.cast(field.type) for column, field in zip(batch.columns, arrow_out)]
+            yield pa.RecordBatch.from_arrays([*columns, vectors], schema=arrow_out)
+
+    return rows.mapInArrow(run, out, profile=task_gpu(rows.sparkSession))
 
 
 def prepared(items: DataFrame, id_col: str) -> DataFrame:

@@ -26,7 +26,7 @@ def load_log_stream(store: Store, folder: str, embedder: Embedder, checkpoint: s
         lines = log_lines(named)
         records = parse_log(lines, F.col("line")).withColumn("source_doc", F.col("doc_key")).drop("line", "doc_key")
         # later batches come after earlier ones in list order, later files of a batch after its earlier ones
-        names = number_rows(named.select("doc_filename").distinct(), [], ["doc_filename"], F.lit(0), "file")
+        names = number_rows(named.select("doc_filename").distinct(), [], ["doc_filename"], F.substring("doc_filename", 1, 12), "file")
         placed = records.join(names, "doc_filename").withColumn(
             "ord", F.lit(number).cast("bigint") * F.lit(1 << 44) + F.col("file") * F.lit(1 << 32) + F.col("ord")).drop("file")
         store.load(COMMANDS, prepared(placed, "record_id"), embedder)

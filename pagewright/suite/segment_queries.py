@@ -99,7 +99,9 @@ def split_captions(spark, folder):
 
 
 def split_neighbours(spark, folder):
-    return splitting.neighbours(split_documents(spark, folder), "chunk_id")
+    docs = given(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    pieces = splitting.expand(docs, "chunk_id", links=True).where("is_sub_chunk")
+    return pieces.select("parent_chunk_id", "sub_index", "chunk_id", "previous_id", "next_id")
 
 
 def block_sessions(spark, folder):

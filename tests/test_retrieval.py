@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.models import HashingEmbedder
 from pagewright.operators import fusion, lexical, lookup, ordered, vectors
+from pagewright.plans import store
 from pagewright.session import intermediates, shared_dir
 from tests.test_text import brute_tokens
 
@@ -244,3 +246,23 @@ def test_intermediates_are_removed_with_their_scope(spark):
         scored.count()
         assert set(os.listdir(folder)) > before
     assert set(os.listdir(folder)) == before
+
+
+def test_texts_of_like_length_share_a_batch(spark):
+    rng = random.Random(9)
+    texts = ["w " * rng.choice([1, 3, 40, 400]) + str(i) for i in range(300)] + [None, ""]
+
+    class Padded(HashingEmbedder):
+        batch_size = 16
+
+    plain = HashingEmbedder(32).embed(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, embed_text string").coalesce(1)
+    found = store.embedded(rows, Padded(32)).orderBy("i").collect()
+    assert [r["embed_text"] for r in found] == texts and np.array_equal(np.array([r["embedding"] for r in found], np.float32), plain)
+
+    def padding(batches):
+        return sum(len(b) * max(len(texts[i] or "") for i in b) - sum(len(texts[i] or "") for i in b) for b in batches)
+
+    given = [list(range(i, min(i + 16, len(texts)))) for i in range(0, len(texts), 16)]
+    assert padding(store.like_lengths(texts, 16)) < 0.2 * padding(given)
+    assert store.task_gpu(spark) is None

@@ -174,6 +174,14 @@ def test_splitter_and_expansion(spark):
     assert near.orderBy("sub_index").first()["next_id"] == "k2_sub1"
 
 
+def test_links_follow_from_places(spark):
+    df = spark.createDataFrame([("a", "x " * 2000), ("b", "short"), ("c", "y. " * 1500)], "chunk_id string, text string")
+    linked = splitting.expand(df, "chunk_id", links=True).where("is_sub_chunk").select("parent_chunk_id", "sub_index", "chunk_id", "previous_id", "next_id")
+    joined = splitting.neighbours(splitting.expand(df, "chunk_id"), "chunk_id").select(*linked.columns)
+    assert sorted(linked.collect(), key=str) == sorted(joined.collect(), key=str)
+    assert "Join" not in linked._jdf.queryExecution().toString()
+
+
 def test_splitter_invariants():
     rng = random.Random(5)
     for _ in range(40):
