@@ -6,7 +6,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright import rules
 from pagewright.operators import blocks, spans
 
 BITS = ["1 GENERAL SCOPE", "2.1", "TITLE CAPS", "\n", "\n\n", "text here", "3", "7.", "5201", "OBC", " ", "X ABC DEFGH", "|", "(A)",
