@@ -21,9 +21,7 @@ from pagewright.session import local_session, materialize
 from pagewright.sources import files as src
 from pagewright.sources.pages import page_images
 from pagewright.sources.sinks import append_audit, write_csv, write_files
-
-#: Figures captioned between two saves.
-CAPTION_WAVE = 200
+from pagewright.streaming import captioning
 
 CHAT_HELP = """Commands:
   :exit              quit
@@ -65,11 +63,10 @@ def extract(spark, args) -> None:
 def caption(spark, args) -> None:
     chunks = spark.read.parquet(_part(args, "chunks"))
     state = materialize(src.read_state(spark, _part(args, "caption_state")), "caption-state")
-    # context is looked up without the pictures, which join last
+    # context and prompts are worked out once, without the pictures
     pictures = src.read_images(spark, _part(args, "images"))
     pages = src.stored_table(spark, _part(args, "pages"))
-    narrow = captions.with_context(pictures.drop("content"), chunks, pages)
-    figures = narrow.join(pictures.select("fname", "content"), "fname")
+    figures = materialize(captions.with_context(pictures.drop("content"), chunks, pages), "figures")
     done, due = captions.done_and_due(figures, state)
     due = captions.prompts(due)
     if args.dry_run:
@@ -77,15 +74,17 @@ def caption(spark, args) -> None:
         for row in (listed.limit(args.limit) if args.limit else listed).toLocalIterator():
             print(*row, sep="\t")
         return
-    run_folder = os.path.join(_part(args, "caption_runs"), os.urandom(8).hex())
-    shares = [due] if args.limit else captions.waves(due, CAPTION_WAVE)
-    for n, share in enumerate(shares):            # what is captioned stays when a later share fails
-        path = os.path.join(run_folder, f"share={n}")
-        captions.caption_figures(share, local_vision(), args.limit).write.parquet(path)
-        spark.read.parquet(path).where("error is null").select("fname", "caption").write.mode("append").parquet(
-            _part(args, "caption_state"))
+    if args.limit:
+        told = captions.caption_figures(due.join(pictures.select("fname", "content"), "fname"), local_vision(), args.limit)
+    else:       # a stream, so what is captioned stays when a later batch fails
+        runs = _part(args, "caption_runs")
+        asked = materialize(due.where("skip is null").select("fname", "prompt"), "prompts")
+        captioning.start(captioning.picture_stream(spark, _part(args, "images")), asked, local_vision(), runs).awaitTermination()
+        told = captioning.latest(captioning.outcomes(spark, runs)).join(state, "fname", "left_anti")
+    told = materialize(told.select("fname", "caption", "error"), "captioned")
+    told.where("error is null").select("fname", "caption").write.mode("append").parquet(_part(args, "caption_state"))
     # done and due as they were when the run began; the results as they were written
-    captions.run_counts(done, due, spark.read.parquet(run_folder).drop("share")).show()
+    captions.run_counts(done, due, told).show()
     state = src.read_state(spark, _part(args, "caption_state"))
     captions.captioned_total(state).show()
     captioned = figures.join(state, "fname")

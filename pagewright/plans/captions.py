@@ -70,13 +70,6 @@ def caption_figures(due: DataFrame, captioner: Captioner, limit: int | None = No
         part, "fname string, caption string, error string")
 
 
-def waves(due: DataFrame, figures: int) -> list[DataFrame]:
-    """The due figures in shares of about ``figures``, by name: each is captioned and saved before the next begins."""
-    n = due.where(F.col("skip").isNull()).count()
-    count = max(1, -(-n // figures))
-    return [due.where(F.pmod(F.xxhash64("fname"), F.lit(count)) == i) for i in range(count)]
-
-
 def caption_chunks(captioned: DataFrame, *more: str) -> DataFrame:
     """Captioned figures (``path``, ``caption``, name parts, ``hit_*``) to chunks beside the text chunks, with the
     columns named in ``more`` as they are."""
