@@ -33,27 +33,34 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _raw_idf(texts: Column) -> Column:
+    return F.log(texts - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
 class Stats:
     """Corpus size, mean length and the idf of every term.
 
     Built from a written table of term counts, so the texts are tokenized once however many numbers derive from it.
-    Only three numbers reach the driver.
+    Only three numbers reach the driver; ``numbers``, written by an earlier call of :meth:`summed`, save their passes.
     """
 
-    def __init__(self, counts: DataFrame):
-        is_mark = F.col("term") == _TEXTS
-        # a text's token count is its number of distinct terms, so document frequencies add up to all lengths
-        row = counts.agg(F.coalesce(F.max(F.when(is_mark, F.col("df"))), F.lit(0)).alias("n"),
-                         F.coalesce(F.sum(F.when(~is_mark, F.col("df"))), F.lit(0)).alias("total")).first()
+    def __init__(self, counts: DataFrame, numbers: DataFrame | None = None):
+        row = (self.summed(counts) if numbers is None else numbers).first()
         self.n = row["n"]
         self.avgdl = row["total"] / row["n"] if row["n"] else 0.0
-        raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        vocabulary = counts.where(~is_mark).withColumn("raw_idf", raw)
-        mean = vocabulary.agg(F.avg("raw_idf").alias("mean")).first()["mean"] or 0.0
-        self.floor = float(mean * rules.BM25_EPSILON)
-        floor = F.lit(self.floor)
-        self.terms = vocabulary.select(
-            "term", "df", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"))
+        self.floor = float((row["mean"] or 0.0) * rules.BM25_EPSILON)
+        floor, raw = F.lit(self.floor), _raw_idf(F.lit(self.n))
+        self.terms = counts.where(F.col("term") != _TEXTS).select("term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf"))
+
+    @staticmethod
+    def summed(counts: DataFrame) -> DataFrame:
+        """One row ``(n, total, mean)``: texts, terms of all texts, mean of the terms' raw idf."""
+        is_mark = F.col("term") == _TEXTS
+        texts = counts.where(is_mark).agg(F.coalesce(F.max("df"), F.lit(0)).alias("n")).first()["n"]
+        # a text's token count is its number of distinct terms, so document frequencies add up to all lengths
+        return counts.where(~is_mark).agg(
+            F.lit(texts).cast("bigint").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("total"),
+            F.avg(_raw_idf(F.lit(texts))).alias("mean"))
 
     @classmethod
     def counted(cls, rows: DataFrame) -> "Stats":

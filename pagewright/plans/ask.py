@@ -53,6 +53,19 @@ def understood(questions: DataFrame) -> DataFrame:
         wants_image(q).alias("image"), wants_procedure(q).alias("procedure"))
 
 
+#: Values that reach a scan as a filter; more are matched by a join, so the driver never holds what all questions ask for.
+PUSHED = 1000
+
+
+def narrowed(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``column`` is among those of ``wanted``."""
+    values = wanted.select(column).distinct()
+    few = values.limit(PUSHED + 1).collect()
+    if len(few) <= PUSHED:
+        return table.where(F.col(column).isin([r[0] for r in few]))
+    return table.join(values, column, "left_semi")
+
+
 class Retriever:
     """Search over a :class:`Store` with the embedder it was built with. With ``probes``, vectors are searched in that many
     cells of the store's clustering (:meth:`Store.build_cells`), approximately; otherwise, and where nothing was clustered, exactly."""
@@ -77,9 +90,8 @@ class Retriever:
         """``asked(qid, question, subsystem)``; a subsystem filters after over-fetching, untagged rows stay."""
         keep = ["id", "ord", "sub_index", "tag"]
         # the questions' own terms reach the scan, whose files are sorted by term
-        terms = asked.select(F.explode(tokens(F.col("question"))).alias("term")).distinct().collect()
-        found = self.store.table(collection, "postings").withColumnRenamed("subsystem", "tag")
-        found = found.where(F.col("term").isin([r["term"] for r in terms]))
+        terms = asked.select(F.explode(tokens(F.col("question"))).alias("term"))
+        found = narrowed(self.store.table(collection, "postings").withColumnRenamed("subsystem", "tag"), "term", terms)
         wide = k * rules.POSTFILTER_FACTOR
         scored = lexical.candidates(found, asked.select("qid", "question"), keep, self.store.stats(collection), wide)
         scored = scored.join(asked.select("qid", "subsystem"), "qid")
@@ -174,9 +186,8 @@ class Retriever:
         """Bodies and metadata of ranked ids: stored rows for vector hits, index payload for lexical hits. The ranking is
         written once, a few rows a question; its ids reach the scans."""
         ranked = materialize(ranked, "ranked")
-        ids = [r["id"] for r in ranked.select("id").distinct().collect()]
-        stored = self.store.table(collection, "rows").drop("ord", "embedding").where(F.col("id").isin(ids))
-        indexed = self.store.table(collection, "items").drop("ord").where(F.col("id").isin(ids))
+        stored = narrowed(self.store.table(collection, "rows").drop("ord", "embedding"), "id", ranked)
+        indexed = narrowed(self.store.table(collection, "items").drop("ord"), "id", ranked)
         return (ranked.where("list_no = 0").join(stored, "id")
                 .unionByName(ranked.where("list_no = 1").join(indexed, "id")))
 

@@ -1,5 +1,6 @@
 """Chunks to stored rows: union, first-wins deduplication, splitting, embedding, insert-only loading, search index."""
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -145,12 +146,14 @@ LOADS = "load bigint, base bigint"
 
 class Store:
     """Stored collections below one folder. Each load writes what it adds to folders of its own, ``<collection>/<part>/load=n``:
-    ``rows`` (vectors and metadata), ``items`` (payload), ``postings`` and ``terms`` (search index). A row in
-    ``<collection>/loads`` written last makes a load count, so a load that fails halfway leaves nothing to be read, and
-    index and rows always agree. ``base`` is the first load that still counts: a reset or refresh starts a new one.
+    ``rows`` (vectors and metadata), ``items`` (payload), ``postings`` (search index), ``terms`` and ``numbers`` (statistics of all
+    loads up to it), ``ids``. A row in ``<collection>/loads`` written last makes a load count, so a load that fails halfway
+    leaves nothing to be read, and index and rows always agree. ``base`` is the first load that still counts: a reset,
+    refresh or merge starts a new one.
 
-    Postings lie sorted by term, a frequent term over several files, so a question reads its terms. Term counts of loads
-    add up."""
+    Postings and terms lie sorted by term, a frequent term over several files, so a question reads its terms. Ids lie in buckets
+    by their hash, as many as the session that began the collection had shuffle partitions: what is to be loaded
+    is shuffled to them, and what is stored is not."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -159,7 +162,7 @@ class Store:
         return os.path.join(self.folder, collection, part)
 
     def loads(self, collection: str) -> list[int]:
-        """Numbers of the loads that count; as many as there were loads since the last reset or refresh."""
+        """Numbers of the loads that count; as many as there were loads since the last reset, refresh or merge."""
         done = stored_table(self.spark, self.path(collection, "loads"), LOADS)
         if done is None:
             return []
@@ -172,64 +175,114 @@ class Store:
             raise ValueError(f"nothing was loaded into {collection}")
         return self.spark.read.parquet(*paths)
 
+    # ---- ids -----------------------------------------------------------------------------------------
+    def _id_table(self, collection: str) -> tuple[str, int]:
+        """(name in the session's catalog, buckets) of a collection's ids; the files are the store's, the catalog only learns of them."""
+        marked = stored_table(self.spark, self.path(collection, "id_buckets"), "buckets int")
+        if marked is None:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            (self.spark.createDataFrame([(buckets,)], "buckets int").coalesce(1)
+             .write.mode("overwrite").parquet(self.path(collection, "id_buckets")))
+        else:
+            buckets = marked.first()["buckets"]
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(collection, "ids"))
+        place = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+        name = f"pagewright_ids_{hashlib.md5(place.encode()).hexdigest()}"
+        quoted = place.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (id STRING, load BIGINT) USING parquet PARTITIONED BY (load) "
+                       f"CLUSTERED BY (id) INTO {buckets} BUCKETS LOCATION '{quoted}'")
+        return name, buckets
+
+    def _ids(self, collection: str, loads: list[int]) -> DataFrame:
+        if not loads:
+            return self.spark.createDataFrame([], "id string")
+        name, _ = self._id_table(collection)
+        self.spark.catalog.recoverPartitions(name)      # other sessions may have loaded
+        return self.spark.table(name).where(F.col("load").isin(loads)).select("id")
+
     def ids(self, collection: str) -> DataFrame:
         """Stored ids only; no rows before the first load."""
-        if not self.loads(collection):
-            return self.spark.createDataFrame([], "id string")
-        return self.table(collection, "rows").select("id")
+        return self._ids(collection, self.loads(collection))
 
     def pending(self, collection: str, rows: DataFrame) -> DataFrame:
         return rows.join(self.ids(collection), "id", "left_anti")
 
+    # ---- loads ---------------------------------------------------------------------------------------
     def load(self, collection: str, rows: DataFrame, embedder: Embedder, reset: bool = False,
              refresh: bool = False) -> int:
         """Insert the rows whose id is not stored yet, and index them; rows added.
 
         ``reset`` drops what is stored first; ``refresh`` replaces stored rows of the same id by the given ones.
         """
-        counted = self.loads(collection)
-        kept = {}
-        if refresh and counted and not reset:
-            given = materialize(rows, "prepared")
-            kept = {part: self.table(collection, part).join(given.select("id"), "id", "left_anti")
-                    for part in ("rows", "items", "postings")}
-        elif reset or not counted:
-            given = materialize(rows, "prepared")
-        else:
-            given = materialize(self.pending(collection, rows), "prepared")
-        before = 0 if reset else self.ids(collection).count()
+        counted = [] if reset else self.loads(collection)
+        refreshed = refresh and bool(counted)
+        given = materialize(rows if refreshed or not counted else self.pending(collection, rows), "prepared")
+
+        def whole(df: DataFrame, part: str) -> DataFrame:
+            if not refreshed:
+                return df
+            return df.unionByName(self.table(collection, part).join(given.select("id"), "id", "left_anti"))
+
+        found = lexical.postings(lexical.tokenized(given, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS)
         load = self._next(collection)
-        self._write(collection, load, given, embedder, kept)
-        base = load if reset or kept or not counted else counted[0]
-        (self.spark.createDataFrame([(load, base)], LOADS).coalesce(1)
-         .write.mode("append").parquet(self.path(collection, "loads")))
-        return self.ids(collection).count() - before
+        self._write(collection, load, whole(embedded(given, embedder).drop("embed_text"), "rows"),
+                    whole(given.select("id", "ord", "document", *schema.METADATA), "items"),
+                    # written first: ordering by range samples its input before it moves it
+                    materialize(whole(found, "postings"), "postings"),
+                    self._terms(collection, counted[-1]) if counted and not refreshed else None)
+        self._count(collection, load, counted[0] if counted and not refreshed else load)
+        before = self._ids(collection, counted).count() if refreshed else 0
+        return self._ids(collection, [load]).count() - before
+
+    def merge_loads(self, collection: str) -> int:
+        """Rewrite all loads that count as one, so scans open few files; loads merged. What is stored, its order and its index stay
+        the same; readers see the old loads until the new one is counted. A clustering has to be built again. Not to be run beside a load."""
+        counted = self.loads(collection)
+        if len(counted) > 1:
+            load = self._next(collection)
+            self._write(collection, load, *(self.table(collection, part) for part in ("rows", "items", "postings")))
+            self._count(collection, load, load)
+        return len(counted)
 
     def _next(self, collection: str) -> int:
         done = stored_table(self.spark, self.path(collection, "loads"), LOADS)
         return 0 if done is None else done.agg(F.coalesce(F.max("load") + 1, F.lit(0)).alias("n")).first()["n"]
 
-    def _write(self, collection: str, load: int, given: DataFrame, embedder: Embedder, kept: dict[str, DataFrame]) -> None:
-        """All parts of one load; the folder of a load that failed before is written over."""
+    def _count(self, collection: str, load: int, base: int) -> None:
+        (self.spark.createDataFrame([(load, base)], LOADS).coalesce(1)
+         .write.mode("append").parquet(self.path(collection, "loads")))
+
+    def _write(self, collection: str, load: int, rows: DataFrame, items: DataFrame, postings: DataFrame,
+               earlier: DataFrame | None = None) -> None:
+        """All parts of one load; the folder of a load that failed before is written over. ``earlier`` are the term counts that
+        the load's own add to."""
         def put(df: DataFrame, part: str) -> None:
             df.write.mode("overwrite").parquet(os.path.join(self.path(collection, part), f"load={load}"))
 
-        def whole(df: DataFrame, part: str) -> DataFrame:
-            return df.unionByName(kept[part]) if part in kept else df
-
-        put(whole(embedded(given, embedder).drop("embed_text"), "rows"), "rows")
-        items = whole(given.select("id", "ord", "document", *schema.METADATA), "items")
+        put(rows, "rows")
         put(items, "items")
-        # written first: ordering by range samples its input before it moves it
-        found = lexical.postings(lexical.tokenized(given, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS)
-        found = materialize(whole(found, "postings"), "postings")
-        put(found.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
-        texts = items.agg(F.lit("").alias("term"), F.count("*").alias("df"))
-        put(found.groupBy("term").agg(F.count("*").alias("df")).unionByName(texts), "terms")
+        put(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+        counts = postings.groupBy("term").agg(F.count("*").alias("df")).unionByName(
+            items.agg(F.lit("").alias("term"), F.count("*").alias("df")))
+        if earlier is not None:
+            counts = counts.unionByName(earlier).groupBy("term").agg(F.sum("df").alias("df"))
+        put(counts.sort("term"), "terms")
+        put(lexical.Stats.summed(self._terms(collection, load)), "numbers")
+        name, buckets = self._id_table(collection)
+        # one file a bucket; only this load's partition is written over
+        items.sparkSession.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (load = {load}) SELECT id FROM {{ids}}",
+                               ids=items.select("id").repartition(buckets, "id"))
+
+    def _terms(self, collection: str, load: int) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.path(collection, "terms"), f"load={load}"))
 
     def stats(self, collection: str) -> lexical.Stats:
-        summed = self.table(collection, "terms").groupBy("term").agg(F.sum("df").alias("df"))
-        return lexical.Stats(materialize(summed, "term-counts"))
+        """Statistics of all loads that count, as the last of them wrote them: a question reads its terms and three numbers."""
+        counted = self.loads(collection)
+        if not counted:
+            raise ValueError(f"nothing was loaded into {collection}")
+        numbers = self.spark.read.parquet(os.path.join(self.path(collection, "numbers"), f"load={counted[-1]}"))
+        return lexical.Stats(self._terms(collection, counted[-1]), numbers)
 
     # ---- approximate search ----------------------------------------------------------------------------
     def build_cells(self, collection: str, count: int, per_cell: int = cells.PER_CELL) -> None:
