@@ -51,7 +51,7 @@ def bm25_topk(spark, folder):
 def bm25_postfilter(spark, folder):
     """Thirty candidates, of which those in the wanted language stay, at most ten."""
     scored = lexical.score_question(corpus(spark, folder), QUESTION)
-    kept = lexical.best(scored, [], K, ["doc_id"], F.col("lang").isin("de", "UNKNOWN", ""), F.lit(True))
+    kept = lexical.best(scored, [], K, ["doc_id"], F.col("lang").isin("en", "UNKNOWN", ""), F.lit(True))
     return kept.select("doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -323,7 +323,7 @@ QUERIES = {
         SELECT doc_id, rank, round(score, 6) AS score FROM ranked"""),
     "bm25_postfilter": (bm25_postfilter, f"""WITH {_CORPUS}, {_one(QUESTION)}, {_ranked(QUESTION, 3 * K)}
         SELECT doc_id, row_number() OVER (ORDER BY r.rank)::INT AS rank, round(score, 6) AS score
-        FROM ranked r JOIN documents USING (doc_id) WHERE lang = 'de' QUALIFY row_number() OVER (ORDER BY r.rank) <= {K}"""),
+        FROM ranked r JOIN documents USING (doc_id) WHERE lang = 'en' QUALIFY row_number() OVER (ORDER BY r.rank) <= {K}"""),
     "bm25_batch": (bm25_batch, f"{_BATCH} SELECT qid, doc_id, rank, round(score, 6) AS score FROM best"),
     "vector_topk": (vector_topk, f"""WITH {_nearest('true', K, 'v')}
         SELECT doc_id AS vec_id, rank, round(score, 6) AS score FROM v"""),
