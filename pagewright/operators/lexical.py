@@ -192,6 +192,23 @@ def candidates(found: "DataFrame | Blocks", questions: DataFrame, keep: list[str
     return able.join(more, ["qid", text_id], "left").select("qid", *keep, (whole * weight).alias("score")).where("score > 0")
 
 
+TASK_PAIRS = 1 << 19  # pairs of a question and a text that a task holds at once, about
+
+
+def batch_best(rows: DataFrame, questions: DataFrame, keep: list[str], stats: Stats, k: int) -> DataFrame:
+    """Best ``k`` of each of ``questions(qid, question)`` over ``tokenized`` rows without postings; ``keep[0]`` identifies a text.
+
+    Texts are dealt to as many tasks as texts times questions ask for, so what a task holds does not grow with the table. A text's
+    terms stay together: its scores are complete where they are summed, and only the best of each task shuffle. The right way
+    for questions of frequent terms, where :func:`candidates` names most texts of most questions.
+    """
+    asked = materialize(_asked(questions, stats).select("qid", "term", "idf"), "question-terms")
+    pairs = stats.n * asked.select("qid").distinct().count()
+    dealt = rows.repartition(max(1, -(-pairs // TASK_PAIRS)), keep[0])
+    scored = _weigh(postings(dealt, keep).join(F.broadcast(asked), "term"), keep, stats)
+    return best(scored.select("qid", *keep, "score").where("score > 0"), ["qid"], k, keep)
+
+
 def _reached(scored: DataFrame, k: int) -> DataFrame:
     """(qid, bar): what the best ``k`` of a question reach at least, nothing while there are fewer."""
     held = top_k(scored.select("qid", "score"), ["qid"], [F.col("score").desc()], k)

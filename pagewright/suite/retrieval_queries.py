@@ -58,10 +58,7 @@ def bm25_postfilter(spark, folder):
 def _benchmark_results(spark, folder):
     rows = corpus(spark, folder)
     asked = given(spark, folder, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    stats = lexical.Stats.counted(rows)
-    blocks = materialize(lexical.blocked(lexical.postings(rows, ["doc_id"]), ["doc_id"], stats), "posting-blocks")
-    scored = lexical.candidates(lexical.Blocks(blocks, stats.avgdl), asked, ["doc_id"], stats, K)
-    return lexical.best(scored, ["qid"], K, ["doc_id"])
+    return lexical.batch_best(rows, asked, ["doc_id"], lexical.Stats.counted(rows), K)
 
 
 def bm25_batch(spark, folder):

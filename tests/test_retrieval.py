@@ -224,6 +224,26 @@ def test_blocks_hold_the_exact_best_and_are_skipped(spark, monkeypatch, k):
     assert read[0] == whole[0] and all(a < b for a, b in zip(read[1:], whole[1:]))
 
 
+def test_a_batch_of_questions_is_scored_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 100)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = ["", *(" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.choice([2, 8, 30, 120]))) for _ in range(199))]
+    asked = {f"q{i}": " ".join(rng.sample(vocabulary, 6)) for i in range(5)} | {"none": "nothing of it"}
+    rows = lexical.tokenized(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ["id"], F.col("text"))
+    found = lexical.batch_best(rows, spark.createDataFrame(list(asked.items()), "qid string, question string"), ["id"],
+                               lexical.Stats.counted(rows), 7)
+    got = found.collect()
+    for qid, question in asked.items():
+        scores = brute_bm25(texts, question)
+        expected = sorted((i for i, s in enumerate(scores) if s > 0), key=lambda i: (-round(scores[i], 9), i))[:7]
+        mine = sorted((r for r in got if r["qid"] == qid), key=lambda r: r["rank"])
+        assert [r["id"] for r in mine] == expected
+        assert all(abs(r["score"] - scores[r["id"]]) < 1e-9 for r in mine)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and ", 10), REPARTITION_BY_NUM" in plan     # 200 texts and five questions with known terms
+
+
 def test_a_hot_key_spreads_over_tasks(spark):
     rows = spark.range(20_000).withColumn("k", F.lit("hot"))
     done = ordered.number_rows(rows, ["k"], ["id"], ordered.blocks_of(F.col("id"), 500), "n")
