@@ -30,10 +30,9 @@ def asof(
     at = [*by, on]
     known = F.col(on).isNotNull()
     offered = right.where(known).select(*at, F.struct(*payload).alias("_row"), F.col(tie).alias("_tie"))
-    asked = left.where(known).select(*at, F.lit(True).alias("_asked"))
-    line = materialize(offered.unionByName(asked, allowMissingColumns=True).groupBy(*at).agg(
-        F.min_by("_row", "_tie").alias("_first"), F.max_by("_row", "_tie").alias("_last"),
-        F.max("_asked").alias("_asked")), "positions")
+    asked = left.where(known).select(*at).distinct().withColumn("_asked", F.lit(True))
+    line = materialize(offered.groupBy(*at).agg(F.min_by("_row", "_tie").alias("_first"), F.max_by("_row", "_tie").alias("_last"))
+                       .join(asked, at, "full"), "positions")
     fill = {"_hit": F.col("_first")}
     filled = scan(line, by, [on], blocks_of(F.col(on), segment_width),
                   **({"upcoming": fill} if direction == "forward" else {"latest": fill}))

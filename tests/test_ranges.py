@@ -39,3 +39,20 @@ def test_blocks_cover_each_interval_once(spark):
         cells = [i for level, block in r["x"] for i in range(block << level, (block + 1) << level)]
         assert sorted(cells) == list(range(r["a"], r["b"])), r
         assert len(r["x"]) <= 2 * 6
+
+
+def test_the_winner_is_found_without_sorting_rules_or_numbers(spark):
+    """Blocks and positions are grouped by hashing, which leaves a row a group before anything moves; ranges of any width win."""
+    rng = random.Random(9)
+    held = [(lo, lo + rng.choice([0, 1, 7, 8, 63, 64, 900]), rng.randrange(50), f"r{i}") for i, lo in enumerate(rng.choices(range(2000), k=300))]
+    rules = spark.createDataFrame(held, "lo bigint, hi bigint, ord int, name string")
+    rows = spark.range(3000).withColumnRenamed("id", "n")
+    found = ranges.first_match(rows, "n", rules, ["name"])
+    for n, name in found.collect():
+        claims = [(o, x) for lo, hi, o, x in held if lo <= n <= hi]
+        assert name == (min(claims)[1] if claims else None)
+    plan = ranges.intervals(rules, ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    blocks = spark.createDataFrame([(3, 9, 5), (4, 8, 7)], "a bigint, b bigint, place bigint").select(
+        "place", F.explode(ranges._blocks(F.col("a"), F.col("b"), F.length(F.bin(F.col("b") - F.col("a"))) - 1)).alias("at"))
+    assert sorted(map(tuple, blocks.select("place", "at.level", "at.block").collect())) == [(5, 0, 3), (5, 0, 8), (5, 2, 1), (7, 2, 1)]
