@@ -48,7 +48,9 @@ def _starts(df: DataFrame, text: str, regex: str, base: Column, keep: list[str])
     held = df.withColumns({"_heads": heads, "_base": base}).where(F.size("_heads") > 0).withColumn("_gaps", gaps)
     rows = held.select(*keep, "_base", F.posexplode(F.arrays_zip(
         F.col("_heads").alias("head"), F.slice("_gaps", F.lit(1), F.size("_heads")).alias("gap"))).alias("_i", "_m"))
-    order = rows.withColumns({"head": F.col("_m.head"), "_gap": F.length("_m.gap").cast("bigint"), "_head": F.length("_m.head").cast("bigint")})
+    order = rows.select(*keep, "_base", "_i", F.col("_m.head").alias("head"), F.length("_m.gap").cast("bigint").alias("_gap"),
+                        F.length("_m.head").cast("bigint").alias("_head"))
+    order = materialize(order, "match-order")       # a scan reads its input twice; texts are searched once
     # a match starts after the gaps up to it and the matches before it
     upto = scan(order, [*keep, "_base"], ["_i"], blocks_of(F.col("_i")), running={"_upto": F.col("_gap") + F.col("_head")})
     return upto.select(*keep, (F.col("_base") + F.col("_upto") - F.col("_head")).alias("start"), "head")
@@ -100,7 +102,7 @@ def parts(pages: DataFrame, pattern: Pattern) -> DataFrame:
     text is empty."""
     placed = materialize(_placed(pages, pattern), "page-places")
     slim = placed.select("doc_key", "page", "at", "size")
-    numbered = number_rows(matches(placed, pattern), ["doc_key"], ["start"], blocks_of(F.col("start"), CHARS), "nth")
+    numbered = number_rows(materialize(matches(placed, pattern), "match-starts"), ["doc_key"], ["start"], blocks_of(F.col("start"), CHARS), "nth")
     found = numbered.select("doc_key", "start", "head", (F.col("nth") - 1).alias("nth"))
     found = materialize(asof(found.withColumn("at", F.col("start")), slim.withColumn("page_at", F.col("at")), ["doc_key"], "at", "page",
                              ["page", "page_at"], "backward", segment_width=CHARS), "matches")

@@ -53,3 +53,11 @@ def test_a_document_of_many_pages(spark):
                     F.countDistinct("nth").alias("nths")).first()
     assert tuple(row)[:3] == (5000, 1, 99_981) and row["nths"] == 5000 and row["most"] < 200
     assert found.where("nth = 7").first()["section"].startswith("8\nSECTION TITLE\nbody\n")
+
+
+def test_a_text_is_searched_once(spark):
+    """What a scan reads twice is written before it: its plan starts from the matches, not from the texts."""
+    df = spark.createDataFrame([("d", "a 1 b 22 c", 0), ("e", "333", 5)], "doc_key string, part string, base bigint")
+    found = spans._starts(df, "part", "[0-9]+", F.col("base"), ["doc_key"])
+    assert sorted(map(tuple, found.collect())) == [("d", 2, "1"), ("d", 6, "22"), ("e", 5, "333")]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
