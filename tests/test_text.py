@@ -99,3 +99,14 @@ def test_array_lookups(spark):
         running_starts(F.array(F.lit(3), F.lit(4), F.lit(0))),
         *[last_at_or_before(F.array(F.lit(0), F.lit(3), F.lit(7)), F.lit(x)) for x in (-1, 0, 2, 3, 7, 99)]).first()
     assert list(row) == [[0, 3, 7], 0, 1, 1, 2, 3, 3]
+
+
+def test_texts_without_compounds_are_not_searched_for_them(monkeypatch):
+    from pagewright import models
+
+    plain, compound = ["A plain text. And more / of it.", "", None], ["a/b c"]
+    embedder = models.HashingEmbedder(16)
+    expected = embedder.embed(plain)
+    assert (embedder.embed(compound) != embedder.embed(["a b c"])).any()
+    monkeypatch.setattr(models, "COMPOUND_TOKEN", "(")      # no pattern: searching for it is an error
+    assert (embedder.embed(plain) == expected).all()
