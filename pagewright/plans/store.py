@@ -2,7 +2,7 @@
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +16,16 @@ from pagewright.models import Embedder
 from pagewright.operators import cells, lexical
 from pagewright.operators.ordered import first_wins
 from pagewright.operators.splitting import expand
-from pagewright.session import materialize
+from pagewright.session import FREED_SHUFFLES, remove, scratch, settings
 from pagewright.sources.files import stored_table
 
 KNOWLEDGE, COMMANDS = "knowledge", "commands"
 POSTING_COLUMNS = ["id", "ord", "sub_index", "subsystem"]
+CODEC = "zstd"                 # of all that a load writes
+SLICE_POSTINGS = 4 << 20       # postings that are sorted at a time, at least
+SLICES = 8                     # parts an index is sorted in, at most
+SAMPLE_TEXTS = 2048            # texts whose terms place the cuts; loads of less than four times as many are sorted whole
+BATCH_ROWS = 2048              # rows that a Python worker embeds at a time: whole texts are large rows
 
 
 def stacked(*parts: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def _column(items: DataFrame, name: str) -> Column:
     return or_empty(F.col(name).cast("string")) if name in items.columns else F.lit("")
 
 
-def embed_text(items: DataFrame) -> Column:
+def embed_text(items: DataFrame, body: str = "text") -> Column:
     """The text that is embedded and indexed: what is known about the item, a line each, then its body."""
     def line(prefix: str, value: Column) -> Column:
         return F.when(known(value).isNotNull(), F.concat(F.lit(prefix), value))
@@ -74,7 +79,7 @@ def embed_text(items: DataFrame) -> Column:
         line("Command: ", _column(items, "mnemonic")),
         line("CID: ", _column(items, "cid")),
         known(_column(items, "section_heading")),
-        known(strip(_column(items, "text"))))
+        known(strip(_column(items, body))))
 
 
 def metadata(items: DataFrame) -> list[Column]:
@@ -141,13 +146,35 @@ def prepared(items: DataFrame, id_col: str) -> DataFrame:
     return stored_rows(expand(deduplicated(items, id_col), id_col), id_col)
 
 
+def without_given(rows: DataFrame) -> DataFrame:
+    """``embed_text`` becomes null where the stored columns give it: everywhere but where a body or heading is stored cut."""
+    odd = ~F.col("embed_text").eqNullSafe(embed_text(rows, "document"))
+    return rows.withColumn("embed_text", F.when(odd, or_empty(F.col("embed_text"))))
+
+
+def with_given(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`without_given` with their ``embed_text`` (empty where it was null). The one-element explode works it out once."""
+    text = F.coalesce(F.col("embed_text"), embed_text(rows, "document"))
+    return rows.select(*[c for c in rows.columns if c != "embed_text"], F.explode(F.array(text)).alias("embed_text"))
+
+
+def _place(value: Column, cuts: list[str], first: int = 0) -> Column:
+    """How many of the sorted cuts are at most ``value``, plus ``first``; by halves."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(value < F.lit(cuts[half]), _place(value, cuts[:half], first)).otherwise(
+        _place(value, cuts[half + 1:], first + half + 1))
+
+
 LOADS = "load bigint, base bigint"
 
 
 class Store:
     """Stored collections below one folder. Each load writes what it adds to folders of its own, ``<collection>/<part>/load=n``:
-    ``rows`` (vectors and metadata), ``items`` (payload), ``postings`` (search index), ``terms`` and ``numbers`` (statistics of all
-    loads up to it), ``ids``. A row in ``<collection>/loads`` written last makes a load count, so a load that fails halfway
+    ``rows`` (vectors, payload and metadata), ``postings`` (search index), ``terms`` and ``numbers`` (statistics of all
+    loads up to it), ``ids``. ``items``, the payload of the index, is read from the files of ``rows``, without the vectors.
+    A row in ``<collection>/loads`` written last makes a load count, so a load that fails halfway
     leaves nothing to be read, and index and rows always agree. ``base`` is the first load that still counts: a reset,
     refresh or merge starts a new one.
 
@@ -170,10 +197,16 @@ class Store:
         return [] if last is None else [r["load"] for r in done.where(F.col("load") >= last["base"]).orderBy("load").collect()]
 
     def table(self, collection: str, part: str) -> DataFrame:
-        paths = [os.path.join(self.path(collection, part), f"load={n}") for n in self.loads(collection)]
-        if not paths:
+        counted = self.loads(collection)
+        if not counted:
             raise ValueError(f"nothing was loaded into {collection}")
-        return self.spark.read.parquet(*paths)
+        if part == "items":
+            return self._parts(collection, "rows", counted).select("id", "ord", "document", *schema.METADATA)
+        found = self._parts(collection, part, counted)
+        return found.drop("embed_text") if part == "rows" else found
+
+    def _parts(self, collection: str, part: str, loads: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*[os.path.join(self.path(collection, part), f"load={n}") for n in loads])
 
     # ---- ids -----------------------------------------------------------------------------------------
     def _id_table(self, collection: str) -> tuple[str, int]:
@@ -216,20 +249,29 @@ class Store:
         """
         counted = [] if reset else self.loads(collection)
         refreshed = refresh and bool(counted)
-        given = materialize(rows if refreshed or not counted else self.pending(collection, rows), "prepared")
+        load = self._next(collection)
 
         def whole(df: DataFrame, part: str) -> DataFrame:
             if not refreshed:
                 return df
             return df.unionByName(self.table(collection, part).join(given.select("id"), "id", "left_anti"))
 
-        found = lexical.postings(lexical.tokenized(given, POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS)
-        load = self._next(collection)
-        self._write(collection, load, whole(embedded(given, embedder).drop("embed_text"), "rows"),
-                    whole(given.select("id", "ord", "document", *schema.METADATA), "items"),
-                    # written first: ordering by range samples its input before it moves it
-                    materialize(whole(found, "postings"), "postings"),
-                    self._terms(collection, counted[-1]) if counted and not refreshed else None)
+        def index() -> tuple[DataFrame, list[str]]:
+            texts = given if refreshed else self._parts(collection, "rows", [load])
+            found = lexical.postings(lexical.tokenized(with_given(texts), POSTING_COLUMNS, F.col("embed_text")), POSTING_COLUMNS)
+            return whole(found, "postings"), self._cuts(texts)
+
+        batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        held = int(self.spark.conf.get(batches))
+        small = {batches: str(min(held, BATCH_ROWS) if held > 0 else BATCH_ROWS)}
+        with settings(self.spark, FREED_SHUFFLES | small), scratch(self.spark, "prepared") as prepared_at:
+            given = rows if refreshed or not counted else self.pending(collection, rows)
+            if refreshed:       # read three times; otherwise the stored rows are what the index is made of
+                given.write.option("compression", CODEC).parquet(prepared_at)
+                given = self.spark.read.schema(given.schema).parquet(prepared_at)
+            new = embedded(given, embedder)
+            self._write(collection, load, whole(new.drop("embed_text"), "rows") if refreshed else without_given(new), index,
+                        self._terms(collection, counted[-1]) if counted and not refreshed else None)
         self._count(collection, load, counted[0] if counted and not refreshed else load)
         before = self._ids(collection, counted).count() if refreshed else 0
         return self._ids(collection, [load]).count() - before
@@ -240,7 +282,10 @@ class Store:
         counted = self.loads(collection)
         if len(counted) > 1:
             load = self._next(collection)
-            self._write(collection, load, *(self.table(collection, part) for part in ("rows", "items", "postings")))
+            rows = self.table(collection, "rows")
+            with settings(self.spark, FREED_SHUFFLES):
+                self._write(collection, load, rows, lambda: (
+                    self.table(collection, "postings"), self._cuts(rows.withColumn("embed_text", F.lit(None).cast("string")))))
             self._count(collection, load, load)
         return len(counted)
 
@@ -252,26 +297,64 @@ class Store:
         (self.spark.createDataFrame([(load, base)], LOADS).coalesce(1)
          .write.mode("append").parquet(self.path(collection, "loads")))
 
-    def _write(self, collection: str, load: int, rows: DataFrame, items: DataFrame, postings: DataFrame,
+    def _write(self, collection: str, load: int, rows: DataFrame, index: Callable[[], tuple[DataFrame, list[str]]],
                earlier: DataFrame | None = None) -> None:
-        """All parts of one load; the folder of a load that failed before is written over. ``earlier`` are the term counts that
-        the load's own add to."""
-        def put(df: DataFrame, part: str) -> None:
-            df.write.mode("overwrite").parquet(os.path.join(self.path(collection, part), f"load={load}"))
-
-        put(rows, "rows")
-        put(items, "items")
-        put(postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
-        counts = postings.groupBy("term").agg(F.count("*").alias("df")).unionByName(
-            items.agg(F.lit("").alias("term"), F.count("*").alias("df")))
+        """All parts of one load; the folder of a load that failed before is written over. ``index`` gives the postings, and
+        the terms that cut them, once the rows are written. ``earlier`` are the term counts that the load's own add to."""
+        def put(df: DataFrame, part: str) -> DataFrame:
+            path = os.path.join(self.path(collection, part), f"load={load}")
+            df.write.mode("overwrite").option("compression", CODEC).parquet(path)
+            return self.spark.read.parquet(path)
+
+        stored = put(rows, "rows")
+        self._put_postings(collection, load, *index())
+        counts = self._parts(collection, "postings", [load]).groupBy("term").agg(F.count("*").alias("df")).unionByName(
+            stored.agg(F.lit("").alias("term"), F.count("*").alias("df")))
         if earlier is not None:
             counts = counts.unionByName(earlier).groupBy("term").agg(F.sum("df").alias("df"))
         put(counts.sort("term"), "terms")
         put(lexical.Stats.summed(self._terms(collection, load)), "numbers")
         name, buckets = self._id_table(collection)
         # one file a bucket; only this load's partition is written over
-        items.sparkSession.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (load = {load}) SELECT id FROM {{ids}}",
-                               ids=items.select("id").repartition(buckets, "id"))
+        self.spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (load = {load}) SELECT id FROM {{ids}}",
+                       ids=stored.select("id").repartition(buckets, "id"))
+
+    def _cuts(self, texts: DataFrame) -> list[str]:
+        """Terms that cut an index of ``texts`` into slices of like size, by the terms of about ``SAMPLE_TEXTS`` of them. They
+        decide how much is sorted at a time, not what the index holds."""
+        every = texts.count() // SAMPLE_TEXTS
+        if every < 4:
+            return []
+        with scratch(self.spark, "sampled-terms") as path:
+            some = with_given(texts.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
+            lexical.postings(lexical.tokenized(some, [], F.col("embed_text")), []).select("term").write.parquet(path)
+            terms = self.spark.read.schema("term string").parquet(path)
+            slices = min(SLICES, terms.count() * every // SLICE_POSTINGS)
+            if slices < 2:
+                return []
+            firsts = terms.repartitionByRange(slices, "term").groupBy(F.spark_partition_id()).agg(F.min("term").alias("term"))
+            return sorted(r["term"] for r in firsts.collect())[1:]
+
+    def _put_postings(self, collection: str, load: int, postings: DataFrame, cuts: list[str]) -> None:
+        """Postings sorted by term, one slice of terms after the other: what the sort shuffles is a slice, and what was
+        written to be sorted goes slice by slice."""
+        path = os.path.join(self.path(collection, "postings"), f"load={load}")
+        with scratch(self.spark, "postings") as unsorted:
+            # written first: ordering by range samples its input before it moves it; with a file open for each slice, as
+            # tasks else sort, and spill, what they write
+            with settings(self.spark, {"spark.sql.maxConcurrentOutputFileWriters": str(2 * len(cuts) + 2),
+                                       "spark.sql.optimizer.plannedWrite.enabled": "false"}):
+                postings.withColumn("slice", _place(F.col("term"), cuts)).write.partitionBy("slice").option(
+                    "compression", CODEC).parquet(unsorted)
+            remove(self.spark, path)
+            for i in range(len(cuts) + 1):
+                part = os.path.join(unsorted, f"slice={i}")
+                rows = stored_table(self.spark, part, postings.schema)
+                if rows is None:        # no term is of this slice
+                    rows = self.spark.createDataFrame([], postings.schema)
+                rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").option(
+                    "compression", CODEC).parquet(path)
+                remove(self.spark, part)
 
     def _terms(self, collection: str, load: int) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.path(collection, "terms"), f"load={load}"))
@@ -302,9 +385,9 @@ class Store:
         last = None if done is None or not counted else done.where(F.col("base") == counted[0]).agg(F.max("load").alias("n")).first()["n"]
         if last is None:
             return None, None
-        newer = [os.path.join(self.path(collection, "rows"), f"load={n}") for n in counted if n > last]
+        newer = [n for n in counted if n > last]
         index = cells.CellIndex(self.spark, os.path.join(self.path(collection, "cells"), f"upto={last}"))
-        return index, self.spark.read.parquet(*newer) if newer else None
+        return index, self._parts(collection, "rows", newer) if newer else None
 
     def counts(self) -> dict[str, int]:
         return {name: self.ids(name).count() for name in (KNOWLEDGE, COMMANDS)}

@@ -53,8 +53,39 @@ def intermediates(spark: SparkSession):
     finally:
         _open_scopes.remove(written)
         for path in written:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A path below the shared folder for what only the block needs, removed at its end."""
+    path = os.path.join(shared_dir(spark), f"{name}-{os.urandom(8).hex()}")
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
+#: Drops the shuffle files of a query when it ends; else they lie until the driver collects its garbage.
+FREED_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Settings of the session that hold inside the block."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

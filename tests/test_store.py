@@ -1,10 +1,14 @@
 """Loads of a store: bucketed ids, statistics written once a load, loads merged into one."""
 
+import os
 import struct
+import time
+from pathlib import Path
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from pagewright import cli
+from pagewright import cli, schema, session
 from pagewright.models import HashingEmbedder
 from pagewright.operators import lexical
 from pagewright.plans import ask as asking, store as st
@@ -83,6 +87,75 @@ def test_merged_loads_hold_the_same(spark, tmp_path):
     assert store.stats(st.KNOWLEDGE).n == 4
 
 
+def test_a_load_keeps_one_copy_and_nothing_beside_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    store = st.Store(spark, str(tmp_path / "store"))
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def kept():
+        """Files beside the store's, and shuffle files."""
+        beside = [p for p in tmp_path.rglob("*.parquet") if Path(store.folder) not in p.parents]
+        return {*beside, *(p for d in folders for p in Path(d).rglob("shuffle_*.data"))}
+
+    before = kept()
+    store.load(st.KNOWLEDGE, pieces(spark, *[(i, f"word{i} shared " + os.urandom(600).hex()) for i in range(400)]), HashingEmbedder(8))
+    deadline = time.time() + 20      # Spark drops shuffle files beside its other work
+    while time.time() < deadline and any(p.stat().st_size > 100_000 for p in kept() - before):
+        time.sleep(0.5)
+    left = kept() - before
+    assert not [p for p in left if p.suffix == ".parquet"], left
+    assert not [p for p in left if p.suffix == ".data" and p.stat().st_size > 100_000], left
+    bodies = [p.parent.parent.name for p in Path(store.folder).rglob("*.parquet") if "document" in pq.read_schema(p).names]
+    assert set(bodies) == {"rows"}
+    payload = store.table(st.KNOWLEDGE, "items")
+    assert payload.columns == ["id", "ord", "document", *schema.METADATA] and payload.count() == 400
+
+
+def index_of(spark, folder, items, **how):
+    store = st.Store(spark, str(folder))
+    store.load(st.KNOWLEDGE, pieces(spark, *items), HashingEmbedder(8), **how)
+    return store
+
+
+def test_an_index_sorted_in_slices_is_the_same(spark, tmp_path, monkeypatch):
+    items = [(i, " ".join(f"w{(i * k) % 97:02d}" for k in range(1, 9)) + " shared") for i in range(200)]
+    whole = index_of(spark, tmp_path / "whole", items)
+    monkeypatch.setattr(st, "SAMPLE_TEXTS", 10)
+    monkeypatch.setattr(st, "SLICE_POSTINGS", 100)
+    written = []
+    monkeypatch.setattr(st.Store, "_cuts", lambda self, texts, f=st.Store._cuts: written.append(f(self, texts)) or written[-1])
+    sliced = index_of(spark, tmp_path / "sliced", items)
+    assert 1 < len(written[0]) + 1 <= st.SLICES and written[0] == sorted(set(written[0]))
+    rows = ["term", *st.POSTING_COLUMNS, "dl"]
+    for part, columns in (("postings", rows), ("terms", ["term", "df"]), ("numbers", ["n", "total"]), ("rows", ["id", "document"])):
+        a, b = (sorted(map(tuple, s.table(st.KNOWLEDGE, part).select(*columns).collect())) for s in (whole, sliced))
+        assert a == b and a, part
+    ends = sorted((t["term"][0], t["term"][-1]) for p in Path(sliced.folder).rglob("postings/load=0/*.parquet")
+                  if (t := pq.read_table(p).to_pydict())["term"] == sorted(t["term"]) and t["term"])
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:])) and len(ends) >= len(written[0]) + 1
+    assert sliced.load(st.KNOWLEDGE, pieces(spark, (1, "x"), (900, "late w01")), HashingEmbedder(8)) == 1
+    before = sorted(map(tuple, sliced.table(st.KNOWLEDGE, "postings").select(*rows).collect()))
+    assert sliced.merge_loads(st.KNOWLEDGE) == 2
+    assert sorted(map(tuple, sliced.table(st.KNOWLEDGE, "postings").select(*rows).collect())) == before
+
+
+def test_texts_that_the_stored_columns_do_not_give_are_indexed_whole(spark, tmp_path):
+    long = "start " + "x" * 9000 + " tail"
+    items = spark.createDataFrame([(1, "a", long, "head"), (2, "b", "  plain  ", "h" * 450 + " lastword"), (3, "c", "", "")],
+                                  "ord bigint, chunk_id string, text string, section_heading string")
+    rows = st.stored_rows(items, "chunk_id")
+    rows = rows.unionByName(rows.where("id = 'c'").withColumns({"id": F.lit("d"), "embed_text": F.lit(None).cast("string")}))
+    rows = rows.unionByName(rows.where("id = 'a'").withColumns({"id": F.lit("e"), "embed_text": F.lit("of another maker")}))
+    store = st.Store(spark, str(tmp_path / "store"))
+    assert store.load(st.KNOWLEDGE, rows, HashingEmbedder(8)) == 5
+    want = lexical.postings(lexical.tokenized(rows, ["id"], F.col("embed_text")), ["id"]).select("id", "dl", "term")
+    got = store.table(st.KNOWLEDGE, "postings").select("id", "dl", "term")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "embed_text" not in store.table(st.KNOWLEDGE, "rows").columns
+    assert store.load(st.KNOWLEDGE, rows.withColumn("embed_text", F.lit("fresh")), HashingEmbedder(8), refresh=True) == 0
+    assert {r["term"] for r in store.table(st.KNOWLEDGE, "postings").collect()} == {"fresh"}
+
+
 def test_many_wanted_values_are_joined(spark, monkeypatch):
     table, wanted = spark.range(50).selectExpr("cast(id as string) AS id"), spark.range(0, 60, 5).selectExpr("cast(id as string) AS id")
     few = sorted(r["id"] for r in asking.narrowed(table, "id", wanted.union(wanted)).collect())
